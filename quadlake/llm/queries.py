@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, langid, pii, quality
+from . import chat, html, langid, packing, pii, quality, sharding, substring
 from .common import table
 
 
@@ -18,6 +18,18 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.spans(table(spark, sf_dir, "documents"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.repeats(table(spark, sf_dir, "documents"))
+
+
+def op4_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.roles(table(spark, sf_dir, "conversations"))
 
@@ -32,6 +44,9 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_substring_dedup": op3_substring_dedup,
+    "op4_kd_sharding": op4_kd_sharding,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_language_id": op7_language_id,
     "op10_html_extraction": op10_html_extraction,
