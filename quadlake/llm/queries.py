@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, html, langid, packing, pii, quality, sharding, substring
+from . import chat, decontam, html, langid, neardup, packing, pii, quality, sharding, substring
 from .common import table
 
 
@@ -38,6 +38,14 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.texts(table(spark, sf_dir, "pages"))
 
@@ -49,6 +57,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_kd_sharding": op4_kd_sharding,
     "op5_chat_formatting": op5_chat_formatting,
     "op7_language_id": op7_language_id,
+    "op8_decontamination": op8_decontamination,
+    "op9_minhash_near_dedup": op9_minhash_near_dedup,
     "op10_html_extraction": op10_html_extraction,
     "op6_quality_rules": op6_quality_rules,
 }
