@@ -4,15 +4,17 @@ Sets: the distinct SHINGLE-word shingles of a document (ASCII lower case), as 64
 Documents with equal sets are one class, known by its smallest doc_id; only classes are joined. A class has a signature of
 COORDINATES minwise values.
 
-Trees: a node picks BRANCHES coordinates by its own hash; a document goes to a child for each, named by the node, the coordinate and
-its minwise value there. DEPTH levels (by the number of classes) are taken at once, then nodes of over LIMIT classes go on,
-level by level. TREES independent trees make the chance to miss a pair at the threshold under 1e-5 (a branching process that survives
-a tree with 0.97). Nodes of at most LIMIT classes are compared exhaustively by signature (a pair at the threshold stays
+Trees: a node picks coordinates by its own hash; a document goes to a child for each, named by the node, the coordinate and its minwise
+value there. The first levels (by the number of classes) pick BRANCHES each and are taken at once; then nodes of over LIMIT classes go
+on, level by level, with 1 + SECOND picks on average: at the threshold a pair goes on in as many nodes as before, and a large group
+of less alike texts gets fewer rows from level to level, so the work stays linear in it. TREES independent trees make the chance to
+miss a pair at the threshold about 1e-6 (a branching process that survives the first levels of a tree with 0.97, in some 20 nodes). Nodes of at most LIMIT classes are compared exhaustively by signature (a pair at the threshold stays
 under close() with a chance of some millionths); equal nodes are compared once. A node that LEVELS more levels can't split is compared in
 pairs of blocks, so none is dropped.
 
-Confirmation: pairs that look alike are joined to clusters, and a cluster of at most CLUSTER classes gets its full sets into one task,
-where all pairs are counted exactly. Larger clusters are confirmed node by node, each node's alike classes in a task, and the
+Confirmation: classes that look alike in a small node, and all of a large first node, are joined to clusters. A cluster whose sets fit
+one task (CLUSTER_SHINGLES in all; classes times shingles at most CLUSTER_WORK) is confirmed there: all its pairs are counted
+exactly. For larger clusters the trees go on below the large nodes, each small node's alike classes are confirmed in a task, and the
 confirmed links are joined again. Links, labels and sets stay distributed; lineage is cut by tables in the shared folder.
 
 Defined results: null, empty and white-space-only texts have no shingles and are linked with nothing (component: themselves); a null
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import Work, ready
 
 SHINGLE, PERCENT = 3, 85
-COORDINATES, BRANCHES, TREES, LIMIT, LEVELS, CLUSTER, CLUSTER_SHINGLES = 64, 2, 4, 400, 8, 600, 2_000_000
+COORDINATES, BRANCHES, SECOND, TREES, LIMIT, LEVELS, CLUSTER_WORK, CLUSTER_SHINGLES = 64, 2, 0.18, 4, 300, 12, 4_000_000_000, 4_000_000
 U = np.uint64
 
 
@@ -100,10 +102,10 @@ def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(of, "doc_id long, n_shingles long, digest binary, sig binary")
 
 
-def children(keys: np.ndarray, sig: np.ndarray) -> np.ndarray:
+def children(keys: np.ndarray, sig: np.ndarray, branches: int = BRANCHES) -> np.ndarray:
     """The child nodes of each document's nodes; keys: documents x nodes."""
     out = []
-    for j in range(BRANCHES):
+    for j in range(branches):
         pick = mix(keys + U((j + 1) * 0xD6E8FEB86659FD93 % (1 << 64)))
         c = (pick % U(COORDINATES)).astype(np.int64)
         out.append(mix((keys ^ pick) * U(0x9E3779B97F4A7C15) + (c.astype(np.uint64) << U(32)) + np.take_along_axis(sig, c, axis=1).astype(np.uint64)))
@@ -114,23 +116,35 @@ def _signatures(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
 
 
+def _sprout(rows: DataFrame) -> DataFrame:
+    """(node, cid) one level below rows (node, cid, sig): one child, and a second for SECOND of the nodes, as the node's hash says."""
+
+    def of(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sig, cid, keys = _signatures(batch), batch.column("cid").to_numpy(), batch.column("node").to_numpy().view(np.uint64)[:, None]
+            below = children(keys, sig)
+            more = mix(keys[:, 0] ^ U(0x5851F42D4C957F2D)) < U(int(SECOND * (1 << 64)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((below[:, 0], below[more, 1])).view(np.int64)), pa.array(np.concatenate((cid, cid[more])))], names=["node", "cid"])
+
+    return rows.select("cid", "sig", "node").mapInArrow(of, "node long, cid long")
+
+
 def _grow(rows: DataFrame, levels: int) -> DataFrame:
-    """(node, cid) some levels down; rows: cid, sig, and node, which is null at the roots of all trees."""
+    """(node, cid) some levels below the roots of all trees; rows: cid, sig."""
 
     def of(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig, cid = _signatures(batch), batch.column("cid").to_numpy()
-            if batch.column("node").null_count:
-                keys = np.tile(mix(np.arange(1, TREES + 1, dtype=np.uint64)), (len(cid), 1))
-            else:
-                keys = batch.column("node").to_numpy().view(np.uint64)[:, None]
+            keys = np.tile(mix(np.arange(1, TREES + 1, dtype=np.uint64)), (len(cid), 1))
             for _ in range(levels):
                 keys = children(keys, sig)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(cid, keys.shape[1]))], names=["node", "cid"])
 
-    return rows.select("cid", "sig", "node").mapInArrow(of, "node long, cid long")
+    return rows.select("cid", "sig").mapInArrow(of, "node long, cid long")
 
 
 def close(percent: int) -> int:
@@ -184,24 +198,31 @@ def _groups(members: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return rows.select("x").mapInArrow(of, "members array<long>").distinct()
 
 
-def candidates(classes: DataFrame, work: Work, n: int, percent: int) -> DataFrame:
-    """Lists of classes (at most LIMIT each) that share a node and look alike; classes: cid, sig."""
-    depth = min(10, max(2, round(math.log(max(n, 2)) / math.log(60))))
-    level = work.put(_grow(classes.withColumn("node", F.lit(None).cast("long")), depth))
+def _small(level: DataFrame, sizes: DataFrame) -> DataFrame:
+    """The distinct member lists of the nodes with at most LIMIT classes."""
+    rows = level.join(sizes.filter(F.col("n") <= LIMIT).select("node"), "node")
+    return rows.groupBy("node").agg(F.sort_array(F.collect_set("cid")).alias("members")).filter(F.size("members") > 1).select("members").distinct()
+
+
+def _sizes(level: DataFrame) -> DataFrame:
+    return level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+
+
+def descend(level: DataFrame, classes: DataFrame, work: Work, least: int) -> DataFrame:
+    """Alike groups from below nodes of over LIMIT classes: level by level, till nodes are small; what LEVELS more levels can't split goes by pairs of blocks."""
     lists = None
     for step in range(LEVELS + 1):
-        sizes = level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        sizes = work.put(sizes)
-        small = level.join(sizes.filter(F.col("n") <= LIMIT).select("node"), "node").groupBy("node").agg(F.sort_array(F.collect_set("cid")).alias("members")).filter(F.size("members") > 1).select("members").distinct()
-        lists = small if lists is None else lists.unionByName(small)
-        big = sizes.filter(F.col("n") > LIMIT).select("node")
-        if big.isEmpty():
-            break
         if step == LEVELS:
-            lists = lists.unionByName(_blocks(level.join(big, "node").distinct()))
+            own = _blocks(level.distinct())
+        else:
+            level = work.put(_sprout(level.distinct().join(classes, "cid")))
+            sizes = work.put(_sizes(level))
+            own = _small(level, sizes)
+            level = level.join(sizes.filter(F.col("n") > LIMIT).select("node"), "node")
+        lists = own if lists is None else lists.unionByName(own)
+        if level.isEmpty():
             break
-        level = work.put(_grow(level.join(big, "node").distinct().join(classes, "cid"), 1))
-    return work.put(_groups(lists.distinct(), classes, close(percent)))
+    return work.put(_groups(lists.distinct(), classes, least))
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -278,17 +299,24 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     work = Work(docs.sparkSession, "neardup")
     rows = work.put(sketches(docs, k))
     classes = work.put(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
-    lists = candidates(classes.select("cid", "sig"), work, classes.count(), percent)
-    near = components(lists.select(F.explode("members").alias("u"), F.col("members")[0].alias("v")), work)
-    near = work.put(near)
-    sizes = near.join(classes.select("cid", "n"), "cid").groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    near = near.join(sizes.select("root", ((F.col("c") > CLUSTER) | (F.col("s") > CLUSTER_SHINGLES)).alias("large")), "root")
+    keyed, least = classes.select("cid", "sig"), close(percent)
+    n = classes.count()
+    level = work.put(_grow(keyed, min(10, max(2, round(math.log(max(n, 2)) / math.log(60))))))
+    sizes = work.put(_sizes(level))
+    lists = work.put(_groups(_small(level, sizes), keyed, least))
+    big = level.join(sizes.filter(F.col("n") > LIMIT).select("node"), "node")
+    stars = big.join(big.groupBy("node").agg(F.min("cid").alias("v")), "node").select(F.col("cid").alias("u"), "v")
+    near = work.put(components(lists.select(F.explode("members").alias("u"), F.col("members")[0].alias("v")).unionByName(stars), work))
+    load = near.join(classes.select("cid", "n"), "cid").groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    near = near.join(load.select("root", ((F.col("c") * F.col("s") > CLUSTER_WORK) | (F.col("s") > CLUSTER_SHINGLES)).alias("large")), "root")
     texts = docs.selectExpr("CAST(doc_id AS long) AS cid", "text").join(near, "cid").join(rows.selectExpr("doc_id AS cid", "digest"), "cid").join(classes.select("digest", F.col("cid").alias("c2")), "digest").filter("cid = c2").select("root", "large", "cid", "text")
     texts = work.put(texts.dropDuplicates(["cid"]))
     links = _confirm(texts.filter("NOT large"), "root", k, percent)
-    big = texts.filter("large")
-    if not big.isEmpty():
-        parts = lists.withColumn("id", F.xxhash64("members")).select("id", F.explode("members").alias("cid")).join(big.select("cid", "text"), "cid")
+    huge = texts.filter("large")
+    if not huge.isEmpty():
+        ids = huge.select("cid")
+        deep = lists.unionByName(descend(big.join(ids, "cid", "left_semi"), keyed, work, least)).distinct()
+        parts = deep.withColumn("id", F.xxhash64("members")).select("id", F.explode("members").alias("cid")).join(huge.select("cid", "text"), "cid")
         links = links.unionByName(components(_confirm(parts, "id", k, percent), work).filter("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")))
     root = links.select(F.col("u").alias("cid"), F.col("v").alias("root"))
     named = classes.select("digest", "cid").join(root, "cid", "left").select("digest", F.coalesce("root", "cid").alias("c"))
