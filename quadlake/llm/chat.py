@@ -51,7 +51,7 @@ def line_features(line: str, blank_before: int, begins: int = UNKNOWN, turn_char
     role, _ = marker(line)
     n = len(line)
     look = 1 if re.match(r"\s*(?:[-*•]|[0-9]{1,3}[.)])\s", line) else 2 if line.startswith(("    ", "\t", "```")) else 0
-    return [role, min(7, n.bit_length() // 2) if n else 0, blank_before + 1 if blank_before >= 0 else UNKNOWN, min(11, turn_chars.bit_length()) if turn_chars >= 0 else UNKNOWN, min(8, line.count(" ").bit_length()), int(line.rstrip().endswith("?")), look] + [begins]
+    return [role or UNKNOWN, min(7, n.bit_length() // 2) if n else 0, blank_before + 1 if blank_before >= 0 else UNKNOWN, min(11, turn_chars.bit_length()) if turn_chars >= 0 else UNKNOWN, min(8, line.count(" ").bit_length()), int(line.rstrip().endswith("?")), look] + [begins]
 
 
 class Hmm:
@@ -78,9 +78,7 @@ def untrained() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         start[s] += begins * (1.0 if ROLES[r] != "assistant" else 0.1)
         for t, (q, again) in enumerate(STATES):
             step[s, t] += 1.0 if (r == q and not again) else 0.5 if again and r != q and ROLES[q] != "system" else 0.0
-        for q in range(3):  # a marker nearly always tells the truth, and begins a turn
-            emit[0][s, 1 + q] += 20.0 if begins and q == r else 0.0
-        emit[0][s, 0] += 20.0
+        emit[0][s] = [1e-3, *(0.97 if begins and q == r else 0.01 for q in range(3))]  # fixed: a marker nearly always tells the truth, and begins a turn
     return start, step, emit
 
 
@@ -105,7 +103,7 @@ def fit(conversations: DataFrame) -> Hmm:
                 for k, x in enumerate(turn_lines(text)):
                     s = 2 * r + (k > 0)
                     for f, v in enumerate(x[:-1]):
-                        if v >= 0:
+                        if f and v >= 0:
                             totals[f, s, v] = totals.get((f, s, v), 0) + 1
                     key = (100, s, 0) if not k and before is None else (101, before if not k else 2 * r + (k > 1), s)
                     totals[key] = totals.get(key, 0) + 1
@@ -124,7 +122,7 @@ def fit(conversations: DataFrame) -> Hmm:
         else:
             emit[f][s, v] += n
     log = lambda a: np.log(a / a.sum(axis=-1, keepdims=True))
-    return Hmm(log(start), log(step), [log(e) for e in emit])
+    return Hmm(log(start), log(step), [np.log(emit[0]), *(log(e) for e in emit[1:])])
 
 
 def viterbi(scores: np.ndarray, start: np.ndarray, step: np.ndarray, enter: int | None = None, leave: int | None = None) -> list[int]:
@@ -154,7 +152,7 @@ def parse(transcript: str | None, model: Hmm) -> list[tuple[str, str]]:
     lines = transcript.split("\n")
     rows = [line_features(x, -1 if not k else int(not lines[k - 1].strip())) for k, x in enumerate(lines)]
     for k, x in enumerate(rows):
-        x[-1] = 1 if not k or x[0] else UNKNOWN
+        x[-1] = 1 if not k or x[0] > 0 else UNKNOWN
     out: list[tuple[str, list[str]]] = []
     for line, s in zip(lines, viterbi(model.scores(rows), model.start, model.step), strict=True):
         r, begins = STATES[s]

@@ -29,7 +29,7 @@ from .common import ready
 
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "ssn", "iban", "ipv6", "mac", "secret")
-EXAMPLES, SEED, PRECISION, CONTEXT = 6000, 20, 0.99, 40
+EXAMPLES, SEED, PRECISION, CONTEXT, CARD_GROUPS = 6000, 20, 0.99, 40, 6
 Span = tuple[str, int, int]
 
 LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
@@ -110,11 +110,11 @@ def propose(text: str, base: list[Span]) -> list[Span]:
                 groups = [(g.start() + m.start(), g.end() + m.start()) for g in re.finditer("[0-9]+", m[0])]
                 for i, (start, _) in enumerate(groups):
                     n = 0
-                    for a, b in groups[i : i + 19]:
+                    for a, b in groups[i : i + CARD_GROUPS]:
                         n += b - a
                         if n > 19:
                             break
-                        if n >= 12:
+                        if n >= 12 and luhn(text[start:b].replace(" ", "").replace("-", "")):
                             out.append(("card", start, b))
         for kind in ("phone", "ssn", "iban", "ipv6", "mac", "secret"):
             for p in PROPOSE[kind]:
