@@ -21,7 +21,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, words
+from .common import Work, let, words
 
 WIDTH, LEAST, ENOUGH, BAD, MAX_WINDOWS = 8, 5, 6, 0.25, 500_000
 PUNCTUATION = ".,;:!?()[]{}\"'`´…*#$%&|<>«»“”„‘’¿¡=+-–—/\\_~^@€£"
@@ -112,7 +112,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, windows found and had, slots, changed and inconsistent slots, of each item that a document holds."""
-    found = matches(docs, benchmark).withColumn("shift", F.col("pos") - F.col("item_pos"))
+    hits = Work(docs.sparkSession, "decontam").put(matches(docs, benchmark))  # few rows, read twice; the scan is made once
+    found = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
     slot = found.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s")).filter("s.i IS NOT NULL")
     values = slot.groupBy("doc_id", "item_id", "shift", "s.i").agg(F.min("s.d").alias("a"), F.max("s.d").alias("b"))
     fit = values.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n_slots"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("bad"), F.sum(((F.col("a") == F.col("b")) & (F.col("a") != F.col("i"))).cast("long")).alias("changed"))
