@@ -32,7 +32,7 @@ def ids(spark: SparkSession, paths: list[str], column: str = "id") -> DataFrame:
 def delimited(spark: SparkSession, path: str, schema: str, comment: str = "#", sep: str = "\t") -> DataFrame:
     """Rows of a delimited text with line, the one-based physical line number. Comment lines are skipped, the first other line is the
     header, quoting is CSV's; a row with another number of fields than the header is an error. Line numbers are per file."""
-    lines = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split("value", "\r?\n")).alias("k", "value"))
+    lines = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file_path"), F.posexplode(F.split("value", "\r?\n")).alias("k", "value"))
     body = lines.filter((F.col("value") != "") & ~F.col("value").startswith(comment))
     head = body.groupBy("file_path").agg(F.min_by("value", "k").alias("header"), F.min("k").alias("first"))
     rows = body.join(head, "file_path").filter(F.col("k") > F.col("first"))
@@ -45,7 +45,7 @@ def delimited(spark: SparkSession, path: str, schema: str, comment: str = "#", s
 
 def delimited_header(spark: SparkSession, path: str, key: str = "version", lines: int = 4) -> DataFrame:
     """The value of `#key: value` among the first lines of each file."""
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     first = F.array_join(F.slice(F.split("value", "\r?\n"), 1, lines), "\n")
     return text.select(F.col("_metadata.file_path").alias("file_path"), F.nullif(F.regexp_extract(first, f"(?m)^#\\s*{key}:\\s*(.*?)\\s*$", 1), F.lit("")).alias(key))
 
