@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.terms import RDF, RDFS, SH, XSD
+from ..session import cut
 from ..sources.turtle import Term, Triple
 from .closure import closure
 from .quads import QUAD, TYPE
@@ -85,14 +86,14 @@ def from_turtle(triples: list[Triple]) -> list[Shape]:
 
 class Validator:
     def __init__(self, quads: DataFrame):
-        """quads: the graphs to check, as their union."""
-        self.triples = quads.select(*QUAD[1:]).distinct()
+        """quads: the graphs to check, as their union. The triples are made distinct once and kept, as every component reads them."""
+        self.triples = cut(quads.select(*QUAD[1:]).distinct())
         sub = self.triples.filter((F.col("p") == RDFS + "subClassOf") & (F.col("o_kind") != "literal")).select("s", "o")
         types = self.triples.filter(F.col("p") == TYPE).select("s", F.col("o").alias("c"))
         self.subclassed = not sub.isEmpty()
         if self.subclassed:
             up = closure(sub).select(F.col("s").alias("c"), F.col("o").alias("_up"))
-            types = types.unionByName(types.join(up, "c").select("s", F.col("_up").alias("c"))).distinct()
+            types = cut(types.unionByName(types.join(up, "c").select("s", F.col("_up").alias("c"))).distinct())
         self.types = types
 
     def instances(self, *classes: str) -> DataFrame:
