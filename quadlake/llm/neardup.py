@@ -5,17 +5,19 @@ Documents with equal sets are one class, known by its smallest doc_id; only clas
 COORDINATES minwise values.
 
 Trees: a node picks coordinates by its own hash; a document goes to a child for each, named by the node, the coordinate and its minwise
-value there. The first levels (by the number of classes) pick BRANCHES each and are taken at once; then nodes of over LIMIT classes go
-on, level by level, with 1 + SECOND picks on average: at the threshold a pair goes on in as many nodes as before, and a large group
-of less alike texts gets fewer rows from level to level, so the work stays linear in it. TREES independent trees make the chance to
-miss a pair at the threshold about 1e-6 (a branching process that survives the first levels of a tree with 0.97, in some 20 nodes). Nodes of at most LIMIT classes are compared exhaustively by signature (a pair at the threshold stays
-under close() with a chance of some millionths); equal nodes are compared once. A node that LEVELS more levels can't split is compared in
-pairs of blocks, so none is dropped.
+value there. The first levels (by the number of classes) of TREES trees pick BRANCHES each and are taken at once. Nodes of at most LIMIT
+classes are compared exhaustively by signature (a pair at the threshold stays under close() with a chance of some millionths); equal
+nodes are compared once. The chance to miss a pair at the threshold, for 2 first levels and over the draw of the coordinates (missed()),
+is 6e-6 at 85 % and 4e-5 at 80 %.
 
 Confirmation: classes that look alike in a small node, and all of a large first node, are joined to clusters. A cluster whose sets fit
 one task (CLUSTER_SHINGLES in all; classes times shingles at most CLUSTER_WORK) is confirmed there: all its pairs are counted
-exactly. For larger clusters the trees go on below the large nodes, each small node's alike classes are confirmed in a task, and the
-confirmed links are joined again. Links, labels and sets stay distributed; lineage is cut by tables in the shared folder.
+exactly. For larger clusters DEEP_TREES trees are grown, and nodes of over LIMIT classes go on, level by level, with picks() picks on
+average: twice 85 % over the threshold, so a pair at the threshold goes on in 1.7 times as many nodes (missed after LEVELS more levels: 2e-8 at
+85 %, 6e-7 at 80 %). Texts less alike leave the large nodes; where the rows of a cluster become more than all pairs of its blocks have
+(a large group of very similar texts), those pairs are taken instead, which misses nothing. Nodes that LEVELS levels can't split are compared
+in pairs of blocks too, so none is dropped. Each list's alike classes are confirmed in a task, and the confirmed links are joined
+again. Links, labels and sets stay distributed; lineage is cut by tables in the shared folder.
 
 Defined results: null, empty and white-space-only texts have no shingles and are linked with nothing (component: themselves); a null
 doc_id is linked with nothing and kept, its component null; repeated rows of an id are all kept if the id is.
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import Work, ready
 
 SHINGLE, PERCENT = 3, 85
-COORDINATES, BRANCHES, SECOND, TREES, LIMIT, LEVELS, CLUSTER_WORK, CLUSTER_SHINGLES = 64, 2, 0.18, 4, 300, 12, 4_000_000_000, 4_000_000
+COORDINATES, BRANCHES, TREES, DEEP_TREES, LIMIT, LEVELS, CLUSTER_WORK, CLUSTER_SHINGLES = 64, 2, 4, 8, 300, 12, 4_000_000_000, 4_000_000
 U = np.uint64
 
 
@@ -116,30 +118,58 @@ def _signatures(batch: pa.RecordBatch) -> np.ndarray:
     return np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
 
 
-def _sprout(rows: DataFrame) -> DataFrame:
-    """(node, cid) one level below rows (node, cid, sig): one child, and a second for SECOND of the nodes, as the node's hash says."""
+def picks(percent: int) -> float:
+    """Picks of a node below the first levels."""
+    return 2 * PERCENT / percent
+
+
+def missed(percent: int, levels: int, trees: int, first: int = 2) -> float:
+    """The chance that no node of the last level holds both of a pair at the threshold, over the draw of the coordinates."""
+    p, rate, out = percent / 100, picks(percent), 0.0
+    for k in range(COORDINATES + 1):
+        x, gone = k / COORDINATES, 0.0
+        for level in range(levels + first):
+            n = rate if level < levels else float(BRANCHES)
+            one = 1 - x + x * gone
+            gone = one ** int(n) * (1 - (n - int(n)) * (1 - one))
+        out += math.comb(COORDINATES, k) * p**k * (1 - p) ** (COORDINATES - k) * gone**trees
+    return out
+
+
+def below(keys: np.ndarray, sig: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes one level below each row's node, and the rows they are of: rate picks on average, the last one as the node's hash says."""
+    whole, part = int(rate), rate - int(rate)
+    nodes = children(keys[:, None], sig, whole + (part > 0))
+    row = np.tile(np.arange(len(keys)), nodes.shape[1])
+    nodes = nodes.T.ravel()
+    if part > 0:
+        go = np.concatenate((np.ones(whole * len(keys), dtype=bool), mix(keys ^ U(0x5851F42D4C957F2D)) < U(int(part * (1 << 64)))))
+        nodes, row = nodes[go], row[go]
+    return nodes, row
+
+
+def _sprout(rows: DataFrame, rate: float) -> DataFrame:
+    """(node, cid) one level below rows (node, cid, sig)."""
 
     def of(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig, cid, keys = _signatures(batch), batch.column("cid").to_numpy(), batch.column("node").to_numpy().view(np.uint64)[:, None]
-            below = children(keys, sig)
-            more = mix(keys[:, 0] ^ U(0x5851F42D4C957F2D)) < U(int(SECOND * (1 << 64)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((below[:, 0], below[more, 1])).view(np.int64)), pa.array(np.concatenate((cid, cid[more])))], names=["node", "cid"])
+            nodes, row = below(batch.column("node").to_numpy().view(np.uint64), _signatures(batch), rate)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes.view(np.int64)), pa.array(batch.column("cid").to_numpy()[row])], names=["node", "cid"])
 
     return rows.select("cid", "sig", "node").mapInArrow(of, "node long, cid long")
 
 
-def _grow(rows: DataFrame, levels: int) -> DataFrame:
-    """(node, cid) some levels below the roots of all trees; rows: cid, sig."""
+def _grow(rows: DataFrame, levels: int, trees: int = TREES) -> DataFrame:
+    """(node, cid) some levels below the roots of the trees; rows: cid, sig."""
 
     def of(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             sig, cid = _signatures(batch), batch.column("cid").to_numpy()
-            keys = np.tile(mix(np.arange(1, TREES + 1, dtype=np.uint64)), (len(cid), 1))
+            keys = np.tile(mix(np.arange(1, trees + 1, dtype=np.uint64)), (len(cid), 1))
             for _ in range(levels):
                 keys = children(keys, sig)
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.repeat(cid, keys.shape[1]))], names=["node", "cid"])
@@ -208,20 +238,26 @@ def _sizes(level: DataFrame) -> DataFrame:
     return level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
 
 
-def descend(level: DataFrame, classes: DataFrame, work: Work, least: int) -> DataFrame:
-    """Alike groups from below nodes of over LIMIT classes: level by level, till nodes are small; what LEVELS more levels can't split goes by pairs of blocks."""
-    lists = None
+def descend(level: DataFrame, classes: DataFrame, clusters: DataFrame, work: Work, least: int, percent: int) -> DataFrame:
+    """Alike groups from the nodes of large clusters (cid, root, c classes): level by level, till nodes are small; what LEVELS more levels
+    can't split goes by pairs of blocks, and a cluster with more rows than all pairs of its blocks have goes by those."""
+    sizes = work.put(_sizes(level))
+    lists = _small(level, sizes)
+    level = level.join(sizes.filter(F.col("n") > LIMIT).select("node"), "node")
     for step in range(LEVELS + 1):
+        level = work.put(level.distinct().join(clusters, "cid"))
+        wide = work.put(level.groupBy("root").agg(F.count("*").alias("rows"), F.first("c").alias("c")).filter(F.col("rows") > F.col("c") * F.col("c") / (LIMIT // 4)).select("root"))
+        lists = lists.unionByName(_blocks(clusters.join(wide, "root").select(F.col("root").alias("node"), "cid")))
+        level = level.join(wide, "root", "left_anti").select("node", "cid")
         if step == LEVELS:
-            own = _blocks(level.distinct())
+            lists = lists.unionByName(_blocks(level))
+        elif level.isEmpty():
+            break
         else:
-            level = work.put(_sprout(level.distinct().join(classes, "cid")))
+            level = work.put(_sprout(level.join(classes, "cid"), picks(percent)))
             sizes = work.put(_sizes(level))
-            own = _small(level, sizes)
+            lists = lists.unionByName(_small(level, sizes))
             level = level.join(sizes.filter(F.col("n") > LIMIT).select("node"), "node")
-        lists = own if lists is None else lists.unionByName(own)
-        if level.isEmpty():
-            break
     return work.put(_groups(lists.distinct(), classes, least))
 
 
@@ -301,21 +337,23 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
     classes = work.put(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
     keyed, least = classes.select("cid", "sig"), close(percent)
     n = classes.count()
-    level = work.put(_grow(keyed, min(10, max(2, round(math.log(max(n, 2)) / math.log(60))))))
+    first = min(10, max(2, round(math.log(max(n, 2)) / math.log(60))))
+    level = work.put(_grow(keyed, first))
     sizes = work.put(_sizes(level))
     lists = work.put(_groups(_small(level, sizes), keyed, least))
     big = level.join(sizes.filter(F.col("n") > LIMIT).select("node"), "node")
     stars = big.join(big.groupBy("node").agg(F.min("cid").alias("v")), "node").select(F.col("cid").alias("u"), "v")
     near = work.put(components(lists.select(F.explode("members").alias("u"), F.col("members")[0].alias("v")).unionByName(stars), work))
     load = near.join(classes.select("cid", "n"), "cid").groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    near = near.join(load.select("root", ((F.col("c") * F.col("s") > CLUSTER_WORK) | (F.col("s") > CLUSTER_SHINGLES)).alias("large")), "root")
-    texts = docs.selectExpr("CAST(doc_id AS long) AS cid", "text").join(near, "cid").join(rows.selectExpr("doc_id AS cid", "digest"), "cid").join(classes.select("digest", F.col("cid").alias("c2")), "digest").filter("cid = c2").select("root", "large", "cid", "text")
+    near = near.join(load.select("root", "c", ((F.col("c") * F.col("s") > CLUSTER_WORK) | (F.col("s") > CLUSTER_SHINGLES)).alias("large")), "root")
+    texts = docs.selectExpr("CAST(doc_id AS long) AS cid", "text").join(near, "cid").join(rows.selectExpr("doc_id AS cid", "digest"), "cid").join(classes.select("digest", F.col("cid").alias("c2")), "digest").filter("cid = c2").select("root", "c", "large", "cid", "text")
     texts = work.put(texts.dropDuplicates(["cid"]))
     links = _confirm(texts.filter("NOT large"), "root", k, percent)
     huge = texts.filter("large")
     if not huge.isEmpty():
-        ids = huge.select("cid")
-        deep = lists.unionByName(descend(big.join(ids, "cid", "left_semi"), keyed, work, least)).distinct()
+        clusters = huge.select("cid", "root", "c")
+        roots = work.put(_grow(keyed.join(clusters.select("cid"), "cid"), first, DEEP_TREES))
+        deep = lists.unionByName(descend(roots, keyed, clusters, work, least, percent)).distinct()
         parts = deep.withColumn("id", F.xxhash64("members")).select("id", F.explode("members").alias("cid")).join(huge.select("cid", "text"), "cid")
         links = links.unionByName(components(_confirm(parts, "id", k, percent), work).filter("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")))
     root = links.select(F.col("u").alias("cid"), F.col("v").alias("root"))

@@ -222,6 +222,35 @@ def test_near_dedup_against_all_pairs(docs, edges, monkeypatch, small):
     assert all(got[k]["kept"] == (truth[k][1] == k) for k in got)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_deep_trees_keep_pairs_at_the_threshold(percent):
+    rng, lost, n = np.random.default_rng(percent), 0, 250
+    assert neardup.missed(percent, neardup.LEVELS, neardup.DEEP_TREES) < 1e-6
+    for _ in range(n):
+        sig = rng.integers(0, 1 << 32, (2, neardup.COORDINATES), dtype=np.uint32)
+        sig[1] = np.where(rng.random(neardup.COORDINATES) < percent / 100, sig[0], sig[1])
+        keys = [neardup.mix(np.arange(1, neardup.DEEP_TREES + 1, dtype=np.uint64))] * 2
+        for level in range(2 + neardup.LEVELS):  # of the nodes of both, those they share
+            rate = 2 if level < 2 else neardup.picks(percent)
+            nodes = [neardup.below(k, np.repeat(s[None], len(k), axis=0), rate)[0] for k, s in zip(keys, sig, strict=True)]
+            keys = [np.intersect1d(*nodes)[:2000]] * 2
+        lost += not len(keys[0])
+    assert lost == 0
+
+
+def test_near_dedup_of_a_large_family_at_the_threshold(docs, monkeypatch):
+    base, texts = prose(220).split(), []
+    for _ in range(400):  # about 0.85 between any two
+        w = list(base)
+        for k in RNG.sample(range(220), 6):
+            w[k] = RNG.choice(WORDS)
+        texts.append(" ".join(w))
+    for k, v in {"LIMIT": 40, "CLUSTER_WORK": 50}.items():
+        monkeypatch.setattr(neardup, k, v)
+    got = {r["doc_id"]: r["component_id"] for r in neardup.groups(docs(texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == [c for _, c in near_truth(texts)]
+
+
 def test_near_dedup_edges(docs):
     rows = {(r["doc_id"], r["n_shingles"]): r["kept"] for r in neardup.groups(docs(["a b c d", "a b c d", "x y z"], ids=[5, None, 5])).collect()}
     assert rows == {(5, 2): True, (None, 2): True, (5, 1): True}
