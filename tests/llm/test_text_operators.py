@@ -97,6 +97,16 @@ def test_pii_query(docs, edges):
     assert pii.scrub(docs(texts)).columns == docs(texts).columns and pii.spans(docs([]).limit(0)).count() == 0
 
 
+def test_pii_proposes_the_whole_of_long_candidates():
+    chain = "card 4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1 2025 end"
+    assert ("card", 5, 36) in pii.propose(chain, [])
+    for n in (129, 200, 400):
+        key = ("aB3dE5gH7jK9" * 40)[:n]
+        for k in (key, "abcdefghijklmnopqrstuvwxyzabcd" + key):
+            assert ("secret", 8, 8 + len(k)) in pii.propose(f"token = {k} end", [])
+    assert ("mac", 4, 21) in pii.propose("mac aa:bb:cc:dd:ee:ff on", []) and pii.propose("no such thing here", []) == []
+
+
 def test_pii_is_linear_on_hostile_texts():
     for t in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" * 100_000, "@" * 300_000, "1 " * 150_000, "a@" * 100_000):
         pii.find([t], pii.model())
