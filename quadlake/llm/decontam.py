@@ -3,14 +3,16 @@ the slots' values must map consistently, so re-parameterised questions are found
 
 A token is a white-space word without punctuation at its ends, in lower case. One that begins with a digit is a number; a known unit
 after a number is a unit; a capitalised word that doesn't begin a sentence is a name. Windows of WIDTH tokens are hashed; items
-shorter than that have one window of their own length, from LEAST tokens on. Windows with under half of their tokens literal say too
-little and aren't looked up. A document holds an item if at least ENOUGH of the item's windows are found, or half of them where it
-has fewer than twice as many, and, in each alignment that counts, at most BAD of the item's slot values map to more than one value.
+shorter than that have one window of their own length. Each window is looked up literally (its words in lower case, so case and what
+precedes a word don't matter) and as a template, unless it has under LEAST tokens or under half of them literal. A document holds an item
+if at least ENOUGH of the item's windows are found, or half of them where it has fewer than twice as many; of all its windows or of those
+with a template. A template window counts only in alignments where at most BAD of the item's slot values map to more than one value; a literal
+window counts always.
 
 Scale: every document's windows are tested in its row against a constant bitmap of the benchmark's windows, sized by their
 number (MAX_WINDOWS at most; beyond that the test is left out), so only hits leave the scan, and the join is a plain shuffled one.
 
-Defined results: null and empty texts have no windows; items under LEAST tokens are never found; a repeated item is found under each
+Defined results: null and empty texts have no windows; items under LEAST tokens are found literally only; a repeated item is found under each
 id; repeated rows of a doc_id count together; rows with a null doc_id or item_id are left out of leaks() and kept by drop(). Values are compared in lower case.
 """
 
@@ -25,6 +27,7 @@ from .common import Work, let, words
 
 WIDTH, LEAST, ENOUGH, BAD, MAX_WINDOWS = 8, 5, 6, 0.25, 500_000
 PUNCTUATION = ".,;:!?()[]{}\"'`´…*#$%&|<>«»“”„‘’¿¡=+-–—/\\_~^@€£"
+LINE = "\x02"  # before the first word of a line
 NUMBER, NAME, UNIT = "\x01n", "\x01p", "\x01u"
 # Units.
 UNITS = "kg g mg lb lbs oz t km m cm mm mi mile miles ft feet inch inches yd l ml cl gal s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents pound pounds usd eur c f k w kw v a hz khz mhz ghz kb mb gb tb mph kmh kph".split()
@@ -34,7 +37,12 @@ def _digit(code: Column) -> Column:
     return (code >= 48) & (code <= 57)
 
 
-def _tokens(raw: Column) -> Column:
+def _raw(text: Column) -> Column:
+    """The words of a text, with LINE before those that begin a line."""
+    return words(F.regexp_replace(F.btrim(text, F.lit(" \t\n\x0b\f\r")), "[\\n\\r][\\x20\\x09-\\x0D]*+", f" {LINE}"))
+
+
+def _tokens(raw: Column, bare: Column) -> Column:
     """The template tokens of the words, one for each."""
 
     def canon(bare: Column, i: Column) -> Column:
@@ -43,50 +51,60 @@ def _tokens(raw: Column) -> Column:
         inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
         return (
             F.when(_digit(code), NUMBER)
-            .when(_digit(F.ascii(before)) & F.lower(bare).isin(*UNITS), UNIT)
+            .when(_digit(F.ascii(F.ltrim(before, F.lit(LINE)))) & F.lower(bare).isin(*UNITS), UNIT)
             .when(capital & inside & (bare != F.upper(bare)), NAME)
             .otherwise(F.lower(bare))
         )
 
-    return F.transform(F.transform(raw, lambda w: F.btrim(w, F.lit(PUNCTUATION))), canon)
+    return F.transform(bare, canon)
 
 
-def _windows(hashes: Column, width: int) -> Column:
-    """The hash of each window of width tokens."""
+def _windows(hashes: Column, width: int, literal: bool) -> Column:
+    """The hash of each window of width tokens; those of literal windows are apart."""
     n = F.size(hashes)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.xxhash64(F.lit(width), *[F.get(hashes, i + k) for k in range(width)]))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= width, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.xxhash64(F.lit(-width if literal else width), *[F.get(hashes, i + k) for k in range(width)]))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _values(raw: Column, tokens: Column, at: Column, width: int) -> Column:
+def _values(low: Column, tokens: Column, at: Column, width: int) -> Column:
     """The slots' values in a window: null where the token is literal."""
-    return F.transform(F.sequence(at, at + width - 1), lambda j: F.when(F.get(tokens, j).isin(NUMBER, NAME, UNIT), F.lower(F.btrim(F.get(raw, j), F.lit(PUNCTUATION)))))
+    return F.transform(F.sequence(at, at + width - 1), lambda j: F.when(F.get(tokens, j).isin(NUMBER, NAME, UNIT), F.get(low, j)))
 
 
 def _hits(text: Column, widths: list[int], seen) -> Column:
-    """Structs of (h, pos, slots) of the windows for which seen(hash) holds."""
+    """Structs of (h, pos, slots, literal) of the windows for which seen(hash) holds. Slots of literal windows are given only without seen."""
 
     def of(x: Column) -> Column:
-        def with_hashes(hashes: Column) -> Column:
-            def pick(width: int) -> Column:
-                return let(_windows(hashes, width), lambda wh: F.transform(F.filter(F.transform(wh, lambda h, i: F.struct(h.alias("h"), i.alias("pos"))), lambda y: seen(y.h)) if seen else F.transform(wh, lambda h, i: F.struct(h.alias("h"), i.alias("pos"))), lambda y: F.struct(y.h.alias("h"), y.pos.alias("pos"), _values(x.raw, x.tokens, y.pos, width).alias("slots"))))
+        def pick(hashes: Column, width: int, literal: bool) -> Column:
+            def found(wh: Column) -> Column:
+                at = F.transform(wh, lambda h, i: F.struct(h.alias("h"), i.alias("pos")))
+                slots = lambda y: F.array().cast("array<string>") if literal and seen else _values(x.low, x.tokens, y.pos, width)
+                return F.transform(F.filter(at, lambda y: seen(y.h)) if seen else at, lambda y: F.struct(y.h.alias("h"), y.pos.alias("pos"), slots(y).alias("slots"), F.lit(literal).alias("literal")))
+
+            return let(_windows(hashes, width, literal), found)
+
+        def each(tokens: Column, literal: bool) -> Column:
+            return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda hashes: F.flatten(F.array(*[pick(hashes, w, literal) for w in widths if literal or w >= LEAST])))
 
-            return F.flatten(F.array(*[pick(w) for w in widths])) if len(widths) > 1 else pick(widths[0])
+        return F.concat(each(x.low, True), each(x.tokens, False)) if max(widths) >= LEAST else each(x.low, True)
 
-        return let(F.transform(x.tokens, lambda t: F.xxhash64(t)), with_hashes)
+    def split(raw: Column) -> Column:
+        bare = F.transform(raw, lambda w: F.btrim(w, F.lit(PUNCTUATION + LINE)))
+        return let(bare, lambda b: let(F.struct(F.transform(b, lambda w: F.lower(w)).alias("low"), _tokens(raw, b).alias("tokens")), of))
 
-    return let(words(text), lambda raw: let(F.struct(raw.alias("raw"), _tokens(raw).alias("tokens")), of))
+    return let(_raw(text), split)
 
 
 def items(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """item_id, h, item_pos, slots and n (windows of the item) of each window worth a look, and the widths in use (WIDTH at most of them)."""
+    """item_id, h, item_pos, slots, literal and own (the window has a template) of each window, and the widths in use (WIDTH at most of them)."""
     rows = benchmark.filter("item_id IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
     size = F.size(words(F.col("text")))
-    small = [w for (w,) in rows.select(size.alias("w")).filter((F.col("w") < WIDTH) & (F.col("w") >= LEAST)).distinct().collect()]
+    small = [w for (w,) in rows.select(size.alias("w")).filter((F.col("w") < WIDTH) & (F.col("w") > 0)).distinct().collect()]
     parts = []
     for w in sorted({*small, WIDTH}):
         own = rows.filter(size == w) if w < WIDTH else rows.filter(size >= WIDTH)
-        hit = own.select("item_id", F.explode(_hits(F.col("text"), [w], None)).alias("x")).select("item_id", "x.h", F.col("x.pos").alias("item_pos"), F.col("x.slots").alias("item_slots"))
-        parts.append(hit.filter(2 * F.size(F.filter("item_slots", lambda v: v.isNull())) >= w))
+        hit = own.select("item_id", F.explode(_hits(F.col("text"), [w], None)).alias("x")).select("item_id", "x.h", F.col("x.pos").alias("item_pos"), F.col("x.slots").alias("item_slots"), "x.literal")
+        hit = hit.withColumn("own", (2 * F.size(F.filter("item_slots", lambda v: v.isNull())) >= w) & F.lit(w >= LEAST))
+        parts.append(hit.filter("literal OR own").withColumn("item_slots", F.when(F.col("literal"), F.array().cast("array<string>")).otherwise(F.col("item_slots"))))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -106,7 +124,7 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             table[k >> 6] |= 1 << (k & 63)
         map_ = F.from_json(F.lit(json.dumps([x - (1 << 64) if x >> 63 else x for x in table])), "array<bigint>")
         seen = lambda h: F.getbit(F.get(map_, F.shiftright(h.bitwiseAND((1 << bits) - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
-    found = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_hits(F.col("text"), widths, seen)).alias("x")).select("doc_id", "x.h", "x.pos", "x.slots")
+    found = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_hits(F.col("text"), widths, seen)).alias("x")).select("doc_id", "x.h", "x.pos", "x.slots")  # literal and template windows never share a hash
     return found.join(windows, "h")
 
 
@@ -117,12 +135,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     slot = found.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s")).filter("s.i IS NOT NULL")
     values = slot.groupBy("doc_id", "item_id", "shift", "s.i").agg(F.min("s.d").alias("a"), F.max("s.d").alias("b"))
     fit = values.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n_slots"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("bad"), F.sum(((F.col("a") == F.col("b")) & (F.col("a") != F.col("i"))).cast("long")).alias("changed"))
-    aligned = found.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("item_pos").alias("at")).join(fit, ["doc_id", "item_id", "shift"], "left").filter(F.coalesce(F.col("bad") <= F.col("n_slots") * BAD, F.lit(True)))
+    aligned = found.join(fit, ["doc_id", "item_id", "shift"], "left").filter(F.col("literal") | F.coalesce(F.col("bad") <= F.col("n_slots") * BAD, F.lit(True)))
     held = aligned.groupBy("doc_id", "item_id").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_set("at")))).alias("n_windows"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("changed"), F.lit(0)).alias("n_changed"), F.coalesce(F.max("bad"), F.lit(0)).alias("n_inconsistent"),
+        F.size(F.collect_set("item_pos")).alias("n_windows"), F.size(F.collect_set(F.when(F.col("own"), F.col("item_pos")))).alias("n_own"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("changed"), F.lit(0)).alias("n_changed"), F.coalesce(F.max("bad"), F.lit(0)).alias("n_inconsistent"),
     )
-    sizes = items(benchmark)[0].groupBy("item_id").agg(F.count("*").alias("item_windows"))
-    return held.join(sizes, "item_id").filter(F.col("n_windows") >= F.least(F.lit(ENOUGH), F.ceil(F.col("item_windows") / 2))).select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed", "n_inconsistent")
+    sizes = items(benchmark)[0].filter("literal").groupBy("item_id").agg(F.count("*").alias("item_windows"), F.sum(F.col("own").cast("long")).alias("item_own"))
+    enough = lambda n, of: (F.col(of) > 0) & (F.col(n) >= F.least(F.lit(ENOUGH), F.ceil(F.col(of) / 2)))
+    return held.join(sizes, "item_id").filter(enough("n_windows", "item_windows") | enough("n_own", "item_own")).select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed", "n_inconsistent")
 
 
 def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -170,6 +170,13 @@ def test_decontamination(spark, docs, edges):
     assert decontam.leaks(docs([]).limit(0), bench).count() == 0 and decontam.leaks(docs(texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_verbatim_copies_of_any_item(spark, docs):
+    names, numbers = "Who Wrote The Famous Novel Pride And Prejudice In England Around 1813", "Sort 5 3 9 1 4 8 2 7 6 0 11 15"
+    bench = benchmark(spark, names, numbers, "Define zymurgy briefly")
+    texts = [f"{prose(9)} {x} {prose(9)}" for x in (names, numbers, "Define zymurgy briefly")] + [prose(60)]
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(texts), bench).collect()} == {(0, 0), (1, 1), (2, 2)}
+
+
 def test_decontamination_without_the_bitmap(spark, docs, monkeypatch):
     item = prose(40)
     texts, bench = [f"{prose(30)} {item} {prose(9)}", prose(80)], benchmark(spark, item)
