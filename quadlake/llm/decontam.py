@@ -2,8 +2,8 @@
 the slots' values must map consistently, so re-parameterised questions are found too. DataFrame functions only.
 
 A token is a white-space word without punctuation at its ends, in lower case. One that begins with a digit is a number; a known unit
-after a number is a unit; a capitalised word that doesn't begin a sentence is a name. Windows of WIDTH tokens are hashed; items
-shorter than that have one window of their own length. Each window is looked up literally (its words in lower case, so case and what
+after a number is a unit; a capitalised word that begins neither a sentence nor a line is a name. Windows of WIDTH tokens are hashed; items
+shorter than that have one window of their own length. Each window is looked up literally (its words in lower case with ss for ß, so case and what
 precedes a word don't matter) and as a template, unless it has under LEAST tokens or under half of them literal. A document holds an item
 if at least ENOUGH of the item's windows are found, or half of them where it has fewer than twice as many; of all its windows or of those
 with a template. A template window counts only in alignments where at most BAD of the item's slot values map to more than one value; a literal
@@ -48,7 +48,7 @@ def _tokens(raw: Column, bare: Column) -> Column:
     def canon(bare: Column, i: Column) -> Column:
         before, code = F.get(raw, i - 1), F.ascii(bare)
         capital = ((code >= 65) & (code <= 90)) | ((code >= 192) & (code <= 222))
-        inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":")
+        inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":") & ~F.get(raw, i).startswith(LINE)
         return (
             F.when(_digit(code), NUMBER)
             .when(_digit(F.ascii(F.ltrim(before, F.lit(LINE)))) & F.lower(bare).isin(*UNITS), UNIT)
@@ -89,7 +89,7 @@ def _hits(text: Column, widths: list[int], seen) -> Column:
 
     def split(raw: Column) -> Column:
         bare = F.transform(raw, lambda w: F.btrim(w, F.lit(PUNCTUATION + LINE)))
-        return let(bare, lambda b: let(F.struct(F.transform(b, lambda w: F.lower(w)).alias("low"), _tokens(raw, b).alias("tokens")), of))
+        return let(bare, lambda b: let(F.struct(F.transform(b, lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss"))).alias("low"), _tokens(raw, b).alias("tokens")), of))
 
     return let(_raw(text), split)
 

@@ -177,6 +177,14 @@ def test_decontamination_finds_verbatim_copies_of_any_item(spark, docs):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(texts), bench).collect()} == {(0, 0), (1, 1), (2, 2)}
 
 
+def test_decontamination_in_other_case_and_context(spark, docs):
+    short, german = "What is the capital of France today", "Welche Stadt liegt an der Elbe und hat den größten Hafen in Deutschland"
+    twice = "if Anna has 12 apples and then finds 12 more how many does she own"
+    bench = benchmark(spark, short, german, twice)
+    texts = [f"see below\n{short}", f"a heading {short}, then", german.lower(), german.upper(), f"{prose(5)} {twice.replace('12 more', '14 more').replace('Anna', 'anna')} {prose(5)}", f"{prose(9)} {twice.replace('12', '15')}", prose(60)]
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(texts), bench).collect()} >= {(0, 0), (1, 0), (2, 1), (3, 1), (5, 2)}
+
+
 def test_decontamination_without_the_bitmap(spark, docs, monkeypatch):
     item = prose(40)
     texts, bench = [f"{prose(30)} {item} {prose(9)}", prose(80)], benchmark(spark, item)
