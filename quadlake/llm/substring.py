@@ -2,8 +2,10 @@
 
 A boundary stands where the top bits of the gear hash of the last 32 bytes are zero, so boundaries move with the content and an
 insertion only changes the chunks around it. Chunks have MIN to MAX bytes (the last may be shorter), about 48. A chunk whose digest is found in two or
-more documents is repeated; neighbouring repeated chunks join to runs, and runs of at least RUN bytes are reported. The first
-occurrence (smallest doc_id, then place) of a chunk is kept; a run is kept if all its chunks are first ones.
+more documents is repeated, and the seed of a match with the first occurrence (smallest doc_id, then place) of the chunk; neighbouring seeds join.
+A seed's match is extended on both sides by comparing bytes, up to REACH of them, and cut back to whole words where it goes past
+one. Matches of at least RUN bytes count on both their sides; those of a document that overlap or touch join to runs. A run is kept if
+it is first in all its matches.
 
 Defined results: null and empty texts have no chunks; repeats within one document alone are no finding; repeated rows with the same
 doc_id count as one document; rows with a null doc_id are left out. Offsets are bytes of the UTF-8 text.
@@ -20,7 +22,8 @@ from pyspark.sql import functions as F
 
 from .common import Work, ready
 
-BITS, MIN, MAX, RUN = 5, 16, 256, 96
+BITS, MIN, MAX, RUN, REACH = 5, 16, 256, 96, 1024
+SPACES = b" \t\n\x0b\f\r"
 
 
 def _gear() -> np.ndarray:
@@ -79,15 +82,84 @@ def chunks(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(of, "doc_id long, at long, size int, digest binary")
 
 
+def forward(a: bytes, b: bytes, whole: bool = True) -> int:
+    """Bytes that two texts go on alike from a match's end, cut back to the end of a word if there is white space among them."""
+    n = min(len(a), len(b))
+    if a[:n] != b[:n]:
+        x = np.frombuffer(a, dtype=np.uint8, count=n) != np.frombuffer(b, dtype=np.uint8, count=n)
+        n = int(x.argmax())
+    if all(n == len(t) or t[n] in SPACES for t in (a, b)):
+        return len(a[:n].rstrip(SPACES))
+    k = max((a.rfind(bytes([c]), 0, n) for c in SPACES), default=-1)
+    if k >= 0:
+        return len(a[:k].rstrip(SPACES))
+    while whole and n and n < len(a) and a[n] & 0xC0 == 0x80:  # whole characters
+        n -= 1
+    return n
+
+
+def backward(a: bytes, b: bytes) -> int:
+    """The same before a match's start."""
+    n = forward(a[::-1], b[::-1], False)
+    while n and a[len(a) - n] & 0xC0 == 0x80:
+        n -= 1
+    return n
+
+
+def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """doc_id, start, end and up to REACH bytes before and after each place (doc_id, start, end)."""
+    wanted = places.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("places"))
+    rows = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").join(wanted, "doc_id")
+
+    def of(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                data, out = (batch.column("text")[k].as_py() or "").encode("utf-8", "surrogatepass"), []
+                for p in batch.column("places")[k].as_py():
+                    s, e = p["start"], p["end"]
+                    if e <= len(data):
+                        out.append((batch.column("doc_id")[k].as_py(), s, e, data[max(0, s - REACH) : s], data[e : e + REACH]))
+                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.binary()), (4, pa.binary()))], names=["doc_id", "start", "end", "left", "right"])
+
+    return rows.mapInArrow(of, "doc_id long, start long, end long, left binary, right binary").dropDuplicates(["doc_id", "start", "end"])
+
+
+def _extended(pairs: DataFrame) -> DataFrame:
+    """Matches on both their sides, from seeds with both contexts."""
+
+    def of(batches):
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                left, right = backward(r["left"], r["f_left"]), forward(r["right"], r["f_right"])
+                if r["end"] + right - r["start"] + left >= RUN:
+                    for d, s, e, kept in ((r["doc_id"], r["start"], r["end"], False), (r["f_doc"], r["f_start"], r["f_end"], True)):
+                        out.append((d, s - left, e + right, r["n_docs"], r["f_doc"], kept))
+            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "start", "end", "n_docs", "first_doc_id", "kept"])
+
+    return pairs.mapInArrow(of, "doc_id long, start long, end long, n_docs long, first_doc_id long, kept boolean")
+
+
 def repeats(docs: DataFrame) -> DataFrame:
-    """A row for each run of repeated chunks: doc_id, start, end, n_docs (most documents that share one of its chunks), first_doc_id, kept."""
+    """A row for each run of repeated text: doc_id, start, end, n_docs (most documents that share one of its chunks), first_doc_id, kept."""
     work = Work(docs.sparkSession, "substring")
     all_ = work.put(chunks(docs))
     first = all_.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("last"), F.approx_count_distinct("doc_id").alias("n_docs")).filter("f.doc_id <> last")
-    hits = all_.join(first, "digest").select("doc_id", "at", (F.col("at") + F.col("size")).alias("end"), "n_docs", F.col("f.doc_id").alias("first_doc_id"), ((F.col("f.doc_id") == F.col("doc_id")) & (F.col("f.at") == F.col("at"))).alias("kept"))
+    hits = all_.join(first, "digest").filter("doc_id <> f.doc_id OR at <> f.at").select("doc_id", "at", (F.col("at") + F.col("size")).alias("end"), "n_docs", F.col("f.doc_id").alias("f_doc"), F.col("f.at").alias("f_at")).dropDuplicates(["doc_id", "at"])
     order = Window.partitionBy("doc_id").orderBy("at", "end")
-    runs = hits.dropDuplicates(["doc_id", "at"]).withColumn("new", (F.coalesce(F.lag("end").over(order), F.lit(-1)) != F.col("at")).cast("int")).withColumn("run", F.sum("new").over(order))
-    return runs.groupBy("doc_id", "run").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.max("n_docs").alias("n_docs"), F.min("first_doc_id").alias("first_doc_id"), F.min("kept").alias("kept")).filter(F.col("end") - F.col("start") >= RUN).drop("run")
+    same = (F.lag("end").over(order) == F.col("at")) & (F.lag("f_doc").over(order) == F.col("f_doc")) & (F.lag(F.col("f_at") - F.col("at")).over(order) == F.col("f_at") - F.col("at"))
+    runs = hits.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(order))
+    seeds = runs.groupBy("doc_id", "run").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.max("n_docs").alias("n_docs"), F.min("f_doc").alias("f_doc"), F.min("f_at").alias("f_start"))
+    seeds = work.put(seeds.withColumn("f_end", F.col("f_start") + F.col("end") - F.col("start")).drop("run"))
+    firsts = seeds.selectExpr("f_doc AS doc_id", "f_start AS start", "f_end AS end")
+    near = work.put(_contexts(docs, seeds.select("doc_id", "start", "end").unionByName(firsts)))
+    there = near.selectExpr("doc_id AS f_doc", "start AS f_start", "end AS f_end", "left AS f_left", "right AS f_right")
+    matches = _extended(seeds.join(near, ["doc_id", "start", "end"]).join(there, ["f_doc", "f_start", "f_end"])).distinct()
+    order = Window.partitionBy("doc_id").orderBy("start", "end")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    joined = matches.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
+    joined = joined.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    return joined.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n_docs").alias("n_docs"), F.min("first_doc_id").alias("first_doc_id"), F.min("kept").alias("kept")).drop("run")
 
 
 def clean(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -108,6 +108,21 @@ def test_substring_repeats(docs, edges):
     assert substring.repeats(docs([]).limit(0)).count() == 0
 
 
+def test_substring_repeats_are_extended_to_the_match(docs):
+    rng, texts, shared = random.Random(31), [], []
+    for _ in range(60):  # passages of 51 short words, each in two contexts
+        p = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(4)) for _ in range(51))
+        shared.append(p.encode())
+        texts += [f"{prose(30, rng)} {p} {prose(30, rng)}" for _ in range(2)]
+    found = defaultdict(list)
+    for r in substring.repeats(docs(texts)).collect():
+        found[r["doc_id"]].append(texts[r["doc_id"]].encode()[r["start"] : r["end"]])
+    whole = sum(any(shared[k // 2] in x for x in found[k]) for k in range(120))
+    pieces = lambda t: {t[a:b] for a, b in zip([0, *substring.cuts(t)], substring.cuts(t), strict=False)}
+    seeded = [pieces(t.encode()) for t in texts]
+    assert whole == sum(bool(seeded[k] & seeded[k ^ 1]) for k in range(120)) and whole >= 112
+
+
 def test_chunks_resist_shifts():
     body = prose(3000).encode()
     pieces = lambda d: {d[a:b] for a, b in zip([0, *substring.cuts(d)], substring.cuts(d), strict=False)}
