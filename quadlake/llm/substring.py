@@ -144,7 +144,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     """A row for each run of repeated text: doc_id, start, end, n_docs (most documents that share one of its chunks), first_doc_id, kept."""
     work = Work(docs.sparkSession, "substring")
     all_ = work.put(chunks(docs))
-    first = all_.groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("last"), F.approx_count_distinct("doc_id").alias("n_docs")).filter("f.doc_id <> last")
+    first = all_.groupBy("digest", "doc_id").agg(F.min("at").alias("at")).groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("last"), F.count("*").alias("n_docs")).filter("f.doc_id <> last")
     hits = all_.join(first, "digest").filter("doc_id <> f.doc_id OR at <> f.at").select("doc_id", "at", (F.col("at") + F.col("size")).alias("end"), "n_docs", F.col("f.doc_id").alias("f_doc"), F.col("f.at").alias("f_at")).dropDuplicates(["doc_id", "at"])
     order = Window.partitionBy("doc_id").orderBy("at", "end")
     same = (F.lag("end").over(order) == F.col("at")) & (F.lag("f_doc").over(order) == F.col("f_doc")) & (F.lag(F.col("f_at") - F.col("at")).over(order) == F.col("f_at") - F.col("at"))

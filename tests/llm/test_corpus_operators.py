@@ -123,6 +123,11 @@ def test_substring_repeats_are_extended_to_the_match(docs):
     assert whole == sum(bool(seeded[k] & seeded[k ^ 1]) for k in range(120)) and whole >= 112
 
 
+def test_substring_counts_documents_exactly(docs):
+    text = prose(40)
+    assert {r["n_docs"] for r in substring.repeats(docs([text] * 777)).collect()} == {777}
+
+
 def test_chunks_resist_shifts():
     body = prose(3000).encode()
     pieces = lambda d: {d[a:b] for a, b in zip([0, *substring.cuts(d)], substring.cuts(d), strict=False)}
