@@ -6,7 +6,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quadlake.llm import chat, html, langid, pii, quality
 
@@ -46,15 +48,44 @@ def test_quality_rules(spark, docs, edges):
     assert quality.judge(docs(texts).limit(0), labels).count() == 0
 
 
-def test_quality_score_is_the_mean_ratio(spark, docs):
-    texts = ["alpha beta gamma"] * 2 + ["delta beta"] * 2
-    labels = spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int")
-    got = [r["score"] for r in quality.judge(docs(texts), labels).orderBy("doc_id").collect()]
-    grams = lambda t: t.split() + list(zip(t.split(), t.split()[1:]))
-    raw, target = Counter(g for t in texts for g in grams(t)), Counter(grams(texts[0]))
-    nr, nt, a = sum(raw.values()) + quality.ALPHA * quality.BUCKETS, sum(target.values()) + quality.ALPHA * quality.BUCKETS, quality.ALPHA
-    want = [sum(math.log((target[g] + a) / nt) - math.log((raw[g] + a) / nr) for g in grams(t)) / len(grams(t)) for t in texts]
-    assert got == pytest.approx(want)
+def quality_truth(grams, trusted):
+    """Scores and verdicts, text by text; grams: the buckets of each text's n-grams, as tuples."""
+    raw, target = Counter(b for g in {*grams} for b in g), Counter(b for g in {grams[k] for k in trusted} for b in g)
+    nr, nt, c = sum(raw.values()), sum(target.values()), quality.PRIOR
+    score = lambda g, own, n: sum(math.log((((target[b] - own[b]) / n) / (raw[b] / nr) + c) / (1 + c)) for b in g) / len(g)
+    loo = sorted(score(g, Counter(g), nt - len(g)) for g in {grams[k] for k in trusted})
+    low, mid = np.quantile(loo, [0.05, 0.5])
+    return [(s, s >= mid - quality.SPREADS * (mid - low) - 1e-9) for s in (score(g, Counter(), nt) for g in grams)]
+
+
+def test_quality_scores_and_floor_against_brute_force(spark, docs):
+    rng = random.Random(12)
+    texts = [prose("en", rng.randint(12, 60), rng) for _ in range(60)] + [prose("de", 30, rng) for _ in range(10)]
+    texts += texts[3:8] * 4
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(40)], "doc_id long, quality int, toxic int")
+    got = quality.judge(docs(texts), labels).orderBy("doc_id").collect()
+    buckets = docs(texts).orderBy("doc_id").select(quality._ngrams(quality._hashes(F.col("text"))).alias("g")).collect()
+    want = quality_truth([tuple(r["g"]) for r in buckets], range(40))
+    assert [r["score"] for r in got] == pytest.approx([s for s, _ in want])
+    assert sum(r["kept"] != k for r, (_, k) in zip(got, want, strict=True)) == 0 and not all(k for _, k in want)
+
+
+def test_copies_change_no_quality_verdict(spark, docs):
+    texts = [prose("en", 60) for _ in range(40)] + [prose("de", 60) for _ in range(8)]
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(30)], "doc_id long, quality int, toxic int")
+    alone = quality.judge(docs(texts), labels).orderBy("doc_id").collect()
+    copied = quality.judge(docs(texts + [texts[0]] * 50 + [texts[35]] * 20 + [texts[45]] * 9), labels).orderBy("doc_id").collect()
+    assert alone == copied[: len(texts)] and all(r["kept"] for r in alone[:40])
+
+
+def test_quality_floor_is_by_language(spark, docs):
+    texts = [prose("en", 60) for _ in range(200)] + [prose("de", 60) for _ in range(120)]
+    langs = ["en"] * 200 + ["de"] * 120
+    labels = spark.createDataFrame([(k, 1, 0) for k in [*range(150), *range(200, 260)]], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(docs(texts, langs), labels).collect()}
+    assert sum(got[k] for k in range(200)) >= 198 and sum(got[k] for k in range(200, 320)) >= 118
+    bare = quality.judge(docs(texts).drop("lang"), labels)
+    assert bare.count() == len(texts)
 
 
 BASE = {
