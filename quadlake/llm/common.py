@@ -46,7 +46,13 @@ class Work:
 
     def put(self, df: DataFrame) -> DataFrame:
         self.n += 1
-        df.write.option("compression", "zstd").parquet(path := f"{self.root}/{self.n}")
+        conf, clean = self.spark.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+        before = conf.get(clean, None)
+        conf.set(clean, "true")  # what was shuffled to write the table is freed with it
+        try:
+            df.write.option("compression", "zstd").parquet(path := f"{self.root}/{self.n}")
+        finally:
+            conf.set(clean, before) if before is not None else conf.unset(clean)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.work_path = path
         return out

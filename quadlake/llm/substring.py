@@ -2,27 +2,40 @@
 
 A boundary stands where the top bits of the gear hash of the last 32 bytes are zero, so boundaries move with the content and an
 insertion only changes the chunks around it. Chunks have MIN to MAX bytes (the last may be shorter), about 48. A chunk whose digest is found in two or
-more documents is repeated, and the seed of a match with the first occurrence (smallest doc_id, then place) of the chunk; neighbouring seeds join.
+more documents is repeated, and the seed of a match with the first occurrence (smallest document, then place) of the chunk; neighbouring seeds join.
 A seed's match is extended on both sides by comparing bytes, up to REACH of them, and cut back to whole words where it goes past
-one. Matches of at least RUN bytes count on both their sides; those of a document that overlap or touch join to runs. A run is kept if
-it is first in all its matches.
+one. Matches of at least RUN bytes count on both their sides. What a document has from an earlier place is a run that isn't kept; what only
+later places share is a run that is. Every byte of a run that isn't kept stands at an earlier place too, and the first of these places is never
+in such a run, so taking all of them out (deduplicate()) loses no text.
 
-Defined results: null and empty texts have no chunks; repeats within one document alone are no finding; repeated rows with the same
-doc_id count as one document; rows with a null doc_id are left out. Offsets are bytes of the UTF-8 text.
+A document is a doc_id with a text: two texts of one doc_id are two documents, ordered by text_id (a checksum), and equal rows are one.
+
+Scale: a digest's first occurrence and counts are aggregated before their shuffle. Only repeated digests are joined with the chunks;
+those that over 1/HOT of all chunks have (HOT of them at most) by broadcast, so no task gets all chunks of one digest. The chunks of a
+document are read in order, one by one. First places that over 1/HOT of all seeds point at are joined by salts. What is
+gathered for a document never has more rows than the document has chunks.
+
+Defined results: null and empty texts have no chunks; repeats within one document alone are no finding; n_docs counts rows, so repeated
+rows count each where other documents share the text; null doc_ids are documents like others, before all ids. Offsets are bytes of the
+UTF-8 text. Other columns, whatever their names, are ignored by repeats() and kept by deduplicate().
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Work, ready
 
-BITS, MIN, MAX, RUN, REACH = 5, 16, 256, 96, 1024
+BITS, MIN, MAX, RUN, REACH, HOT = 5, 16, 256, 96, 512, 4096
+NO_ID = -(1 << 63)  # what a null doc_id is inside
+AGAIN = 1 << 31  # the bit of a place that says that its chunk stands before in its document
 SPACES = b" \t\n\x0b\f\r"
 
 
@@ -61,25 +74,46 @@ def cuts(data: bytes) -> list[int]:
     return out
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), "text").filter("text <> ''")
+
+
+def text_id(data: bytes) -> int:
+    return zlib.crc32(data) & 0x7FFFFFFF
+
+
+def _text_id(text: Column) -> Column:
+    return F.crc32(text.cast("binary")).bitwiseAND(0x7FFFFFFF)
+
+
+def _batch(schema: list[tuple[str, pa.DataType]], columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, schema, strict=True)], names=[n for n, _ in schema])
+
+
 def chunks(docs: DataFrame) -> DataFrame:
-    """doc_id, at, size and digest of every chunk."""
+    """A row for each chunk: its digest (a, b; the last nine bits of b are its size), doc_id, and place (text_id, AGAIN, offset)."""
     ready(docs.sparkSession)
+    schema = [(n, pa.int64()) for n in ("a", "b", "doc_id", "place")]
 
     def of(batches):
         for batch in batches:
             for ids, texts in ((batch.column("doc_id")[k : k + 100].to_pylist(), batch.column("text")[k : k + 100].to_pylist()) for k in range(0, batch.num_rows, 100)):
-                out: tuple[list, list, list, list] = [], [], [], []
+                digests, sizes, owners, places = [], [], [], []
                 for doc_id, text in zip(ids, texts, strict=True):
-                    data, last = (text or "").encode("utf-8", "surrogatepass"), 0
-                    for end in cuts(data) if data else ():
-                        out[0].append(doc_id)
-                        out[1].append(last)
-                        out[2].append(end - last)
-                        out[3].append(hashlib.blake2b(data[last:end], digest_size=12).digest())
+                    data, last, seen = text.encode("utf-8", "surrogatepass"), 0, set()
+                    high = text_id(data) << 32
+                    for end in cuts(data):
+                        d = hashlib.blake2b(data[last:end], digest_size=16).digest()
+                        digests.append(d)
+                        sizes.append(end - last)
+                        owners.append(doc_id)
+                        places.append(high | (AGAIN if d in seen else 0) | last)
+                        seen.add(d)
                         last = end
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["doc_id", "at", "size", "digest"])
+                two = np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2)
+                yield _batch(schema, (two[:, 0], (two[:, 1] & ~511) | np.array(sizes, dtype=np.int64), owners, places))
 
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(of, "doc_id long, at long, size int, digest binary")
+    return _texts(docs).mapInArrow(of, "a long, b long, doc_id long, place long")
 
 
 def forward(a: bytes, b: bytes, whole: bool = True) -> int:
@@ -106,60 +140,164 @@ def backward(a: bytes, b: bytes) -> int:
     return n
 
 
+SEED = [(n, pa.int64()) for n in ("doc_id", "text_id", "start", "end", "n_docs", "f_doc", "f_text", "f_start")]
+
+
+def _seeds(hits: DataFrame) -> DataFrame:
+    """Neighbouring hits (doc_id, place, size, n_docs, f_doc, f_place) whose first places are neighbours too, joined. Rows come sorted and are read in one pass."""
+
+    def of(batches):
+        held: np.ndarray | None = None  # the run that may go on
+        for batch in batches:
+            x = np.stack([batch.column(c).to_numpy() for c in ("doc_id", "place", "size", "n_docs", "f_doc", "f_place")], axis=1) if batch.num_rows else np.empty((0, 6), dtype=np.int64)
+            at, f_at = x[:, 1] & (AGAIN - 1), x[:, 5] & (AGAIN - 1)
+            rows = np.stack([x[:, 0], x[:, 1] >> 32, at, at + x[:, 2], x[:, 3], x[:, 4], x[:, 5] >> 32, f_at], axis=1)
+            if held is not None:
+                rows = np.concatenate([held[None], rows])
+            if not len(rows):
+                continue
+            a, b = rows[:-1], rows[1:]
+            again = np.concatenate(([False], (a[:, :3] == b[:, :3]).all(axis=1) & (a[:, 5:] == b[:, 5:]).all(axis=1)))  # a repeated row of the document
+            rows = rows[~again]
+            a, b = rows[:-1], rows[1:]
+            on = (a[:, [0, 1, 5, 6]] == b[:, [0, 1, 5, 6]]).all(axis=1) & (a[:, 3] == b[:, 2]) & (a[:, 2] - a[:, 7] == b[:, 2] - b[:, 7])
+            starts = np.flatnonzero(np.concatenate(([True], ~on)))
+            ends = np.concatenate((starts[1:], [len(rows)])) - 1
+            out = rows[starts]
+            out[:, 3] = rows[ends, 3]
+            out[:, 4] = np.maximum.reduceat(rows[:, 4], starts)
+            held, out = out[-1], out[:-1]
+            yield _batch(SEED, out.T)
+        if held is not None:
+            yield _batch(SEED, held[:, None])
+
+    ordered = hits.withColumn("text_id", F.shiftright("place", 32)).repartition("doc_id", "text_id").sortWithinPartitions("doc_id", "text_id", F.col("place").bitwiseAND(AGAIN - 1))
+    return ordered.drop("text_id").mapInArrow(of, ", ".join(f"{n} long" for n, _ in SEED))
+
+
 def _contexts(docs: DataFrame, places: DataFrame) -> DataFrame:
-    """doc_id, start, end and up to REACH bytes before and after each place (doc_id, start, end)."""
-    wanted = places.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("places"))
-    rows = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").join(wanted, "doc_id")
+    """doc_id, text_id, start, end and up to REACH bytes before and after each place (doc_id, text_id, start, end)."""
+    wanted = places.distinct().groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "end")).alias("places"))
+    rows = _texts(docs).withColumn("text_id", _text_id(F.col("text"))).join(wanted, ["doc_id", "text_id"])
+    schema = [("doc_id", pa.int64()), ("text_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("left", pa.binary()), ("right", pa.binary())]
 
     def of(batches):
         for batch in batches:
             for k in range(batch.num_rows):
-                data, out = (batch.column("text")[k].as_py() or "").encode("utf-8", "surrogatepass"), []
-                for p in batch.column("places")[k].as_py():
-                    s, e = p["start"], p["end"]
-                    if e <= len(data):
-                        out.append((batch.column("doc_id")[k].as_py(), s, e, data[max(0, s - REACH) : s], data[e : e + REACH]))
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in ((0, pa.int64()), (1, pa.int64()), (2, pa.int64()), (3, pa.binary()), (4, pa.binary()))], names=["doc_id", "start", "end", "left", "right"])
+                data, d, v = batch.column("text")[k].as_py().encode("utf-8", "surrogatepass"), batch.column("doc_id")[k].as_py(), batch.column("text_id")[k].as_py()
+                out = [(d, v, p["start"], p["end"], data[max(0, p["start"] - REACH) : p["start"]], data[p["end"] : p["end"] + REACH]) for p in batch.column("places")[k].as_py() if p["end"] <= len(data)]
+                yield _batch(schema, zip(*out, strict=True) if out else [[]] * 6)
+
+    return rows.mapInArrow(of, "doc_id long, text_id long, start long, end long, left binary, right binary").dropDuplicates(["doc_id", "text_id", "start", "end"])
 
-    return rows.mapInArrow(of, "doc_id long, start long, end long, left binary, right binary").dropDuplicates(["doc_id", "start", "end"])
+
+MATCH = [*((n, pa.int64()) for n in ("doc_id", "text_id", "at", "start", "end", "n_docs", "first")), ("kept", pa.bool_())]
 
 
 def _extended(pairs: DataFrame) -> DataFrame:
-    """Matches on both their sides, from seeds with both contexts."""
+    """Matches on both their sides, from seeds with both contexts; at is where the side's seed begins."""
 
     def of(batches):
         for batch in batches:
             out = []
             for r in batch.to_pylist():
                 left, right = backward(r["left"], r["f_left"]), forward(r["right"], r["f_right"])
-                if r["end"] + right - r["start"] + left >= RUN:
-                    for d, s, e, kept in ((r["doc_id"], r["start"], r["end"], False), (r["f_doc"], r["f_start"], r["f_end"], True)):
-                        out.append((d, s - left, e + right, r["n_docs"], r["f_doc"], kept))
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))], names=["doc_id", "start", "end", "n_docs", "first_doc_id", "kept"])
+                size = r["end"] - r["start"]
+                if size + right + left >= RUN:
+                    for d, v, s, kept in ((r["doc_id"], r["text_id"], r["start"], False), (r["f_doc"], r["f_text"], r["f_start"], True)):
+                        out.append((d, v, s, s - left, s + size + right, r["n_docs"], r["f_doc"], kept))
+            yield _batch(MATCH, zip(*out, strict=True) if out else [[]] * len(MATCH))
+
+    # Matches around one seed overlap, so their union is from the first start to the last end; a first place has one row then.
+    found = pairs.mapInArrow(of, ", ".join(f"{n} {'boolean' if n == 'kept' else 'long'}" for n, _ in MATCH))
+    return found.groupBy("doc_id", "text_id", "at", "kept").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n_docs").alias("n_docs"), F.min("first").alias("first"))
+
+
+def split(matches: list[tuple[int, int, int, int, bool]]) -> list[tuple[int, int, int, int, bool]]:
+    """Runs (start, end, n_docs, first, kept) of one document from its matches, in order and apart: matches that aren't kept win."""
+    out: list[tuple[int, int, int, int, bool]] = []
+    for kept in (False, True):
+        own: list[list] = []
+        for s, e, n, first, _ in sorted(m for m in matches if m[4] == kept):
+            if own and s <= own[-1][1]:
+                own[-1][1:] = [max(own[-1][1], e), max(own[-1][2], n), min(own[-1][3], first)]
+            else:
+                own.append([s, e, n, first])
+        if not kept:
+            gone = [tuple(x) for x in own]
+            out += [(*x, False) for x in gone]
+            continue
+        k = 0
+        for s, e, n, first in own:
+            while k < len(gone) and gone[k][1] <= s:
+                k += 1
+            j, at = k, s
+            while j < len(gone) and gone[j][0] < e:
+                if gone[j][0] > at:
+                    out.append((at, gone[j][0], n, first, True))
+                at = max(at, gone[j][1])
+                j += 1
+            if at < e:
+                out.append((at, e, n, first, True))
+    return sorted(out)
+
+
+RUNS = [("doc_id", pa.int64()), ("text_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("n_docs", pa.int64()), ("first_doc_id", pa.int64()), ("kept", pa.bool_())]
+
+
+def _runs(matches: DataFrame) -> DataFrame:
+    lists = matches.groupBy("doc_id", "text_id").agg(F.collect_list(F.struct("start", "end", "n_docs", "first", "kept")).alias("m"))
 
-    return pairs.mapInArrow(of, "doc_id long, start long, end long, n_docs long, first_doc_id long, kept boolean")
+    def of(batches):
+        for batch in batches:
+            out = []
+            for d, v, m in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text_id", "m")), strict=True):
+                own = None if d == NO_ID else d
+                out += [(own, v, s, e, n, None if f == NO_ID else f, kept) for s, e, n, f, kept in split([tuple(x.values()) for x in m])]
+            yield _batch(RUNS, zip(*out, strict=True) if out else [[]] * len(RUNS))
+
+    return lists.mapInArrow(of, ", ".join(f"{n} {'boolean' if n == 'kept' else 'long'}" for n, _ in RUNS))
 
 
 def repeats(docs: DataFrame) -> DataFrame:
-    """A row for each run of repeated text: doc_id, start, end, n_docs (most documents that share one of its chunks), first_doc_id, kept."""
+    """A row for each run of repeated text: doc_id, text_id, start, end, n_docs (most rows that share one of its chunks), first_doc_id (the
+    smallest first document of its matches), kept."""
     work = Work(docs.sparkSession, "substring")
     all_ = work.put(chunks(docs))
-    first = all_.groupBy("digest", "doc_id").agg(F.min("at").alias("at")).groupBy("digest").agg(F.min(F.struct("doc_id", "at")).alias("f"), F.max("doc_id").alias("last"), F.count("*").alias("n_docs")).filter("f.doc_id <> last")
-    hits = all_.join(first, "digest").filter("doc_id <> f.doc_id OR at <> f.at").select("doc_id", "at", (F.col("at") + F.col("size")).alias("end"), "n_docs", F.col("f.doc_id").alias("f_doc"), F.col("f.at").alias("f_at")).dropDuplicates(["doc_id", "at"])
-    order = Window.partitionBy("doc_id").orderBy("at", "end")
-    same = (F.lag("end").over(order) == F.col("at")) & (F.lag("f_doc").over(order) == F.col("f_doc")) & (F.lag(F.col("f_at") - F.col("at")).over(order) == F.col("f_at") - F.col("at"))
-    runs = hits.withColumn("new", (~F.coalesce(same, F.lit(False))).cast("int")).withColumn("run", F.sum("new").over(order))
-    seeds = runs.groupBy("doc_id", "run").agg(F.min("at").alias("start"), F.max("end").alias("end"), F.max("n_docs").alias("n_docs"), F.min("f_doc").alias("f_doc"), F.min("f_at").alias("f_start"))
-    seeds = work.put(seeds.withColumn("f_end", F.col("f_start") + F.col("end") - F.col("start")).drop("run"))
-    firsts = seeds.selectExpr("f_doc AS doc_id", "f_start AS start", "f_end AS end")
-    near = work.put(_contexts(docs, seeds.select("doc_id", "start", "end").unionByName(firsts)))
-    there = near.selectExpr("doc_id AS f_doc", "start AS f_start", "end AS f_end", "left AS f_left", "right AS f_right")
-    matches = _extended(seeds.join(near, ["doc_id", "start", "end"]).join(there, ["f_doc", "f_start", "f_end"])).distinct()
-    order = Window.partitionBy("doc_id").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    joined = matches.withColumn("new", (F.coalesce(reach, F.lit(-1)) < F.col("start")).cast("int"))
-    joined = joined.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return joined.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.max("n_docs").alias("n_docs"), F.min("first_doc_id").alias("first_doc_id"), F.min("kept").alias("kept")).drop("run")
+    total, doc = all_.count(), F.xxhash64("doc_id", F.shiftright("place", 32))
+    first = all_.groupBy("a", "b").agg(F.min(F.struct("doc_id", "place")).alias("f"), F.min(doc).alias("h"), F.max(doc).alias("h2"), F.count_if(F.col("place").bitwiseAND(AGAIN) == 0).alias("n_docs"), F.count("*").alias("n")).filter("h <> h2")
+    first = work.put(first.select("a", "b", F.col("f.doc_id").alias("f_doc"), F.col("f.place").alias("f_place"), "n_docs", "n"))
+    hot = first.filter(F.col("n") * HOT > total)  # under HOT rows
+    cold = all_.join(F.broadcast(hot.select("a", "b")), ["a", "b"], "left_anti").join(first.filter(F.col("n") * HOT <= total), ["a", "b"])
+    hits = all_.join(F.broadcast(hot), ["a", "b"]).unionByName(cold).filter("doc_id <> f_doc OR place <> f_place")
+    seeds = work.put(_seeds(hits.select("doc_id", "place", F.col("b").bitwiseAND(511).alias("size"), "n_docs", "f_doc", "f_place")))
+    work.drop(all_), work.drop(first)
+    seeds = seeds.withColumn("f_end", F.col("f_start") + F.col("end") - F.col("start"))
+    place, f_place = ["doc_id", "text_id", "start", "end"], ["f_doc", "f_text", "f_start", "f_end"]
+    firsts = seeds.select(*[F.col(a).alias(b) for a, b in zip(f_place, place, strict=True)])
+    near = work.put(_contexts(docs, seeds.select(*place).unionByName(firsts)))
+    there = near.select(*[F.col(b).alias(a) for a, b in zip(f_place, place, strict=True)], F.col("left").alias("f_left"), F.col("right").alias("f_right"))
+    n = seeds.count()
+    often = seeds.groupBy(*f_place).agg(F.count("*").alias("k")).filter(F.col("k") * HOT > n).select(*f_place, F.least("k", F.ceil(F.col("k") * HOT / F.lit(max(n, 1)))).cast("int").alias("salts"))  # under HOT rows, of HOT salts together twice at most
+    often = F.broadcast(work.put(often))
+    salted = seeds.join(often, f_place, "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "text_id", "start"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    there = there.join(often, f_place, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
+    return _runs(_extended(salted.join(near, place).join(there, [*f_place, "salt"])))
+
+
+def deduplicate(docs: DataFrame) -> DataFrame:
+    """The documents, all columns kept, without what stands at an earlier place; texts that become empty stay as empty texts."""
+    gone = repeats(docs).filter("NOT kept").groupBy("doc_id", "text_id").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("_spans")).withColumnsRenamed({"doc_id": "_doc", "text_id": "_text"})
+    marked = docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["_doc"]) & (_text_id(docs["text"]) == gone["_text"]), "left").drop("_doc", "_text")
+    names, text = docs.columns, docs.columns.index("text")
+
+    def of(batches):
+        for batch in batches:
+            columns, spans = list(batch.columns[:-1]), batch.column(batch.num_columns - 1).to_pylist()
+            columns[text] = pa.array([clean(t, [(s["start"], s["end"]) for s in x or ()]) for t, x in zip(columns[text].to_pylist(), spans, strict=True)], columns[text].type)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return marked.mapInArrow(of, T.StructType(docs.schema.fields))
 
 
 def clean(text: str | None, spans: list[tuple[int, int]]) -> str | None:

@@ -128,6 +128,56 @@ def test_substring_counts_documents_exactly(docs):
     assert {r["n_docs"] for r in substring.repeats(docs([text] * 777)).collect()} == {777}
 
 
+def test_deduplication_loses_no_text(docs):
+    rng = random.Random(77)
+    unique = [f"{''.join(rng.choice('bcdfghklmnprst') + rng.choice('aeiou') for _ in range(3))}{k}" for k in range(3000)]
+    t = unique[:400]
+    texts = [" ".join(x) for x in (t[:250], t, t[150:400], t[100:300], unique[500:620] + t[20:200] + unique[620:700], t)]
+    for _ in range(40):  # overlapping passages of one long text
+        a = rng.randrange(700, 2600)
+        texts.append(" ".join(unique[a : a + rng.randint(60, 400)]))
+    texts += [texts[9], None, ""]
+    ids = [*range(len(texts) - 4), 5, 5, None, 3]  # repeated ids with other texts, and a null one
+    order = sorted(range(len(texts)), key=lambda k: -1 if ids[k] is None else ids[k])
+    clean = substring.deduplicate(docs(texts, ids=ids))
+    assert clean.columns == docs(texts).columns and clean.count() == len(texts)
+    left, before = Counter(), Counter()
+    for r in clean.collect():
+        left.update((r["text"] or "").split())
+    for k in order:
+        before.update(set((texts[k] or "").split()))
+    assert all(left[w] >= 1 for w in before)
+    assert sum(left.values()) < 1.15 * len(before) < 0.5 * sum(before.values())
+    runs = substring.repeats(docs(texts, ids=ids)).collect()
+    by = defaultdict(list)
+    for r in runs:
+        by[r["doc_id"], r["text_id"]].append((r["start"], r["end"]))
+    assert all(a[1] <= b[0] for x in by.values() for a, b in zip(sorted(x), sorted(x)[1:]))
+
+
+def test_split_of_runs_against_each_byte():
+    rng = random.Random(5)
+    for _ in range(300):
+        m = []
+        for _ in range(rng.randint(0, 9)):
+            s = rng.randint(0, 60)
+            m.append((s, s + rng.randint(1, 25), rng.randint(2, 9), rng.randint(0, 9), rng.random() < 0.5))
+        runs = substring.split(m)
+        state = {x: all(k for s, e, _, _, k in m if s <= x < e) for x in range(90) if any(s <= x < e for s, e, *_ in m)}
+        assert {x: k for s, e, _, _, k in runs for x in range(s, e)} == state and sum(e - s for s, e, *_ in runs) == len(state)
+
+
+def test_substring_edges(docs, edges, monkeypatch):
+    shared = prose(60)
+    texts = [*edges, f"{prose(30)} {shared}", f"{shared} {prose(20)}", shared, shared]
+    n = len(edges)
+    ids = [*range(n), 70, 71, None, None]
+    want = substring.repeats(docs(texts, ids=ids)).orderBy("doc_id", "start").collect()
+    assert {r["doc_id"] for r in want} == {None, 70, 71} and all(r["kept"] == (r["doc_id"] is None) for r in want)
+    monkeypatch.setattr(substring, "HOT", 10**9)  # every digest and place by the ways for hot ones
+    assert want == substring.repeats(docs(texts, ids=ids)).orderBy("doc_id", "start").collect()
+
+
 def test_chunks_resist_shifts():
     body = prose(3000).encode()
     pieces = lambda d: {d[a:b] for a, b in zip([0, *substring.cuts(d)], substring.cuts(d), strict=False)}
