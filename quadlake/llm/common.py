@@ -63,6 +63,18 @@ class Work:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key is hot if over 1/HOT of all rows have it, so there are under HOT hot keys, whatever the data.
+HOT = 4096
+
+
+def spread(big: DataFrame, small: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """big join small (how: inner or left), where no task gets a hot key's rows. small has each key once, and in _n its rows in big; total: the
+    rows of big. Hot keys, under HOT of them, are broadcast; the others are shuffled."""
+    hot, cold = F.col("_n") * HOT > total, F.col("_n") * HOT <= total
+    hot = F.broadcast(small.filter(hot).drop("_n"))
+    return big.join(hot, keys).unionByName(big.join(hot.select(*keys), keys, "left_anti").join(small.filter(cold).drop("_n"), keys, how))
+
+
 def words(text: Column) -> Column:
     """The words of a text, without the empty strings that leading and trailing white space leaves; null counts as empty."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")

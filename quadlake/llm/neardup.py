@@ -1,8 +1,8 @@
 """MinHash near-dedup: a chosen-path set similarity join, confirmed on full sets, and connected components.
 
 Sets: the distinct SHINGLE-word shingles of a document (ASCII lower case), as 64-bit hashes; texts with fewer words are one shingle.
-Documents with equal sets are one class, known by its smallest doc_id; only classes are joined. A class has a signature of
-COORDINATES minwise values.
+Documents with equal sets are one class, known by its cid: its smallest doc_id, or a hash of its set where another class has that one too; only
+classes are joined. A class has a signature of COORDINATES minwise values.
 
 Trees: a node picks coordinates by its own hash; a document goes to a child for each, named by the node, the coordinate and its minwise
 value there. The first levels (by the number of classes) of TREES trees pick BRANCHES each and are taken at once. Nodes of at most LIMIT
@@ -17,10 +17,13 @@ average: twice 85 % over the threshold, so a pair at the threshold goes on in 1.
 85 %, 6e-7 at 80 %). Texts less alike leave the large nodes; where the rows of a cluster become more than all pairs of its blocks have
 (a large group of very similar texts), those pairs are taken instead, which misses nothing. Nodes that LEVELS levels can't split are compared
 in pairs of blocks too, so none is dropped. Each list's alike classes are confirmed in a task, and the confirmed links are joined
-again. Links, labels and sets stay distributed; lineage is cut by tables in the shared folder.
+again. Links, labels and sets stay distributed; lineage is cut by tables in the shared folder. Rows are joined with their class, large first
+nodes with their centre, and a component's hub with its links by spread(), so no task gets all rows of a key that many have.
+CLUSTER_WORK, CLUSTER_SHINGLES, LIMIT and LEVELS only choose the way; all ways confirm on full sets.
 
 Defined results: null, empty and white-space-only texts have no shingles and are linked with nothing (component: themselves); a null
-doc_id is linked with nothing and kept, its component null; repeated rows of an id are all kept if the id is.
+doc_id is linked with nothing and kept, its component null; each row is a document, so two texts of one doc_id are two, and the one may be kept
+and the other not; equal rows are kept or dropped together; other columns, whatever their names, are ignored by groups() and kept by keep().
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, ready
+from .common import HOT, Work, ready, spread
 
 SHINGLE, PERCENT = 3, 85
 COORDINATES, BRANCHES, TREES, DEEP_TREES, LIMIT, LEVELS, CLUSTER_WORK, CLUSTER_SHINGLES = 64, 2, 4, 8, 300, 12, 4_000_000_000, 4_000_000
@@ -90,18 +93,31 @@ def signature(h: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, digest of the set and signature of every document."""
+    """doc_id, text_id (a hash that tells the texts of a doc_id apart), n_shingles, digest of the set and signature of every document."""
     ready(docs.sparkSession)
 
     def of(batches):
         for batch in batches:
             sets = [shingles(t, k) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
-                names=["doc_id", "n_shingles", "digest", "sig"],
+                [batch.column("doc_id"), batch.column("text_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary()), pa.array([signature(s).tobytes() if len(s) else None for s in sets], pa.binary())],
+                names=["doc_id", "text_id", "n_shingles", "digest", "sig"],
             )
 
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(of, "doc_id long, n_shingles long, digest binary, sig binary")
+    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "xxhash64(text) AS text_id", "text").mapInArrow(of, "doc_id long, text_id long, n_shingles long, digest binary, sig binary")
+
+
+def classify(rows: DataFrame, work: Work) -> DataFrame:
+    """The classes of documents: digest, cid, sig, n shingles, size, and the smallest of its documents (doc_id, text_id). cids are unique."""
+    first = F.min(F.struct("doc_id", "text_id"))
+    classes = work.put(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(first.alias("r"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"), F.count("*").alias("size")).select("digest", F.col("r.doc_id").alias("cid"), "sig", "n", "size", "r.doc_id", "r.text_id"))
+    n, turn = classes.count(), 0
+    while classes.select("cid").distinct().count() < n:  # ids with several texts
+        turn += 1
+        keeps = classes.groupBy("cid").agg(F.min("digest").alias("digest")).select("digest", F.lit(True).alias("_keeps"))
+        new = F.when(F.col("_keeps"), F.col("cid")).otherwise(F.xxhash64("digest", F.lit(turn)))
+        classes = work.put(classes.join(keeps, "digest", "left").withColumn("cid", new).drop("_keeps"))
+    return classes
 
 
 def children(keys: np.ndarray, sig: np.ndarray, branches: int = BRANCHES) -> np.ndarray:
@@ -228,22 +244,28 @@ def _groups(members: DataFrame, classes: DataFrame, least: int) -> DataFrame:
     return rows.select("x").mapInArrow(of, "members array<long>").distinct()
 
 
-def _small(level: DataFrame, sizes: DataFrame) -> DataFrame:
-    """The distinct member lists of the nodes with at most LIMIT classes."""
-    rows = level.join(sizes.filter(F.col("n") <= LIMIT).select("node"), "node")
+def _small(level: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """The distinct member lists of the nodes with at most LIMIT classes; hot nodes leave before the shuffle."""
+    hot = sizes.filter((F.col("n") * HOT > total) & (F.col("n") > LIMIT)).select("node")
+    rows = level.join(F.broadcast(hot), "node", "left_anti").join(sizes.filter(F.col("n") <= LIMIT).select("node"), "node")
     return rows.groupBy("node").agg(F.sort_array(F.collect_set("cid")).alias("members")).filter(F.size("members") > 1).select("members").distinct()
 
 
 def _sizes(level: DataFrame) -> DataFrame:
-    return level.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
+    return level.groupBy("node").agg(F.count("*").alias("n"), F.min("cid").alias("v")).filter("n > 1")
+
+
+def _large(level: DataFrame, sizes: DataFrame, total: int) -> DataFrame:
+    """The rows of the nodes with over LIMIT classes, with the node's smallest cid as v."""
+    return spread(level, sizes.filter(F.col("n") > LIMIT).select("node", "v", F.col("n").alias("_n")), ["node"], total)
 
 
 def descend(level: DataFrame, classes: DataFrame, clusters: DataFrame, work: Work, least: int, percent: int) -> DataFrame:
     """Alike groups from the nodes of large clusters (cid, root, c classes): level by level, till nodes are small; what LEVELS more levels
     can't split goes by pairs of blocks, and a cluster with more rows than all pairs of its blocks have goes by those."""
-    sizes = work.put(_sizes(level))
-    lists = _small(level, sizes)
-    level = level.join(sizes.filter(F.col("n") > LIMIT).select("node"), "node")
+    sizes, total = work.put(_sizes(level)), level.count()
+    lists = _small(level, sizes, total)
+    level = _large(level, sizes, total).drop("v")
     for step in range(LEVELS + 1):
         level = work.put(level.distinct().join(clusters, "cid"))
         wide = work.put(level.groupBy("root").agg(F.count("*").alias("rows"), F.first("c").alias("c")).filter(F.col("rows") > F.col("c") * F.col("c") / (LIMIT // 4)).select("root"))
@@ -255,9 +277,9 @@ def descend(level: DataFrame, classes: DataFrame, clusters: DataFrame, work: Wor
             break
         else:
             level = work.put(_sprout(level.join(classes, "cid"), picks(percent)))
-            sizes = work.put(_sizes(level))
-            lists = lists.unionByName(_small(level, sizes))
-            level = level.join(sizes.filter(F.col("n") > LIMIT).select("node"), "node")
+            sizes, total = work.put(_sizes(level)), level.count()
+            lists = lists.unionByName(_small(level, sizes, total))
+            level = _large(level, sizes, total).drop("v")
     return work.put(_groups(lists.distinct(), classes, least))
 
 
@@ -272,21 +294,21 @@ def _blocks(rows: DataFrame) -> DataFrame:
 def components(edges: DataFrame, work: Work) -> DataFrame:
     """(cid, root) of all ends of edges (u, v): alternating large and small stars, till nothing changes."""
     pairs = work.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct())
-    state = None
+    state, total = None, pairs.count()
     while True:
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        large = work.put(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = work.put(both.groupBy("u").agg(F.least(F.min("v"), "u").alias("m"), F.count("*").alias("_n")))
+        large = work.put(spread(both.filter("v > u"), least, ["u"], total).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct())
+        work.drop(least)
+        least = work.put(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("_n")))
+        small = spread(large, least, ["u"], total).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         new = work.put(small)
-        work.drop(pairs), work.drop(large)
+        work.drop(pairs), work.drop(large), work.drop(least)
         pairs = new
         now = tuple(pairs.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == state:
             break
-        state = now
+        state, total = now, now[0]
     return pairs.select(F.col("u").alias("cid"), F.col("v").alias("root")).unionByName(pairs.select(F.col("v").alias("cid"), F.col("v").alias("root"))).distinct()
 
 
@@ -329,25 +351,27 @@ def _confirm(rows: DataFrame, key: str, k: int, percent: int) -> DataFrame:
     return rows.select(key, "cid", "text").groupBy(key).applyInArrow(of, "u long, v long").distinct()
 
 
-def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document."""
+def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """doc_id, text_id, n_shingles, component_id and kept of every document."""
     ready(docs.sparkSession)
     work = Work(docs.sparkSession, "neardup")
     rows = work.put(sketches(docs, k))
-    classes = work.put(rows.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("cid"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")))
+    classes = classify(rows, work)
     keyed, least = classes.select("cid", "sig"), close(percent)
     n = classes.count()
     first = min(10, max(2, round(math.log(max(n, 2)) / math.log(60))))
     level = work.put(_grow(keyed, first))
-    sizes = work.put(_sizes(level))
-    lists = work.put(_groups(_small(level, sizes), keyed, least))
-    big = level.join(sizes.filter(F.col("n") > LIMIT).select("node"), "node")
-    stars = big.join(big.groupBy("node").agg(F.min("cid").alias("v")), "node").select(F.col("cid").alias("u"), "v")
+    sizes, total = work.put(_sizes(level)), level.count()
+    lists = work.put(_groups(_small(level, sizes, total), keyed, least))
+    stars = _large(level, sizes, total).select(F.col("cid").alias("u"), "v")
     near = work.put(components(lists.select(F.explode("members").alias("u"), F.col("members")[0].alias("v")).unionByName(stars), work))
-    load = near.join(classes.select("cid", "n"), "cid").groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
-    near = near.join(load.select("root", "c", ((F.col("c") * F.col("s") > CLUSTER_WORK) | (F.col("s") > CLUSTER_SHINGLES)).alias("large")), "root")
-    texts = docs.selectExpr("CAST(doc_id AS long) AS cid", "text").join(near, "cid").join(rows.selectExpr("doc_id AS cid", "digest"), "cid").join(classes.select("digest", F.col("cid").alias("c2")), "digest").filter("cid = c2").select("root", "c", "large", "cid", "text")
-    texts = work.put(texts.dropDuplicates(["cid"]))
+    work.drop(level), work.drop(sizes)
+    near = near.join(classes.select("cid", "n", "doc_id", "text_id"), "cid")
+    load = near.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    load = work.put(load.select("root", "c", ((F.col("c") * F.col("s") > CLUSTER_WORK) | (F.col("s") > CLUSTER_SHINGLES)).alias("large"), F.col("c").alias("_n")))
+    near = work.put(spread(work.put(near), load, ["root"], n))
+    found = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "xxhash64(text) AS text_id", "text").join(near, ["doc_id", "text_id"]).select("root", "c", "large", "cid", "text")
+    texts = work.put(found.dropDuplicates(["cid"]))
     links = _confirm(texts.filter("NOT large"), "root", k, percent)
     huge = texts.filter("large")
     if not huge.isEmpty():
@@ -356,14 +380,24 @@ def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFra
         deep = lists.unionByName(descend(roots, keyed, clusters, work, least, percent)).distinct()
         parts = deep.withColumn("id", F.xxhash64("members")).select("id", F.explode("members").alias("cid")).join(huge.select("cid", "text"), "cid")
         links = links.unionByName(components(_confirm(parts, "id", k, percent), work).filter("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v")))
-    root = links.select(F.col("u").alias("cid"), F.col("v").alias("root"))
-    named = classes.select("digest", "cid").join(root, "cid", "left").select("digest", F.coalesce("root", "cid").alias("c"))
-    out = rows.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("c")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+    links = work.put(links.select(F.col("u").alias("cid"), F.col("v").alias("root")))
+    work.drop(texts)
+    named = work.put(classes.join(links, "cid", "left").select("digest", "doc_id", F.coalesce("root", "cid").alias("root"), "size"))
+    smallest = named.groupBy("root").agg(F.min("doc_id").alias("c"), F.count("*").alias("_n"))  # cids aren't ids of documents everywhere
+    named = work.put(spread(named, work.put(smallest), ["root"], n).select("digest", "c", F.col("size").alias("_n")))
+    able = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    slim = rows.select("doc_id", "text_id", "n_shingles", "digest")
+    own = spread(slim.filter(able), named, ["digest"], rows.count()).select("doc_id", "text_id", "n_shingles", F.col("c").alias("component_id"))
+    out = own.unionByName(slim.filter(~F.coalesce(able, F.lit(False))).select("doc_id", "text_id", "n_shingles", F.col("doc_id").alias("component_id")))
+    return out.withColumn("kept", F.coalesce(F.col("component_id") == F.col("doc_id"), F.lit(True)))
+
+
+def groups(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    return _labelled(docs, k, percent).drop("text_id")
 
 
 def keep(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One document of each group, with all columns."""
-    gone = groups(docs, k, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    """One document of each group, with all columns; a document is a doc_id with its text."""
+    gone = _labelled(docs, k, percent).filter("NOT kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_id").alias("_gone_text")).distinct()
+    return docs.join(gone, (docs["doc_id"] == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_text"]), "left_anti")

@@ -342,6 +342,21 @@ def test_near_dedup_edges(docs):
     assert neardup.groups(docs([]).limit(0)).count() == 0
 
 
+def test_near_dedup_with_repeated_ids(docs):
+    a, b, c = prose(80), prose(80), prose(80)
+    kept = neardup.keep(docs([a, a, b, c], ids=[3, 5, 5, 7])).collect()
+    assert {(r["doc_id"], r["text"]) for r in kept} == {(3, a), (5, b), (7, c)}
+    texts = [*family(12, 3), *family(12, 3), *(prose(70) for _ in range(6)), "one two", "", None]
+    ids = [RNG.randint(0, 9) for _ in texts]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.groups(docs(texts, ids=ids)).collect())
+    truth, smallest = near_truth(texts), {}
+    for k, (_, root) in enumerate(truth):
+        smallest[root] = min(smallest.get(root, ids[k]), ids[k])
+    assert got == Counter((ids[k], n, smallest[root], smallest[root] == ids[k]) for k, (n, root) in enumerate(truth))
+    left = {r["text"] for r in neardup.keep(docs(texts, ids=ids), 3, 85).collect()}
+    assert all(any(truth[k][1] == root and t in left for k, t in enumerate(texts)) for root in smallest)
+
+
 def test_components(spark):
     rng = random.Random(8)
     edges = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(220)] + [(k, k + 1) for k in range(400, 430)]
