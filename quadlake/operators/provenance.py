@@ -27,8 +27,8 @@ def assertions(facts: DataFrame, ns: str, activity: str) -> DataFrame:
     return facts.withColumn("stmt_id", stable_id(ns, "assertion", *parts)).withColumn("activity_id", F.lit(activity)).dropDuplicates(["stmt_id"])
 
 
-def reify(statements: DataFrame, ns: str, graph: str, mapping: Column | None = None, method: str = "explicit source mapping; no label matching") -> DataFrame:
-    """The eight quads of each statement, and two more for mapping statements."""
+def reify(statements: DataFrame, ns: str, graph: str, mapping: Column | None = None, method: str = "mapping read from the source", **how) -> DataFrame:
+    """The eight quads of each statement, and two more for mapping statements. how: as lift() takes it."""
     o = F.struct(F.lit(RDF + "object").alias("p"), F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang"))
     facts = [
         Q.fact(Q.TYPE, F.lit(ns + "ImportedAssertion")), Q.fact(Q.TYPE, F.lit(RDF + "Statement")), Q.fact(RDF + "subject", F.col("s")), Q.fact(RDF + "predicate", F.col("p")), o,
@@ -36,11 +36,11 @@ def reify(statements: DataFrame, ns: str, graph: str, mapping: Column | None = N
     ]
     if mapping is not None:
         facts += [Q.fact(Q.TYPE, F.when(mapping, ns + "MappingAssertion")), Q.text(ns + "mappingMethod", F.when(mapping, method))]
-    return Q.lift(statements, graph, F.col("stmt_id"), *facts)
+    return Q.lift(statements, graph, F.col("stmt_id"), *facts, **how)
 
 
-def record_quads(recs: DataFrame, ns: str, graph: str) -> DataFrame:
-    return Q.lift(recs, graph, F.col("record_id"), Q.fact(Q.TYPE, F.lit(ns + "SourceRecord")), Q.fact(PROV + "wasDerivedFrom", F.col("snapshot_id")), Q.text(ns + "locator", F.col("locator")), Q.text(ns + "originalIdentifier", F.col("original_id")), Q.text(ns + "payload", F.col("payload_json"), JSON))
+def record_quads(recs: DataFrame, ns: str, graph: str, **how) -> DataFrame:
+    return Q.lift(recs, graph, F.col("record_id"), Q.fact(Q.TYPE, F.lit(ns + "SourceRecord")), Q.fact(PROV + "wasDerivedFrom", F.col("snapshot_id")), Q.text(ns + "locator", F.col("locator")), Q.text(ns + "originalIdentifier", F.col("original_id")), Q.text(ns + "payload", F.col("payload_json"), JSON), **how)
 
 
 def snapshot_quads(snapshots: DataFrame, ns: str, graph: str, activity: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,9 +22,13 @@ def text(p: str | Column, o: Column, datatype: str = STRING) -> Column:
     return fact(p, o, "literal", datatype)
 
 
-def lift(rows: DataFrame, graph: str | Column, subject: Column, *facts: Column, distinct: bool = True) -> DataFrame:
-    """A quad for each row and fact with a predicate and an object, in one pass over the rows."""
+def lift(rows: DataFrame, graph: str | Column, subject: Column, *facts: Column, distinct: bool = True, by_predicate: bool = False) -> DataFrame:
+    """A quad for each row and fact with a predicate and an object, in one pass over the rows; by_predicate: in a branch for each fact, so that a
+    filter on a constant predicate leaves only the branches, tables and columns it needs."""
     g = F.lit(graph) if isinstance(graph, str) else graph
+    if by_predicate:
+        parts = [rows.select(g.alias("g"), subject.alias("s"), f.alias("f")).select("g", "s", "f.*").filter("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL") for f in facts]
+        return union(*parts) if distinct else functools.reduce(DataFrame.unionByName, parts)
     out = rows.select(g.alias("g"), subject.alias("s"), F.explode(F.array(*facts)).alias("f")).select("g", "s", "f.*").filter("s IS NOT NULL AND p IS NOT NULL AND o IS NOT NULL")
     return out.dropDuplicates(QUAD) if distinct else out
 
@@ -70,11 +76,13 @@ def difference(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def stats(quads: DataFrame) -> DataFrame:
-    """One row: quads, distinct triples, subjects, and IRIs in any position, in one scan."""
-    iris = F.array(F.struct(F.lit("q").alias("k"), F.to_json(F.struct(*QUAD)).alias("v")), F.struct(F.lit("t").alias("k"), F.to_json(F.struct(*QUAD[1:])).alias("v")), F.struct(F.lit("s").alias("k"), F.col("s").alias("v")), F.struct(F.lit("i").alias("k"), F.col("s").alias("v")), F.struct(F.lit("i").alias("k"), F.col("p").alias("v")), F.when(F.col("o_kind") == "iri", F.struct(F.lit("i").alias("k"), F.col("o").alias("v"))))
-    each = quads.select(F.explode(iris).alias("x")).filter("x IS NOT NULL").select("x.k", "x.v").distinct().groupBy("k").count()
-    n = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("count"))), F.lit(0))
-    return each.agg(n("q").alias("n_quads"), n("t").alias("n_triples"), n("s").alias("n_subjects"), n("i").alias("n_iris"))
+    """One row: quads, distinct triples, subjects, and IRIs in any position, in one scan. Things are counted by two 64-bit hashes of theirs, so a
+    few numbers are shuffled for each, once each after those of a part became one."""
+    twice = lambda k, *c: F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), *c).alias("a"), F.xxhash64(F.lit(-1 - k), *c).alias("b"))
+    each = F.array(twice(0, *QUAD), twice(1, *QUAD[1:]), twice(2, "s"), twice(3, "s"), twice(3, "p"), F.when(F.col("o_kind") == "iri", twice(3, "o")))
+    found = quads.select(F.explode(F.array_compact(each)).alias("x")).select("x.*").distinct().groupBy("k").agg(F.count("*").alias("n"))
+    n = lambda k: F.coalesce(F.sum(F.when(F.col("k") == k, F.col("n"))), F.lit(0))
+    return found.agg(n(0).alias("n_quads"), n(1).alias("n_triples"), n(2).alias("n_subjects"), n(3).alias("n_iris"))
 
 
 def counts(quads: DataFrame) -> DataFrame:

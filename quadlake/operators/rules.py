@@ -14,10 +14,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.terms import OWL, RDF, RDFS
-from ..session import cut
+from ..session import Tables
 from ..sources.turtle import Triple
 
-TYPE, MAX_AXIOMS, MAX_STEPS = RDF + "type", 20_000, 50
+TYPE, MAX_AXIOMS = RDF + "type", 20_000
 TRIPLE = ["s", "p", "o", "o_kind", "o_dt", "o_lang"]
 
 
@@ -97,20 +97,24 @@ def _said(p: str = "p", o: str = "o") -> Column:
 def _step(facts: DataFrame, delta: DataFrame, ax: Axioms) -> list[DataFrame]:
     """What each rule derives with at least one premise from delta."""
     spark, out, c = facts.sparkSession, [], F.col
-    ref = delta.filter("o_kind <> 'literal'")
     types, t = delta.filter(c("p") == TYPE), F.lit(TYPE)
-    if ax.sub_class:
-        out.append(types.join(_table(spark, ax.sub_class, "_a _b"), c("o") == c("_a")).select(*_iri(c("s"), t, c("_b"), "cax-sco", _said(), F.concat_ws(" subClassOf ", "_a", "_b"))))
-    if ax.sub_property:
-        j = delta.join(_table(spark, ax.sub_property, "_a _b"), c("p") == c("_a"))
-        out.append(j.select("s", c("_b").alias("p"), "o", "o_kind", "o_dt", "o_lang", F.lit("prp-spo1").alias("rule"), _said().alias("premise"), F.concat_ws(" subPropertyOf ", "_a", "_b").alias("axiom")))
-    if ax.domain:
-        out.append(delta.join(_table(spark, ax.domain, "_a _b"), c("p") == c("_a")).select(*_iri(c("s"), t, c("_b"), "prp-dom", _said(), F.concat_ws(" domain ", "_a", "_b"))))
-    if ax.range:  # a literal has no type triple: that would be a generalized triple, see generalized()
-        out.append(ref.join(_table(spark, ax.range, "_a _b"), c("p") == c("_a")).select(*_iri(c("o"), t, c("_b"), "prp-rng", _said(), F.concat_ws(" range ", "_a", "_b"))))
-    both = ax.inverse | {(p, p) for p in ax.symmetric}
-    if both:
-        out.append(ref.join(_table(spark, both, "_a _b"), c("p") == c("_a")).select(*_iri(c("o"), c("_b"), c("s"), "prp-inv", _said(), F.concat_ws(" inverseOf ", "_a", "_b"))))
+    single = [("cax-sco", f"c {x}", x, y) for x, y in ax.sub_class]  # the rules with one premise, in one pass: key, the axiom's two sides
+    for rule, pairs in (("prp-spo1", ax.sub_property), ("prp-dom", ax.domain), ("prp-rng", ax.range), ("prp-inv", ax.inverse | {(p, p) for p in ax.symmetric})):
+        single += [(rule, f"p {x}", x, y) for x, y in pairs]
+    if single:
+        keys = F.array_compact(F.array(F.concat(F.lit("p "), "p"), F.when(c("p") == TYPE, F.concat(F.lit("c "), "o"))))
+        j = delta.withColumn("_k", F.explode(keys)).join(_table(spark, single, "_rule _k _a _b"), "_k")
+        j = j.filter((c("o_kind") != "literal") | ~c("_rule").isin("prp-rng", "prp-inv"))  # a literal has no type triple: that would be a generalized triple, see generalized()
+        of, none = c("_rule"), F.lit(None).cast("string")
+        turned, moved = of.isin("prp-rng", "prp-inv"), of == "prp-spo1"
+        word = F.create_map(*[F.lit(x) for kv in {"cax-sco": "subClassOf", "prp-spo1": "subPropertyOf", "prp-dom": "domain", "prp-rng": "range", "prp-inv": "inverseOf"}.items() for x in kv])
+        out.append(
+            j.select(
+                F.when(turned, c("o")).otherwise(c("s")).alias("s"), F.when(of.isin("prp-spo1", "prp-inv"), c("_b")).otherwise(t).alias("p"), F.when(moved, c("o")).when(of == "prp-inv", c("s")).otherwise(c("_b")).alias("o"),
+                F.when(moved, c("o_kind")).otherwise("iri").alias("o_kind"), F.when(moved, c("o_dt")).otherwise(none).alias("o_dt"), F.when(moved, c("o_lang")).otherwise(none).alias("o_lang"),
+                of.alias("rule"), _said().alias("premise"), F.concat_ws(" ", "_a", F.element_at(word, of), "_b").alias("axiom"),
+            )
+        )
     for p in sorted(ax.transitive):
         all_, new = facts.filter(c("p") == p), delta.filter(c("p") == p)
         for a, b in ((new, all_), (all_, new)):
@@ -131,30 +135,40 @@ def _step(facts: DataFrame, delta: DataFrame, ax: Axioms) -> list[DataFrame]:
     return out
 
 
-def infer(facts: DataFrame, ax: Axioms, max_steps: int = MAX_STEPS) -> DataFrame:
-    """What follows and isn't among the facts: a triple's columns, a rule, its premise and axiom (of several derivations, the one that sorts first), and the step."""
-    total = cut(facts.select(*TRIPLE).distinct())
-    delta, found = total, None
+def derived(ax: Axioms) -> list[str]:
+    """The predicates that rules can give."""
+    return sorted({TYPE} | {q for _, q in ax.sub_property | ax.inverse} | ax.transitive | ax.symmetric)
+
+
+def infer(facts: DataFrame, ax: Axioms, max_steps: int | None = None) -> DataFrame:
+    """What follows and isn't among the facts: a triple's columns, a rule, its premise and axiom (of several derivations, the one that sorts first), and the step.
+    A step reads the last one's triples and writes only new ones; facts are known again by their predicates, which are few. It ends by
+    itself, as no rule makes new terms; max_steps, if given, makes more an error."""
+    why = ["rule", "premise", "axiom"]
+    total = Tables(facts.sparkSession, "p")
+    delta, found, n = total.add(facts.select(*TRIPLE).distinct()), Tables(facts.sparkSession, "p"), 0
     key = F.coalesce(F.col("o_dt"), F.lit("")), F.coalesce(F.col("o_lang"), F.lit(""))
-    for n in range(1, max_steps + 1):
-        parts = _step(total, delta, ax)
+    while True:
+        n += 1
+        if max_steps and n > max_steps:
+            raise ValueError(f"no fixpoint after {max_steps} steps")
+        parts = _step(total.all(), delta, ax)
         if not parts:
             break
         new = parts[0]
         for x in parts[1:]:
             new = new.unionByName(x)
-        new = new.groupBy(*TRIPLE).agg(F.min(F.struct("rule", "premise", "axiom")).alias("why")).select(*TRIPLE, "why.*")
-        known = total.select("s", "p", "o", "o_kind", key[0].alias("_d"), key[1].alias("_l"))
-        new = new.withColumns({"_d": key[0], "_l": key[1]}).join(known, ["s", "p", "o", "o_kind", "_d", "_l"], "left_anti").select(*TRIPLE, "rule", "premise", "axiom", F.lit(n).alias("step"))
-        new = cut(new)
+        new = new.groupBy(*TRIPLE).agg(F.min(F.struct(*why)).alias("why")).select(*TRIPLE, "why.*")
+        known = total.all().filter(F.col("p").isin(derived(ax))).select("s", "p", "o", "o_kind", key[0].alias("_d"), key[1].alias("_l"))
+        new = new.withColumns({"_d": key[0], "_l": key[1]}).join(known, ["s", "p", "o", "o_kind", "_d", "_l"], "left_anti").select(*TRIPLE, *why, F.lit(n).alias("step"))
+        new = found.add(new)
         if new.isEmpty():
             break
-        found = new if found is None else found.unionByName(new)
         delta = new.select(*TRIPLE)
-        total = cut(total.unionByName(delta))
-    else:
-        raise ValueError(f"no fixpoint after {max_steps} steps")
-    return found if found is not None else facts.select(*TRIPLE).withColumns({k: F.lit(None).cast("string") for k in ("rule", "premise", "axiom")} | {"step": F.lit(0)}).limit(0)
+        total.paths.append(found.paths[-1])  # the same files, read for their triples
+    if found.schema is None:
+        return facts.select(*TRIPLE).withColumns({k: F.lit(None).cast("string") for k in why} | {"step": F.lit(0)}).limit(0)
+    return found.all()
 
 
 def generalized(facts: DataFrame, ax: Axioms) -> DataFrame:

@@ -87,7 +87,7 @@ def from_turtle(triples: list[Triple]) -> list[Shape]:
 class Validator:
     def __init__(self, quads: DataFrame):
         """quads: the graphs to check, as their union. The triples are made distinct once and kept, as every component reads them."""
-        self.triples = cut(quads.select(*QUAD[1:]).distinct())
+        self.triples = cut(quads.select(*QUAD[1:]).distinct(), "p")
         sub = self.triples.filter((F.col("p") == RDFS + "subClassOf") & (F.col("o_kind") != "literal")).select("s", "o")
         types = self.triples.filter(F.col("p") == TYPE).select("s", F.col("o").alias("c"))
         self.subclassed = not sub.isEmpty()

@@ -4,7 +4,10 @@ A solution is a row with a column for each variable, holding a term as one strin
 datatype or language), null where unbound. Term equality is string equality, so patterns are equi-joins. A pattern outside
 GRAPH sees the default graph, which is empty. Constants become filters on the raw columns, before terms are formed, so they reach the
 scan. Patterns of a group are ordered: connected ones first, most constants first. A filter ?v = constant || ?v = ?w
-becomes a join by equality, not a nested loop. Variables that may be unbound on a side are joined compatibly.
+becomes a join by equality, not a nested loop. Sides that share only variables that may be unbound are split into bound and unbound rows,
+so what can be joined by equality is; unbound rows, which fit any row, are alone joined with all. MINUS takes away only what shares a
+bound variable. EXISTS whose inner expressions name outer variables starts each of its groups from the distinct outer bindings, under a
+key by which the outer rows are then chosen.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from ..functions.terms import STRING, XSD
 from ..operators.closure import closure
 from .parser import Bgp, Const, Node, Path, Select, SparqlError, Var, parse
 
+KEY = "_key"  # how the names of seeds' keys begin
 NUMBERS = [XSD + x for x in ("integer", "decimal", "double", "float", "int", "long", "short", "byte", "nonNegativeInteger", "positiveInteger")]
 
 
@@ -61,6 +65,7 @@ def number_literal(c: Column) -> Column:
 class Compiler:
     def __init__(self, quads: DataFrame):
         self.quads, self.spark, self.n = quads, quads.sparkSession, 0
+        self.seeds: list[Rel | None] = [None]  # what the groups of the innermost EXISTS start from
         obj = F.when(F.col("o_kind") == "literal", F.concat(F.lit('"'), "o", F.lit('"'), F.coalesce(F.concat(F.lit("@"), "o_lang"), F.concat(F.lit("^^"), F.coalesce("o_dt", F.lit(STRING)))))).otherwise(F.col("o"))
         self.object = obj
 
@@ -157,6 +162,48 @@ class Compiler:
         return Rel(self.spark.range(1).select(F.lit(1).alias("_one")), set(), set())
 
     def join(self, a: Rel, b: Rel, how: str = "inner", cond: Callable[[DataFrame, Rel], Column] | None = None) -> Rel:
+        """Compatible rows; how: inner, left, semi, anti, or minus (anti, of rows that share a bound variable)."""
+        shared = a.all & b.all
+        visible = {v for v in shared if not v.startswith(KEY)}
+        if how == "minus":
+            if not visible:
+                return a
+            if not visible & a.sure & b.sure:  # no variable that surely is bound on both sides
+                return self.split(a, b, visible, "minus")
+            how = "anti"
+        elif shared and not shared & a.sure & b.sure:
+            if how == "left":  # the matches, and the rows without one
+                both = self.join(a, b, "inner", cond)
+                alone = self.join(a, b, "anti", cond)
+                every = sorted(both.all)
+                df = both.df.select(*every).unionByName(alone.df.select(*[F.col(v) if v in a.all else F.lit(None).cast("string").alias(v) for v in every]))
+                return Rel(df, a.sure, both.all - a.sure)
+            return self.split(a, b, shared, how, cond)
+        return self.joined(a, b, how, cond)
+
+    def split(self, a: Rel, b: Rel, shared: set[str], how: str, cond=None) -> Rel:
+        """A join by parts: the rows of one side in which a shared variable is bound, and those in which it isn't."""
+        mine = sorted(shared & a.maybe)
+        v, of = (mine[0], a) if mine else (sorted(shared & b.maybe)[0], b)
+        bound = Rel(of.df.filter(F.col(v).isNotNull()), of.sure | {v}, of.maybe - {v})
+        free = Rel(of.df.filter(F.col(v).isNull()).drop(v), of.sure, of.maybe - {v})
+        if of is b and how in ("anti", "minus"):
+            return self.join(self.join(a, bound, how, cond), free, how, cond)
+        if of is b and how == "semi":
+            yes = self.join(a, bound, "semi", cond)
+            return self.together([yes, self.join(self.join(a, bound, "anti", cond), free, "semi", cond)])
+        parts = [self.join(x, b, how, cond) if of is a else self.join(a, x, how, cond) for x in (bound, free)]
+        return self.together(parts)
+
+    def together(self, sides: list[Rel]) -> Rel:
+        every, sure = set().union(*(s.all for s in sides)), set.intersection(*(s.sure for s in sides))
+        df = None
+        for s in sides:
+            own = s.df.select(*[F.col(v) if v in s.all else F.lit(None).cast("string").alias(v) for v in sorted(every)]) if every else s.df
+            df = own if df is None else df.unionByName(own)
+        return Rel(df, sure, every - sure)
+
+    def joined(self, a: Rel, b: Rel, how: str, cond) -> Rel:
         shared = sorted(a.all & b.all)
         drop = lambda df: df.drop("_one")
         left, right = a.df, drop(b.df)
@@ -172,12 +219,12 @@ class Compiler:
             on = on & same
         if not b.all - set(shared) and not shared:
             right = b.df.withColumnRenamed("_one", "_other")
-        if how in ("semi", "anti"):
-            out = left.join(right, on, f"left_{how}")
-            return Rel(out, a.sure, a.maybe)
         if cond is not None:
             both = Rel(left, a.sure | b.sure, a.maybe | b.maybe)
             on = on & F.coalesce(cond(None, both), F.lit(False))
+        if how in ("semi", "anti"):
+            out = left.join(right, on, f"left_{how}")
+            return Rel(out, a.sure, a.maybe)
         out = left.join(right, on, "left" if how == "left" else "inner")
         columns = [F.coalesce(F.col(v), F.col(names[v])).alias(v) if v in shared and v in a.maybe else F.col(v) for v in sorted(a.all)] + [F.col(v) for v in sorted(b.all - a.all)]
         out = out.select(*columns) if columns else out.select(F.lit(1).alias("_one"))
@@ -189,7 +236,7 @@ class Compiler:
     # --- groups
 
     def group(self, parts: list, graph) -> Rel:
-        out: Rel | None = None
+        out: Rel | None = self.seeds[-1]
         filters = [x.args[0] for x in parts if isinstance(x, Node) and x.op == "filter"]
         thetas = [(e, x) for e in filters if (x := _choice(e))]
         waiting = thetas
@@ -222,7 +269,7 @@ class Compiler:
                 out = self.join(base, rel, "left", cond if plain else None)
             elif x.op == "minus":
                 rel = self.eval(x.args[0], graph)
-                out = self.join(base, rel, "anti") if base.all & rel.all else base
+                out = self.join(base, rel, "minus")
             elif x.op == "bind":
                 name, e = x.args
                 if name in base.all:
@@ -240,12 +287,29 @@ class Compiler:
 
     def filter(self, rel: Rel, e, graph) -> Rel:
         if isinstance(e, Node) and e.op in ("exists", "not exists"):
-            inner = self.eval(e.args[0], graph)
-            return self.join(rel, inner, "semi" if e.op == "exists" else "anti")
+            how = "semi" if e.op == "exists" else "anti"
+            if not _correlated(e.args[0]) & rel.all:
+                return self.join(rel, self.unseeded(e.args[0], graph), how)
+            names, key = sorted(_names(e.args[0]) & rel.all), f"{KEY}{len(self.seeds)}"
+            keyed = rel.df.withColumn(key, F.to_json(F.struct(*[F.col(v) for v in names])))
+            self.seeds.append(Rel(keyed.select(key, *names).distinct(), (rel.sure & set(names)) | {key}, rel.maybe & set(names)))
+            try:
+                found = self.eval(e.args[0], graph)
+            finally:
+                self.seeds.pop()
+            out = self.joined(Rel(keyed, rel.sure | {key}, rel.maybe), Rel(found.df.select(key).distinct(), {key}, set()), how, None)
+            return Rel(out.df.drop(key), rel.sure, rel.maybe)
         if isinstance(e, Node) and e.op == "&&":
             return self.filter(self.filter(rel, e.args[0], graph), e.args[1], graph)
         return Rel(rel.df.filter(F.coalesce(self.truth(e, rel), F.lit(False))), rel.sure, rel.maybe)
 
+    def unseeded(self, x, graph) -> Rel:
+        self.seeds.append(None)
+        try:
+            return self.select(x, graph) if isinstance(x, Select) else self.eval(x, graph)
+        finally:
+            self.seeds.pop()
+
     def eval(self, x, graph) -> Rel:
         if isinstance(x, Bgp):
             return self.bgp(x.patterns, graph)
@@ -254,19 +318,13 @@ class Compiler:
         if x.op == "graph":
             return self.eval(x.args[1], x.args[0])
         if x.op == "union":
-            sides = [self.eval(y, graph) for y in x.args[0]]
-            every, sure = set().union(*(s.all for s in sides)), set.intersection(*(s.sure for s in sides))
-            df = None
-            for s in sides:
-                own = s.df.select(*[F.col(v) if v in s.all else F.lit(None).cast("string").alias(v) for v in sorted(every)]) if every else s.df
-                df = own if df is None else df.unionByName(own)
-            return Rel(df, sure, every - sure)
+            return self.together([self.eval(y, graph) for y in x.args[0]])
         if x.op == "values":
             names, rows = x.args
             maybe = {n for k, n in enumerate(names) if any(r[k] is None for r in rows)}
             return Rel(self.spark.createDataFrame([tuple(r) for r in rows], ", ".join(f"`{n}` string" for n in names)), set(names) - maybe, maybe)
         if x.op == "select":
-            return self.select(x.args[0], graph)
+            return self.unseeded(x.args[0], graph)
         raise SparqlError(f"{x.op} isn't supported here")
 
     def widened(self, a: Rel, b: Rel, thetas: list) -> tuple[Rel, Rel, list]:
@@ -456,6 +514,34 @@ class Compiler:
         return Rel(out, sure, set(names) - sure)
 
 
+def _names(x) -> set[str]:
+    """All variables that a part of a query names, but for those of subselects that it doesn't hand out."""
+    if isinstance(x, Var):
+        return {x.name}
+    if isinstance(x, Bgp):
+        return {t.name for q in x.patterns for t in q if isinstance(t, Var)}
+    if isinstance(x, Select):
+        return {c[0] if isinstance(c, tuple) else c for c in x.columns} or _names(x.where)
+    if isinstance(x, Node) and x.op == "values":
+        return set(x.args[0])
+    if isinstance(x, Node):
+        return set().union(*(_names(y) for y in x.args), {x.args[0]} if x.op == "bind" else set())
+    return set().union(*map(_names, x)) if isinstance(x, (list, tuple)) else set()
+
+
+def _correlated(x) -> set[str]:
+    """Variables that expressions of a group, or of one within, name and that its own patterns don't bind."""
+    if isinstance(x, (list, tuple)):
+        return set().union(*map(_correlated, x))
+    if not isinstance(x, Node):
+        return set()
+    if x.op == "group":
+        said = [y for y in x.args[0] if isinstance(y, Node) and y.op in ("filter", "bind")]
+        rest = [y for y in x.args[0] if not any(y is z for z in said)]
+        return (_names(said) - _names([y for y in rest if not (isinstance(y, Node) and y.op == "minus")])) | _correlated(rest)
+    return _correlated(list(x.args))
+
+
 def _nested(e) -> bool:
     return isinstance(e, Node) and (e.op in ("exists", "not exists") or any(_nested(a) for a in e.args if isinstance(a, Node)))
 

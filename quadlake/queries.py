@@ -52,13 +52,13 @@ def hierarchy_edges(spark: SparkSession, d: str) -> DataFrame:
 def sales(spark: SparkSession, d: str) -> DataFrame:
     """Customers, their place in the world, orders, parts and suppliers as quads."""
     sub = T.RDFS + "subClassOf"
-    customer = Q.lift(t(spark, d, "customer"), SALES, iri("c", "c_custkey"), Q.fact(Q.TYPE, F.lit("urn:Customer")), Q.text(T.RDFS + "label", F.col("c_name")), Q.fact(sub, iri("n", "c_nationkey")), distinct=False)
-    nation = Q.lift(t(spark, d, "nation"), SALES, iri("n", "n_nationkey"), Q.text(T.RDFS + "label", F.col("n_name")), Q.fact(sub, iri("r", "n_regionkey")), distinct=False)
-    region = Q.lift(t(spark, d, "region"), SALES, iri("r", "r_regionkey"), Q.text(T.RDFS + "label", F.col("r_name")), Q.fact(sub, F.lit("urn:root")), distinct=False)
-    order = Q.lift(t(spark, d, "orders"), SALES, iri("o", "o_orderkey"), Q.fact("urn:placedBy", iri("c", "o_custkey")), Q.text("urn:status", F.col("o_orderstatus")), distinct=False)
+    customer = Q.lift(t(spark, d, "customer"), SALES, iri("c", "c_custkey"), Q.fact(Q.TYPE, F.lit("urn:Customer")), Q.text(T.RDFS + "label", F.col("c_name")), Q.fact(sub, iri("n", "c_nationkey")), distinct=False, by_predicate=True)
+    nation = Q.lift(t(spark, d, "nation"), SALES, iri("n", "n_nationkey"), Q.text(T.RDFS + "label", F.col("n_name")), Q.fact(sub, iri("r", "n_regionkey")), distinct=False, by_predicate=True)
+    region = Q.lift(t(spark, d, "region"), SALES, iri("r", "r_regionkey"), Q.text(T.RDFS + "label", F.col("r_name")), Q.fact(sub, F.lit("urn:root")), distinct=False, by_predicate=True)
+    order = Q.lift(t(spark, d, "orders"), SALES, iri("o", "o_orderkey"), Q.fact("urn:placedBy", iri("c", "o_custkey")), Q.text("urn:status", F.col("o_orderstatus")), distinct=False, by_predicate=True)
     line = t(spark, d, "lineitem")
-    part = Q.lift(line.select("l_orderkey", "l_partkey").distinct(), SALES, iri("o", "l_orderkey"), Q.fact("urn:hasPart", iri("p", "l_partkey")), distinct=False)
-    supplier = Q.lift(line.select("l_partkey", "l_suppkey").distinct(), SALES, iri("p", "l_partkey"), Q.fact("urn:suppliedBy", iri("s", "l_suppkey")), distinct=False)
+    part = Q.lift(line.select("l_orderkey", "l_partkey").distinct(), SALES, iri("o", "l_orderkey"), Q.fact("urn:hasPart", iri("p", "l_partkey")), distinct=False, by_predicate=True)
+    supplier = Q.lift(line.select("l_partkey", "l_suppkey").distinct(), SALES, iri("p", "l_partkey"), Q.fact("urn:suppliedBy", iri("s", "l_suppkey")), distinct=False, by_predicate=True)
     out = customer
     for x in (nation, region, order, part, supplier):  # keys are unique in each part, so no quad repeats and none needs a shuffle to drop
         out = out.unionByName(x)
@@ -66,8 +66,8 @@ def sales(spark: SparkSession, d: str) -> DataFrame:
 
 
 def documents(spark: SparkSession, d: str) -> DataFrame:
-    docs = Q.lift(t(spark, d, "documents").select("doc_id", "lang", "source"), DOCS, iri("d", "doc_id"), Q.fact(Q.TYPE, F.lit("urn:Document")), Q.text("urn:lang", F.col("lang")), Q.text("urn:origin", F.col("source")), distinct=False)
-    labels = Q.lift(t(spark, d, "labels"), LABELS, iri("d", "doc_id"), Q.text("urn:quality", F.col("quality"), T.INTEGER), Q.text("urn:toxic", F.col("toxic"), T.INTEGER), distinct=False)
+    docs = Q.lift(t(spark, d, "documents").select("doc_id", "lang", "source"), DOCS, iri("d", "doc_id"), Q.fact(Q.TYPE, F.lit("urn:Document")), Q.text("urn:lang", F.col("lang")), Q.text("urn:origin", F.col("source")), distinct=False, by_predicate=True)
+    labels = Q.lift(t(spark, d, "labels"), LABELS, iri("d", "doc_id"), Q.text("urn:quality", F.col("quality"), T.INTEGER), Q.text("urn:toxic", F.col("toxic"), T.INTEGER), distinct=False, by_predicate=True)
     return docs.unionByName(labels)
 
 
@@ -429,7 +429,8 @@ graph_query("sparql_expressions", documents, 'SELECT ?d (?q + ?x * 2 AS ?v) (IF(
 def lineage(spark, d):
     recs, facts, said = lifted_labels(spark, d)
     snaps = spark.createDataFrame([(f"urn:snapshot/{k}", f"part {k}") for k in range(3)], "snapshot_id string, source string")
-    return Q.union(P.reify(said, NS, "urn:g/provenance"), P.record_quads(recs, NS, "urn:g/provenance"), P.snapshot_quads(snaps, NS, "urn:g/provenance", "urn:activity/1"))
+    how = {"distinct": False, "by_predicate": True}  # statements are distinct, and so are records once their rows are
+    return P.reify(said, NS, "urn:g/provenance", **how).unionByName(P.record_quads(recs.dropDuplicates(["record_id"]), NS, "urn:g/provenance", **how)).unionByName(P.snapshot_quads(snaps, NS, "urn:g/provenance", "urn:activity/1"))
 
 
 graph_query(

@@ -31,6 +31,14 @@ def run(q, text):
         ("SELECT ?x { GRAPH :g { ?x :p ?y } MINUS { GRAPH :h { ?x :l ?l } } }", [("u:c",)]),
         ("SELECT ?x { GRAPH :g { ?x :p ?y } MINUS { GRAPH :h { ?z :l ?l } } }", [("u:a",), ("u:b",), ("u:c",)]),
         ("SELECT ?x { GRAPH :g { ?x :p ?y } FILTER NOT EXISTS { GRAPH :h { ?x :l ?l } } }", [("u:c",)]),
+        ('SELECT ?x { GRAPH :g { ?x :l ?l } FILTER EXISTS { GRAPH :h { ?z :l ?m FILTER(?m = ?l) } } }', [("u:a",)]),
+        ('SELECT ?x { GRAPH :g { ?x :p ?y } OPTIONAL { GRAPH :h { ?x :l ?l } } FILTER NOT EXISTS { GRAPH :g { ?z :l ?m FILTER(?m = ?l) } } }', [("u:b",), ("u:c",)]),
+        ('SELECT ?x { GRAPH :h { ?x :l ?l } FILTER NOT EXISTS { GRAPH :g { { ?z :l ?m } UNION { ?z :p ?m } FILTER(STR(?m) = STR(?l) && ?z != :q) } } }', [("u:b",)]),
+        ('SELECT ?x { GRAPH :h { ?x :l ?l } FILTER EXISTS { GRAPH :g { ?x :p ?y OPTIONAL { ?y :l ?m } FILTER(?l = "one") } } }', [("u:a",)]),
+        ('SELECT ?x { GRAPH :h { ?x :l ?l } FILTER EXISTS { BIND(?l AS ?m) FILTER(?m = "two") } }', [("u:b",)]),
+        ("SELECT ?x { GRAPH :g { ?x :p ?y } OPTIONAL { GRAPH :h { ?x :l ?l } } MINUS { GRAPH :g { ?z :l ?l } } }", [("u:b",), ("u:c",)]),
+        ("SELECT ?x { GRAPH :g { ?x :p ?y } MINUS { OPTIONAL { GRAPH :g { ?x :l ?l } } } }", [("u:b",), ("u:c",)]),
+        ("SELECT ?x { GRAPH :g { ?x :p/:p ?y } FILTER NOT EXISTS { GRAPH :h { ?x ^:p/:l ?l } } FILTER EXISTS { GRAPH :g { ?x :p/:p/:p ?x } } }", [("u:a",), ("u:b",), ("u:c",)]),
         ("SELECT ?x { GRAPH :g { ?x :p ?y } FILTER(?nope = 1 || ?x = :a) }", [("u:a",)]),
         ("SELECT ?x ?v { GRAPH :g { ?x :p ?y } VALUES (?x ?v) { (:a 1) (UNDEF 2) } }", [("u:a", "1"), ("u:a", "2"), ("u:b", "2"), ("u:c", "2")]),
         ("SELECT (COUNT(*) AS ?n) (MIN(?l) AS ?m) { GRAPH :none { ?x :l ?l } }", [("0", None)]),
@@ -54,6 +62,17 @@ def test_maybe_bound_join(q):
     assert run(q, text) == [("u:b", "two"), ("u:c", "two")]
 
 
+def test_maybe_bound_sides_are_joined_by_equality(q):
+    both = "SELECT ?x ?l ?z { { GRAPH :g { ?x :p ?y } OPTIONAL { GRAPH :h { ?x :l ?l } } } { GRAPH :g { ?z :p ?w } OPTIONAL { GRAPH :g { ?z :l ?l } } } }"
+    assert sorted(str(tuple(r)) for r in query(q, P + both).collect()) == sorted(map(str, [("u:a", "one", "u:a"), ("u:a", "one", "u:b"), ("u:a", "one", "u:c"), ("u:b", "two", "u:b"), ("u:b", "two", "u:c"), ("u:c", "one", "u:a"), ("u:c", None, "u:b"), ("u:c", None, "u:c")]))
+    left = "SELECT ?x ?l ?z { GRAPH :g { ?x :p ?y } OPTIONAL { GRAPH :h { ?x :l ?l } } OPTIONAL { GRAPH :g { ?z :l ?l } } }"
+    assert {tuple(r) for r in query(q, P + left).collect()} == {("u:a", "one", "u:a"), ("u:b", "two", None), ("u:c", "one", "u:a")}
+    seen = "SELECT ?x { GRAPH :g { ?x :p ?y } OPTIONAL { GRAPH :h { ?x :l ?l } } GRAPH :h { :b :l ?l } }"
+    plan = query(q, P + seen)._jdf.queryExecution().optimizedPlan().toString()
+    joins = [x for x in plan.splitlines() if "Join Inner" in x]
+    assert any("=" in x for x in joins)  # the bound rows; the unbound ones fit any row
+
+
 @pytest.mark.parametrize("text", ["SELECT ?x { SERVICE <u:s> { ?x ?y ?z } }", "SELECT ?x FROM <u:g> { ?x ?y ?z }", "LOAD <u:x>", "ASK { ?x ?y ?z }", "SELECT { ?x ?y ?z }", "SELECT ?x { ?x nope:y ?z }", "SELECT ?x { ?x ?y ?z } extra"])
 def test_refusals(text):
     with pytest.raises(SparqlError):
