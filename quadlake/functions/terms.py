@@ -107,6 +107,14 @@ def row_locator(index: Column, nested: Column | None = None) -> Column:
     return F.concat(F.lit("row:"), index.cast("string"), *([F.lit("/evidence:"), nested.cast("string")] if nested is not None else []))
 
 
+def line_locator(line: Column) -> Column:
+    return F.concat(F.lit("line:"), line.cast("string"))
+
+
+def class_locator(iri: Column) -> Column:
+    return F.concat(F.lit("owl:Class:"), iri)
+
+
 def escape(text: Column) -> Column:
     """A literal's text as N-Triples writes it."""
     for a, b in (("\\", "\\\\"), ('"', '\\"'), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
@@ -115,14 +123,32 @@ def escape(text: Column) -> Column:
 
 
 def unescape(text: Column) -> Column:
-    parts = F.replace(text, F.lit("\\\\"), F.lit("\x00"))
-    for a, b in (('\\"', '"'), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t")):
-        parts = F.replace(parts, F.lit(a), F.lit(b))
-    return F.replace(parts, F.lit("\x00"), F.lit("\\"))
+    """What an N-Triples string or IRI with escapes says: \\t \\b \\n \\r \\f \\" \\' \\\\ and code points as \\u with four or \\U with eight digits."""
+
+    def simple(whole: Column) -> Column:
+        whole = F.replace(whole, F.lit("\\\\"), F.lit("\x00"))  # escaped backslashes apart, so that what follows them isn't an escape
+        for a, b in (('\\"', '"'), ("\\'", "'"), ("\\n", "\n"), ("\\r", "\r"), ("\\t", "\t"), ("\\b", "\b"), ("\\f", "\f")):
+            whole = F.replace(whole, F.lit(a), F.lit(b))
+        return whole
+
+    def piece(x: Column) -> Column:
+        n = F.when(x.rlike("^\\\\u[0-9A-Fa-f]{4}"), 4).when(x.rlike("^\\\\U[0-9A-Fa-f]{8}"), 8)
+        rest = lambda y: F.replace(y, F.lit("\x00"), F.lit("\\"))
+        code = F.lpad(F.substr(x, F.lit(3), n), 8, "0")
+        return F.when(n.isNull(), rest(x)).otherwise(F.concat(F.decode(F.unhex(code), "UTF-32"), rest(F.substr(x, n + 3))))
+
+    def decoded(whole: Column) -> Column:
+        codes = whole.contains("\\u") | whole.contains("\\U")
+        return F.when(codes, F.array_join(F.transform(F.split(whole, "(?=\\\\[uU])"), piece), "")).otherwise(F.replace(whole, F.lit("\x00"), F.lit("\\")))
+
+    def of(t: Column) -> Column:
+        return F.when(t.contains("\\"), F.transform(F.array(simple(t)), decoded)[0]).otherwise(t)
+
+    return F.transform(F.array(text), of)[0]  # each value is bound once, so plans stay small
 
 
 def n3(value: Column, kind: Column, datatype: Column, lang: Column) -> Column:
     """A term as N-Triples writes it."""
     quoted = F.concat(F.lit('"'), escape(value), F.lit('"'))
     tail = F.when(lang.isNotNull(), F.concat(F.lit("@"), lang)).when(datatype.isNotNull() & (datatype != STRING), F.concat(F.lit("^^<"), datatype, F.lit(">"))).otherwise("")
-    return F.when(kind == "literal", F.concat(quoted, tail)).when(kind == "bnode", F.concat(F.lit("_:"), value)).otherwise(F.concat(F.lit("<"), value, F.lit(">")))
+    return F.when(kind == "literal", F.concat(quoted, tail)).when(kind == "bnode", F.concat(F.lit("_:"), F.regexp_replace(value, "^_:", ""))).otherwise(F.concat(F.lit("<"), value, F.lit(">")))

@@ -15,6 +15,12 @@ def exactly_one(df: DataFrame, what: str = "row") -> DataFrame:
     return rest.unionByName(none.select(*[F.lit(None).cast(t).alias(c) for c, t in df.dtypes]))
 
 
+def anchor(classes: DataFrame, label: str, expected: str) -> DataFrame:
+    """The one class (uri, labels, deprecated) that has the label and isn't deprecated, or an error unless it's the expected one."""
+    found = exactly_one(classes.filter(F.array_contains("labels", label) & ~F.col("deprecated")), "anchor")
+    return found.filter(F.when(F.col("uri") != expected, F.raise_error(F.concat(F.lit("another anchor: "), F.col("uri"))).cast("boolean")).otherwise(True))
+
+
 def overlapping(df: DataFrame, array: str, keys: DataFrame, key: str, row_id: str) -> DataFrame:
     """Rows whose array has an element among the keys; the keys are a table, so the array is exploded, semi-joined and the row taken once."""
     hit = df.select(row_id, F.explode(array).alias(key)).join(keys.select(key).distinct(), key, "left_semi").select(row_id).distinct()
@@ -67,9 +73,10 @@ def catalog_audit(rows: DataFrame, arrays: dict[str, tuple[DataFrame, str]]) ->
     parts = []
     for name, (catalog, key) in arrays.items():
         each = rows.select(F.explode(name).alias("ref"))
-        n = each.agg(F.count("ref").alias("refs"), F.countDistinct("ref").alias("ids"))
+        n = each.agg(F.countDistinct("ref").alias("ids")).withColumn("k", F.lit(name))
+        n = rows.agg(F.coalesce(F.sum(F.size(F.array_compact(name))), F.lit(0)).alias("refs")).withColumn("k", F.lit(name)).join(n, "k")
         gone = missing(each, catalog, "ref", key).agg(F.count("*").alias("missing"))
-        parts.append(n.withColumn("k", F.lit(name)).join(gone.withColumn("k", F.lit(name)), "k"))
+        parts.append(n.join(gone.withColumn("k", F.lit(name)), "k"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

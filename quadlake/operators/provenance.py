@@ -63,6 +63,14 @@ def coverage(facts: DataFrame, statements: DataFrame, recs: DataFrame, snapshots
     return both.select("covered", "total", F.coalesce(F.round(100 * F.col("covered") / F.nullif(F.col("total"), F.lit(0)), 3), F.lit(0.0)).alias("percent"), "malformed")
 
 
+def malformed(statements: DataFrame, recs: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """stmt_id and problem of the statements whose record, or whose record's snapshot, isn't there."""
+    known = snapshots.select("snapshot_id").distinct().withColumn("_snap", F.lit(True))
+    have = recs.select("record_id", "snapshot_id").distinct().join(known, "snapshot_id", "left").groupBy("record_id").agg(F.max("_snap").alias("_snap"), F.lit(True).alias("_rec"))
+    problem = F.when(F.col("_rec").isNull(), "no record").when(F.col("_snap").isNull(), "no snapshot")
+    return statements.join(have, "record_id", "left").select("stmt_id", problem.alias("problem")).filter("problem IS NOT NULL")
+
+
 def conflicts(quads: DataFrame, positive: str, excluded: str) -> DataFrame:
     """(s, o) asserted both ways, in one graph or across graphs, with the graphs of either side."""
     pair = lambda p, n: quads.filter(F.col("p") == p).groupBy("s", "o").agg(F.array_join(F.array_sort(F.collect_set("g")), " ").alias(n))
@@ -97,3 +105,37 @@ def projection(quads: DataFrame, annotation_predicates: list[str] | None = None)
     """(kept, excluded): together the input again. Excluded are the given annotations and bare declarations."""
     out = F.col("p").isin(annotation_predicates or [RDFS + "comment", RDFS + "isDefinedBy", RDFS + "seeAlso"]) | ((F.col("p") == Q.TYPE) & F.col("o").isin(DECLARATIONS))
     return quads.filter(~out), quads.filter(out)
+
+
+def canonical_union(quads: DataFrame, inferred: list[str]) -> DataFrame:
+    """The triples of all graphs but the inferred ones, each once: what is validated before and apart from inference."""
+    return Q.triples(quads.filter(F.col("g").isNull() | ~F.col("g").isin(inferred)))
+
+
+def review(asserted: DataFrame, schema: DataFrame, annotation: list[str], relations: list[str]) -> DataFrame:
+    """The review view: the asserted triples and the schema's, with what an ontology editor needs declared: superclasses as classes, the given
+    predicates as annotation or object properties, and instances, and objects of the relations, as individuals."""
+    both = asserted.select(*Q.QUAD[1:]).unionByName(schema.select(*Q.QUAD[1:]))
+    declare = lambda df, type_: df.select(F.col("n").alias("s"), F.lit(Q.TYPE).alias("p"), F.lit(type_).alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
+    spark, named = asserted.sparkSession, (F.col("o_kind") == "iri")
+    classes = both.filter((F.col("p") == RDFS + "subClassOf") & named).select(F.col("o").alias("n"))
+    things = asserted.filter((F.col("p") == Q.TYPE) & (F.col("o") != OWL + "Class")).select(F.col("s").alias("n")).unionByName(asserted.filter(F.col("p").isin(relations) & named).select(F.col("o").alias("n")))
+    parts = [both, declare(classes, OWL + "Class"), declare(things, OWL + "NamedIndividual")]
+    for names, type_ in ((annotation, "AnnotationProperty"), (relations, "ObjectProperty")):
+        if names:
+            parts.append(declare(spark.createDataFrame([(n,) for n in names], "n string"), OWL + type_))
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out.distinct()
+
+
+def reasoning(full: DataFrame, asserted: DataFrame, subjects: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(kept, excluded) of a review view: triples about the given subjects are left out, and together both are the view again. Fails closed: asserted or
+    kept triples that use an excluded term are an error when they are read."""
+    gone = F.col("s").isin(subjects)
+    used = lambda c: F.col("s").isin(subjects) | F.col("p").isin(subjects) | F.col("o").isin(subjects)
+    fail = lambda what: F.raise_error(F.concat(F.lit(f"{what} use the excluded term of: "), F.concat_ws(" ", "s", "p", "o"))).cast("boolean")
+    sound = asserted.filter(F.when(used(asserted), fail("asserted triples")).otherwise(False)).select(*Q.QUAD[1:])  # no rows, or an error
+    kept = full.filter(~gone).select(*Q.QUAD[1:]).filter(F.when(used(full), fail("kept triples")).otherwise(True))
+    return kept.unionByName(sound), full.filter(gone).select(*Q.QUAD[1:])

@@ -11,11 +11,13 @@ from .functions import terms as T
 from .operators import closure as K
 from .operators import context as C
 from .operators import integrity as I
+from .operators import lifts as L
 from .operators import provenance as P
 from .operators import quads as Q
 from .operators import rules as R
 from .operators import shapes as S
 from .plans.compiler import query as sparql
+from .session import cut
 from .sources import readers, sinks, turtle
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -133,9 +135,9 @@ def curie_to_iri(spark, d):
     return t(spark, d, "part").select("p_partkey", T.curie_to_iri(F.col("p_brand"), {"Brand": "urn:brand/"}, "#").alias("brand"))
 
 
-@register("unknown_prefix_null", "SELECT DISTINCT p_brand, CAST(NULL AS VARCHAR) AS brand FROM part")
+@register("unknown_prefix_null", "SELECT DISTINCT p_brand, CASE WHEN p_size % 2 = 0 THEN 'urn:make/' || split_part(p_brand, '#', 2) END AS brand FROM part")
 def unknown_prefix_null(spark, d):
-    return t(spark, d, "part").select("p_brand", T.curie_to_iri(F.col("p_brand"), {"Make": "urn:make/"}, "#").alias("brand")).distinct()
+    return t(spark, d, "part").select("p_brand", T.curie_to_iri(F.when(F.col("p_size") % 2 == 0, F.replace("p_brand", F.lit("Brand"), F.lit("Make"))).otherwise(F.col("p_brand")), {"Make": "urn:make/"}, "#").alias("brand")).distinct()
 
 
 @register("validated_ids", "SELECT p_partkey, regexp_full_match(p_brand, 'Brand#[0-9]+') AS valid FROM part")
@@ -250,9 +252,10 @@ def path_evidence(spark, d):
     return C.path_evidence(paths, ["part", "supp"], [(a, ["part", "supp"], "l_orderkey"), (n, ["part"], "l_orderkey")])
 
 
-@register("reference_resolution", "SELECT doc_id, CASE coalesce(n, 0) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM labels GROUP BY 1) l USING (doc_id)")
+@register("reference_resolution", "SELECT doc_id, CASE coalesce(n, 0) WHEN 0 THEN 'unresolved' WHEN 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM documents LEFT JOIN (SELECT doc_id, count(*) AS n FROM (SELECT doc_id FROM labels UNION ALL SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY 1) l USING (doc_id)")
 def reference_resolution(spark, d):
-    return C.resolve(t(spark, d, "documents").select("doc_id"), t(spark, d, "labels"), "doc_id", "doc_id")
+    labels = t(spark, d, "labels")
+    return C.resolve(t(spark, d, "documents").select("doc_id"), labels.unionByName(labels.filter("toxic = 1")), "doc_id", "doc_id")
 
 
 @register("ambiguous_refs", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
@@ -289,9 +292,9 @@ def conflict_evidence(spark, d):
     return P.conflicts(side("A", "urn:g/a", "urn:has").unionByName(side("R", "urn:g/r", "urn:hasNot")), "urn:has", "urn:hasNot")
 
 
-@register("signature_diff", "(SELECT 'left' AS side, n_nationkey AS k FROM nation EXCEPT SELECT 'left', c_nationkey FROM customer WHERE c_acctbal > 9000) UNION ALL (SELECT 'right', c_nationkey FROM customer WHERE c_acctbal > 9000 EXCEPT SELECT 'right', n_nationkey FROM nation)")
+@register("signature_diff", "(SELECT 'left' AS side, n_nationkey + 3 AS k FROM nation EXCEPT SELECT 'left', c_nationkey FROM customer) UNION ALL (SELECT 'right', c_nationkey FROM customer EXCEPT SELECT 'right', n_nationkey + 3 FROM nation)")
 def signature_diff(spark, d):
-    a, b = t(spark, d, "nation").select(F.col("n_nationkey").alias("k")), t(spark, d, "customer").filter("c_acctbal > 9000").select(F.col("c_nationkey").alias("k")).distinct()
+    a, b = t(spark, d, "nation").select((F.col("n_nationkey") + 3).alias("k")), t(spark, d, "customer").select(F.col("c_nationkey").alias("k")).distinct()
     return Q.difference(a, b).select("side", "k")
 
 
@@ -438,6 +441,139 @@ graph_query(
     f"SELECT {S1('d', 'doc_id')} AS subject, {V('quality')} AS object, {V('doc_id')} AS id, 'row:' || {V('doc_id')} AS locator, 'part ' || {V('doc_id % 3')} AS source FROM labels",
 )
 
+graph_query("sparql_exists_correlated", documents, "SELECT ?d WHERE { GRAPH g:docs { ?d u:lang ?l ; u:origin ?o } FILTER EXISTS { GRAPH g:docs { ?e u:lang ?m FILTER(?m = ?l && ?e != ?d) } GRAPH g:labels { ?d u:quality ?q FILTER(?q = 0 && ?l != \"en\") } } }", f"SELECT {S1('d', 'doc_id')} AS d FROM documents JOIN labels USING (doc_id) WHERE quality = 0 AND lang <> 'en' AND lang IN (SELECT lang FROM documents GROUP BY 1 HAVING count(*) > 1)")
+graph_query("sparql_not_exists_correlated", sales, "SELECT ?n WHERE { GRAPH g:sales { ?n rdfs:subClassOf ?r . ?r rdfs:subClassOf <urn:root> } FILTER NOT EXISTS { GRAPH g:sales { ?m rdfs:subClassOf ?x . ?m rdfs:label ?l . ?n rdfs:label ?k FILTER(?x = ?r && STR(?l) < STR(?k)) } } }", f"SELECT {S1('n', 'n_nationkey')} AS n FROM nation WHERE n_name = (SELECT min(b.n_name) FROM nation b WHERE b.n_regionkey = nation.n_regionkey)")
+graph_query("sparql_not_exists_path", sales, "SELECT ?c WHERE { GRAPH g:sales { ?c a u:Customer } FILTER NOT EXISTS { GRAPH g:sales { ?c ^u:placedBy/u:status \"F\" } } }", f"SELECT {S1('c', 'c_custkey')} AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+graph_query("sparql_minus_unbound", documents, "SELECT ?d WHERE { GRAPH g:docs { ?d a u:Document } OPTIONAL { GRAPH g:labels { ?d u:toxic ?q } } MINUS { GRAPH g:labels { ?e u:quality ?q FILTER(?q = 1) } } }", f"SELECT {S1('d', 'doc_id')} AS d FROM documents LEFT JOIN labels USING (doc_id) WHERE toxic IS NULL OR toxic <> 1")
+graph_query("sparql_maybe_join", documents, "SELECT ?l ?q (COUNT(*) AS ?n) WHERE { GRAPH g:docs { ?d u:lang ?l ; u:origin \"src3\" } OPTIONAL { GRAPH g:labels { ?d u:quality ?q } } VALUES ?q { 0 1 } } GROUP BY ?l ?q", f"SELECT lang AS l, {V('v.q')} AS q, {V('count(*)')} AS n FROM documents LEFT JOIN labels USING (doc_id) JOIN (VALUES (0), (1)) v(q) ON quality IS NULL OR quality = v.q WHERE source = 'src3' GROUP BY 1, 2")
+
+# --- lifts
+
+VOC = L.Vocabulary(NS)
+
+
+def recorded(rows, table: str, key: str):
+    return P.records(rows, NS, F.lit(f"urn:snapshot/{table}"), T.row_locator(F.col(key)), F.col(key))
+
+
+def spelt(facts):
+    return facts.select("s", "p", "o")
+
+
+@register("lift_hierarchy", f"""SELECT {S1('n', 'n_nationkey')} AS s, u.p, u.o FROM nation, LATERAL (SELECT * FROM (VALUES ('{Q.TYPE}', CASE WHEN n_name LIKE '%1%' THEN 'urn:First' ELSE 'urn:Place' END), ('urn:identifier', {V('n_nationkey')}), ('{T.RDFS}label', n_name), ('{Q.TYPE}', '{T.OWL}Class'),
+ ('{T.RDFS}subClassOf', {S1('r', 'n_regionkey')}), ('{T.SKOS}altLabel', CASE WHEN n_nationkey = 3 THEN lower(n_name) END), ('urn:sourceXref', CASE WHEN n_nationkey = 3 THEN 'x:3' END), ('{T.SKOS}exactMatch', CASE WHEN n_nationkey = 3 THEN 'urn:m/3' END)) v(p, o)) u WHERE u.o IS NOT NULL""")
+def lift_hierarchy(spark, d):
+    rows = t(spark, d, "nation").select(
+        iri("n", "n_nationkey").alias("uri"), F.col("n_nationkey").cast("string").alias("identifier"), F.array("n_name").alias("labels"), F.array(iri("r", "n_regionkey")).alias("parents"), F.array(F.lower("n_name")).alias("synonyms"),
+        F.array(F.concat(F.lit("x:"), F.col("n_nationkey").cast("string")), F.lit(None).cast("string")).alias("xrefs"), F.array(F.struct(F.lit(T.SKOS + "exactMatch").alias("predicate"), iri("m", "n_nationkey").alias("object"))).alias("mappings"), "n_name", "n_nationkey",
+    )
+    return spelt(L.concepts(recorded(rows, "nation", "n_nationkey"), SALES, VOC, L.type_by_pattern(F.col("n_name"), {"1": "urn:First"}, "urn:Place"), F.col("n_nationkey") == 3))
+
+
+NOTE = "SELECT event_id, user_id, event_type, CASE WHEN value > 100 THEN 'NOT' END AS qualifier FROM events"
+
+
+@register("lift_annotations", f"""SELECT p, count(*) AS n FROM (SELECT DISTINCT 'urn:u/' || user_id AS s, '{Q.TYPE}' AS p, '' AS o FROM events UNION ALL SELECT DISTINCT 'urn:u/' || user_id, 'urn:identifier', '' FROM events UNION ALL SELECT DISTINCT 'urn:u/' || user_id, '{T.RDFS}label', '' FROM events
+ UNION ALL SELECT 'urn:u/' || user_id, CASE WHEN qualifier = 'NOT' THEN CASE WHEN event_type = 'purchase' THEN 'urn:notBought' END ELSE {ASPECT_CASE} END, {V('event_id')} FROM ({NOTE}) UNION ALL SELECT '', unnest(['urn:aspect', 'urn:qualifier', 'urn:reference', 'urn:reference']), '' FROM events) WHERE p IS NOT NULL GROUP BY 1""")
+def lift_annotations(spark, d):
+    user = F.col("user_id").cast("string")
+    rows = t(spark, d, "events").select(
+        iri("u", "user_id").alias("subject"), user.alias("identifier"), F.concat(F.lit("user "), user).alias("label"), F.col("event_type").alias("aspect"), F.when(F.col("value") > 100, "NOT").alias("qualifier"),
+        iri("e", "event_id").alias("object"), F.concat(user, F.lit(";;"), F.col("event_type")).alias("references"), "event_id",
+    )
+    facts, said = L.annotations(recorded(rows, "events", "event_id"), SALES, VOC, "urn:User", ASPECTS, ("purchase", "urn:notBought"), ["event_id"])
+    return facts.unionByName(said).groupBy("p").agg(F.count("*").alias("n"))
+
+
+@register("lift_evidence", f"SELECT l_orderkey, 'row:' || {V('l_orderkey')} || '/evidence:' || {V('row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1')} AS locator, '{{\"evidence\":{{\"l_linenumber\":' || {V('l_linenumber')} || ',\"l_partkey\":' || {V('l_partkey')} || ',\"l_suppkey\":' || {V('l_suppkey')} || '}},\"l_orderkey\":' || {V('l_orderkey')} || '}}' AS payload FROM lineitem")
+def lift_evidence(spark, d):
+    rows = t(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey"))).alias("parts"))
+    recs = L.nested(rows, NS, F.lit("urn:snapshot/lineitem"), T.row_locator(F.col("l_orderkey")), F.col("l_orderkey"), "parts", ["l_orderkey"])
+    return recs.select("l_orderkey", "locator", F.col("payload_json").alias("payload"))
+
+
+@register("lift_links", f"WITH a AS (SELECT DISTINCT l_partkey AS part, l_suppkey AS supp FROM lineitem WHERE l_returnflag = 'A') SELECT 'urn:link/' || sha256('[\"' || {S1('p', 'part')} || '\",\"' || {S1('s', 'supp')} || '\"]') AS s, 5 + count(*) AS n FROM a JOIN lineitem ON l_partkey = part AND l_suppkey = supp AND l_returnflag = 'A' GROUP BY part, supp".replace("5 + count(*)", "4 + count(DISTINCT (l_orderkey, l_linenumber))"))
+def lift_links(spark, d):
+    line = t(spark, d, "lineitem").filter("l_returnflag = 'A'").select(iri("p", "l_partkey").alias("part"), iri("s", "l_suppkey").alias("supp"), F.concat_ws("/", F.lit("urn:line"), "l_orderkey", "l_linenumber").alias("record"))
+    quads = L.links(line, ["part", "supp"], [(line, ["part", "supp"], "record")], NS, SALES, "urn:Link", {"part": "urn:part", "supp": "urn:supplier"}, "urn:activity/1")
+    return quads.groupBy("s").agg(F.count("*").alias("n"))
+
+
+REPORTS = "SELECT doc_id, nullif(lang, 'de') AS lang, CASE WHEN source = 'src1' THEN '' ELSE source END AS source, quality, toxic FROM documents LEFT JOIN labels USING (doc_id)"
+
+
+def report_rows(spark, d):
+    rows = t(spark, d, "documents").select("doc_id", F.nullif("lang", F.lit("de")).alias("lang"), F.when(F.col("source") != "src1", F.col("source")).otherwise("").alias("source"))
+    rows = rows.join(t(spark, d, "labels"), "doc_id", "left").withColumn("flags", F.when(F.col("toxic") == 1, F.array(F.lit("toxic"), F.lit(""))).when(F.col("toxic") == 0, F.array().cast("array<string>")))
+    return recorded(rows, "documents", "doc_id")
+
+
+@register("lift_reports", f"""SELECT p, o, count(*) AS n FROM (SELECT unnest([struct_pack(p := 'urn:lang', o := lang), struct_pack(p := 'urn:origin', o := nullif(source, '')), struct_pack(p := 'urn:quality', o := {V('quality')}), struct_pack(p := 'urn:unresolvedField', o := CASE WHEN lang IS NULL THEN 'lang' END), struct_pack(p := 'urn:unresolvedField', o := CASE WHEN source = '' OR source IS NULL THEN 'source' END),
+ struct_pack(p := 'urn:unresolvedField', o := CASE WHEN quality IS NULL THEN 'quality' END), struct_pack(p := 'urn:fieldState', o := CASE WHEN toxic = 1 THEN 'present' WHEN toxic = 0 THEN 'empty' ELSE 'null' END), struct_pack(p := 'urn:flag', o := CASE WHEN toxic = 1 THEN 'toxic' END)], recursive := true) FROM ({REPORTS})) WHERE o IS NOT NULL GROUP BY 1, 2""")
+def lift_reports(spark, d):
+    facts = L.reports(report_rows(spark, d), DOCS, VOC, "urn:Report", "doc_id", {"lang": "urn:lang", "source": "urn:origin", "quality": "urn:quality"}, "flags")
+    return facts.filter(~F.col("p").isin(Q.TYPE, "urn:reportIdentifier")).groupBy("p", "o").agg(F.count("*").alias("n"))
+
+
+def catalog_with_doubles(spark, d):
+    """Labels, where some ids stand twice."""
+    labels = t(spark, d, "labels").select(F.col("doc_id").cast("string").alias("id"), iri("l", "doc_id").alias("node"))
+    return labels.unionByName(labels.filter("CAST(id AS long) % 7 = 0"))
+
+
+def references(spark, d):
+    return t(spark, d, "documents").select(iri("d", "doc_id").alias("s"), F.col("lang").alias("type"), F.col("doc_id").cast("string").alias("ref"))
+
+
+@register("lift_resolutions", f"SELECT {S1('d', 'doc_id')} AS s, CASE WHEN l.doc_id IS NOT NULL AND doc_id % 7 <> 0 THEN 'urn:resolvedReport' ELSE 'urn:unresolvedReportIdentifier' END AS p, CASE WHEN l.doc_id IS NOT NULL AND doc_id % 7 <> 0 THEN {S1('l', 'doc_id')} ELSE {V('doc_id')} END AS o FROM documents LEFT JOIN labels l USING (doc_id)")
+def lift_resolutions(spark, d):
+    return spelt(L.resolutions(references(spark, d), catalog_with_doubles(spark, d), "ref", "id", "node", DOCS, VOC))
+
+
+@register("resolution_counts", "SELECT lang AS type, CASE WHEN l.doc_id IS NULL THEN 'unresolved' WHEN doc_id % 7 = 0 THEN 'ambiguous' ELSE 'resolved' END AS status, count(*) AS n FROM documents LEFT JOIN labels l USING (doc_id) GROUP BY 1, 2")
+def resolution_counts(spark, d):
+    return L.resolution_counts(references(spark, d), catalog_with_doubles(spark, d), "ref", "id")
+
+
+@register("payload_differences", "SELECT 'row:' || CAST(doc_id AS VARCHAR) AS locator, CASE doc_id % 5 WHEN 0 THEN 'changed' WHEN 1 THEN 'no such row' ELSE 'stored twice' END AS problem FROM labels WHERE doc_id % 5 < 3")
+def payload_differences(spark, d):
+    raw = recorded(t(spark, d, "labels"), "labels", "doc_id").select("doc_id", "locator", "payload_json")
+    stored = raw.withColumn("payload_json", F.when(F.col("doc_id") % 5 == 0, "{}").otherwise(F.col("payload_json")))
+    stored = stored.unionByName(stored.filter("doc_id % 5 = 2"))
+    return L.payload_differences(stored, raw.filter("doc_id % 5 <> 1"), ["locator"])
+
+
+@register("malformed_statements", "SELECT CASE WHEN doc_id % 3 = 2 THEN 'no snapshot' ELSE 'no record' END AS problem, count(*) AS n FROM labels WHERE doc_id % 3 = 2 OR doc_id % 5 = 0 GROUP BY ALL".replace("CASE WHEN doc_id % 3 = 2 THEN 'no snapshot' ELSE 'no record' END", "CASE WHEN doc_id % 5 = 0 THEN 'no record' ELSE 'no snapshot' END"))
+def malformed_statements(spark, d):
+    recs, _, said = lifted_labels(spark, d)
+    return P.malformed(said, recs.filter("doc_id % 5 <> 0"), spark.createDataFrame([("urn:snapshot/0",), ("urn:snapshot/1",)], "snapshot_id string")).groupBy("problem").agg(F.count("*").alias("n"))
+
+
+@register("canonical_union", "SELECT count(*) AS n FROM (SELECT doc_id, 'l', lang FROM documents UNION SELECT doc_id, 'o', source FROM documents UNION SELECT doc_id, 't', '' FROM documents)")
+def canonical_union(spark, d):
+    docs = documents(spark, d)
+    return P.canonical_union(docs.unionByName(docs.filter(F.col("g") == DOCS).withColumn("g", F.lit("urn:g/again"))), [LABELS]).agg(F.count("*").alias("n"))
+
+
+@register("review_projection", f"SELECT 'kept' AS part, '{T.OWL}Class' AS o, (SELECT count(*) FROM region) + 1 AS n UNION ALL SELECT 'kept', '{T.OWL}NamedIndividual', count(*) FROM customer UNION ALL SELECT 'kept', '{T.OWL}AnnotationProperty', 1 UNION ALL SELECT 'kept', 'urn:Customer', count(*) FROM customer UNION ALL SELECT 'excluded', '{T.OWL}ObjectProperty', 1".replace("(SELECT count(*) FROM region) + 1", "(SELECT count(*) FROM region) + 1 + (SELECT count(DISTINCT c_nationkey) FROM customer)"))
+def review_projection(spark, d):
+    asserted = sales(spark, d).filter(F.col("p").isin(Q.TYPE, T.RDFS + "subClassOf"))
+    schema = spark.createDataFrame([(None, "urn:SourceRecord", Q.TYPE, T.OWL + "ObjectProperty", "iri", None, None)], "g string, s string, p string, o string, o_kind string, o_dt string, o_lang string")
+    full = P.review(asserted, schema, ["urn:identifier"], [])
+    kept, gone = P.reasoning(full, asserted, ["urn:SourceRecord"])
+    both = kept.withColumn("part", F.lit("kept")).unionByName(gone.withColumn("part", F.lit("excluded")))
+    return both.filter(F.col("p") == Q.TYPE).groupBy("part", "o").agg(F.count("*").alias("n"))
+
+
+@register("nquads_round_trip", "SELECT 'urn:d/' || CAST(doc_id AS VARCHAR) AS s, coalesce(text, '') AS o, 'literal' AS o_kind FROM documents UNION ALL SELECT '_:b1', 'café 😀 \\u0041', 'literal' UNION ALL SELECT 'urn:é', '_:b1', 'bnode'")
+def nquads_round_trip(spark, d):
+    """Documents' texts as statements, and lines with escapes and blank nodes, written, read, written and read again."""
+    said = Q.lift(t(spark, d, "documents"), DOCS, iri("d", "doc_id"), Q.text("urn:text", F.coalesce("text", F.lit(""))), distinct=False).select(sinks.line().alias("value"))
+    given = spark.createDataFrame([(r'_:b1 <urn:text> "caf\u00e9 \U0001F600 \\u0041" <urn:g/docs> .',), (r"<urn:\u00e9> <urn:text> _:b1 <urn:g/docs> .",)], "value string")
+    again = cut(readers.parse_nquads(cut(said.unionByName(given))).select(sinks.line().alias("value")))
+    return readers.parse_nquads(again).select("s", "o", "o_kind")
+
+
 # --- shapes
 
 
@@ -508,9 +644,9 @@ def closure_turns(spark, d):
     return K.closure(edges, key="conv_id").select("conv_id", "s", "o", "depth")
 
 
-@register("closure_recursive_cte", f"SELECT {S1('n', 'n_nationkey')} AS s, {S1('r', 'n_regionkey')} AS o, 1 AS depth FROM nation UNION ALL SELECT {S1('n', 'n_nationkey')}, 'urn:root', 2 FROM nation UNION ALL SELECT {S1('r', 'r_regionkey')}, 'urn:root', 1 FROM region")
+@register("closure_recursive_cte", f"SELECT {S1('c', 'c_custkey')} AS s, {S1('n', 'c_nationkey')} AS o, 1 AS depth FROM customer UNION ALL SELECT {S1('c', 'c_custkey')}, {S1('r', 'n_regionkey')}, 2 FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT {S1('c', 'c_custkey')}, 'urn:root', 3 FROM customer UNION ALL SELECT {S1('n', 'n_nationkey')} AS s, {S1('r', 'n_regionkey')} AS o, 1 AS depth FROM nation UNION ALL SELECT {S1('n', 'n_nationkey')}, 'urn:root', 2 FROM nation UNION ALL SELECT {S1('r', 'r_regionkey')}, 'urn:root', 1 FROM region")
 def closure_recursive_cte(spark, d):
-    return K.acyclic_closure(hierarchy_edges(spark, d).filter("NOT startswith(s, 'urn:c/')"))
+    return K.acyclic_closure(hierarchy_edges(spark, d))
 
 
 @register("shortest_path", f"SELECT {S1('c', 'c_custkey')} AS s, 'urn:root' AS o, 3 AS depth, concat_ws('>', {S1('c', 'c_custkey')}, {S1('n', 'c_nationkey')}, {S1('r', 'n_regionkey')}, 'urn:root') AS path FROM customer JOIN nation ON c_nationkey = n_nationkey")
@@ -607,9 +743,10 @@ def table_digest(spark, d):
     return a.join(b, ["n_rows", "xor", "sum"]).select("n_rows")
 
 
-@register("legal_triples", "SELECT true AS legal, (SELECT 3 * count(*) FROM documents) + (SELECT 2 * count(*) FROM labels) AS n")
+@register("legal_triples", "SELECT true AS legal, (SELECT 3 * count(*) FROM documents) + (SELECT 2 * count(*) FROM labels) AS n UNION ALL SELECT false, 2 * count(*) FROM labels")
 def legal_triples(spark, d):
-    return Q.split_legal(documents(spark, d)).groupBy("legal").agg(F.count("*").alias("n"))
+    odd = documents(spark, d).filter(F.col("g") == LABELS).withColumns({"s": F.concat(F.lit('"'), "o", F.lit('"')), "o": F.col("s")})  # literals as subjects
+    return Q.split_legal(documents(spark, d).unionByName(odd)).groupBy("legal").agg(F.count("*").alias("n"))
 
 
 @register("generalized_triples", "SELECT count(DISTINCT lang) AS n FROM documents")

@@ -62,21 +62,62 @@ def owl_classes(spark: SparkSession, path: str) -> DataFrame:
 
 
 def nquads(spark: SparkSession, path: str) -> DataFrame:
-    """Quads of N-Quads or N-Triples lines (g is null for triples). A line that isn't a statement is an error."""
-    term = r'<([^>]*)>|_:(\S+)'
-    pattern = rf'^\s*(?:{term})\s+<([^>]*)>\s+(?:{term}|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*(?:<([^>]*)>)?\s*\.\s*$'
-    text = spark.read.text(path).filter("trim(value) <> '' AND NOT startswith(ltrim(value), '#')")
-    x = lambda k: F.nullif(F.regexp_extract("value", pattern, k), F.lit(""))
-    bad = F.raise_error(F.concat(F.lit("not a statement: "), F.col("value"))).cast("string")
-    literal = F.col("value").rlike(rf'^\s*(?:{term})\s+<[^>]*>\s+"')
-    return text.select(
-        x(9).alias("g"), F.when(F.col("value").rlike(pattern), F.coalesce(x(1), x(2))).otherwise(bad).alias("s"), x(3).alias("p"),
-        F.when(literal, unescape(F.regexp_extract("value", pattern, 6))).otherwise(F.coalesce(x(4), x(5))).alias("o"),
-        F.when(literal, "literal").when(x(5).isNotNull(), "bnode").otherwise("iri").alias("o_kind"),
-        F.when(literal & x(8).isNull(), F.coalesce(x(7), F.lit(STRING))).alias("o_dt"), x(8).alias("o_lang"),
+    """Quads of N-Quads or N-Triples files (g is null for triples). A line that isn't a statement is an error."""
+    return parse_nquads(spark.read.text(path))
+
+
+def parse_nquads(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Quads of N-Quads lines. Escapes are decoded in strings and IRIs; blank nodes keep their _: in any place, so they join."""
+    term = r'(?:<([^>]*)>|(_:[^\s<>"]*[^\s<>".]))'
+    value = F.col(column)
+    start, end = rf"^\s*{term}\s*<([^>]*)>\s*", rf"\s*(?:{term})?\s*\.\s*(?:#[^\"]*)?$"
+    said = lambda c: (F.trim(c) != "") & ~F.ltrim(c).startswith("#")
+    text = lines.filter(said(value))
+    x = lambda c, pattern, k: F.nullif(F.regexp_extract(c, pattern, k), F.lit(""))
+    node = lambda c, pattern, k: F.coalesce(unescape(x(c, pattern, k)), x(c, pattern, k + 1))
+    # A literal ends at the line's last quote, so a long one is found without a pattern over its text.
+    rest = text.select(value.alias("v"), F.regexp_replace(value, start, "").alias("r"), value.rlike(start).alias("sound"))
+    literal, last = F.col("r").startswith('"'), F.char_length("r") - F.locate('"', F.reverse("r")) + 1
+    parts = rest.select("v", "r", "sound", literal.alias("literal"), F.when(literal, F.substr("r", F.lit(2), last - 2)).alias("said"), F.when(literal, F.substr("r", last + 1)).alias("tail"))
+    tail, thing = rf"^(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?{end}", rf"^{term}{end}"
+    whole = F.regexp_replace("said", r"\\.", "")  # a quote or backslash that is left wasn't escaped
+    good = F.col("sound") & F.when(F.col("literal"), F.col("tail").rlike(tail) & ~whole.contains('"') & ~whole.contains("\\") & (F.char_length("r") > 1)).otherwise(F.col("r").rlike(thing))
+    bad = F.when(said(F.col("v")), F.raise_error(F.concat(F.lit("not a statement: "), F.col("v"))).cast("string"))  # filters may come after this
+    of = lambda k, j: F.when(F.col("literal"), node(F.col("tail"), tail, k)).otherwise(node(F.col("r"), thing, j))
+    return parts.select(
+        of(3, 3).alias("g"), F.when(good, node(F.col("v"), start, 1)).otherwise(bad).alias("s"), unescape(x(F.col("v"), start, 3)).alias("p"),
+        F.when(F.col("literal"), unescape(F.col("said"))).otherwise(node(F.col("r"), thing, 1)).alias("o"),
+        F.when(F.col("literal"), "literal").when(x(F.col("r"), thing, 2).isNotNull(), "bnode").otherwise("iri").alias("o_kind"),
+        F.when(F.col("literal") & x(F.col("tail"), tail, 2).isNull(), F.coalesce(unescape(x(F.col("tail"), tail, 1)), F.lit(STRING))).alias("o_dt"), F.when(F.col("literal"), x(F.col("tail"), tail, 2)).alias("o_lang"),
     )
 
 
+def policy(text: str, required: dict[str, str]) -> dict[str, str]:
+    """The settings of a small YAML text (nested keys of scalars, as section.key), or an error where one isn't as required."""
+    out: dict[str, str] = {}
+    above: list[tuple[int, str]] = []
+    for line in text.splitlines():
+        body = line.split(" #")[0].rstrip()
+        if not body.strip() or body.lstrip().startswith("#"):
+            continue
+        depth, (key, _, value) = len(body) - len(body.lstrip()), body.strip().partition(":")
+        above = [x for x in above if x[0] < depth]
+        if value.strip():
+            out[".".join([k for _, k in above] + [key])] = value.strip().strip("\"'")
+        else:
+            above.append((depth, key))
+    if wrong := {k: out.get(k) for k, v in required.items() if out.get(k) != v}:
+        raise ValueError(f"settings aren't supported: {wrong}")
+    return out
+
+
+def inventory(spark: SparkSession, root: str, version: dict[str, tuple[str, str]], glob: str = "*") -> DataFrame:
+    """path, source (the file's folder), version and its basis (by source; unknown where none is given), bytes and sha256."""
+    table = spark.createDataFrame([(k, *v) for k, v in sorted(version.items())], "source string, version string, version_basis string")
+    found = files(spark, root, glob).withColumn("source", F.element_at(F.split("path", "/"), -2))
+    return found.join(F.broadcast(table), "source", "left").select("path", "source", F.coalesce("version", F.lit("unknown")).alias("version"), F.coalesce("version_basis", F.lit("none")).alias("version_basis"), "bytes", "sha256")
+
+
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(path)
 

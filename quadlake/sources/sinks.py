@@ -14,7 +14,7 @@ from ..functions.terms import n3
 def line(graph: bool = True) -> Column:
     """A quad's line; subjects that begin with _: are blank nodes."""
     s = F.when(F.col("s").startswith("_:"), F.col("s")).otherwise(F.concat(F.lit("<"), "s", F.lit(">")))
-    tail = F.when(F.col("g").isNotNull(), F.concat(F.lit(" <"), "g", F.lit(">"))).otherwise("") if graph else F.lit("")
+    tail = F.when(F.col("g").startswith("_:"), F.concat(F.lit(" "), "g")).when(F.col("g").isNotNull(), F.concat(F.lit(" <"), "g", F.lit(">"))).otherwise("") if graph else F.lit("")
     return F.concat(s, F.lit(" <"), "p", F.lit("> "), n3(F.col("o"), F.col("o_kind"), F.col("o_dt"), F.col("o_lang")), tail, F.lit(" ."))
 
 

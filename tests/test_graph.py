@@ -137,3 +137,33 @@ def test_rules_need_the_positive_premise(quads):
     want = quads(("g", "urn:d", TYPE, "urn:Annotated"))
     assert R.absent(R.infer(q, AX), want).count() == 1 and R.absent(R.infer(both, AX), want).isEmpty()
     assert R.statements(R.infer(q, AX), "u:", "u:event", "u:inf").count() == 1
+
+
+def test_reasoning_projection_fails_closed(quads):
+    asserted = quads((None, "u:a", "http://www.w3.org/1999/02/22-rdf-syntax-ns#type", "u:C"), (None, "u:C", "http://www.w3.org/2000/01/rdf-schema#subClassOf", "u:D"))
+    schema = quads((None, "u:Hidden", "u:p", "u:x"))
+    full = P.review(asserted, schema, ["u:note"], ["u:rel"])
+    kept, gone = P.reasoning(full, asserted, ["u:Hidden"])
+    assert Q.difference(kept.unionByName(gone), full).isEmpty() and gone.count() == 1
+    for wrong in (quads((None, "u:a", "u:p", "u:Hidden")), quads((None, "u:Hidden", "u:p", "u:y"))):
+        with pytest.raises(Exception, match="excluded term"):
+            P.reasoning(P.review(asserted.unionByName(wrong), schema, [], []), asserted.unionByName(wrong), ["u:Hidden"])[0].collect()
+
+
+def test_closures_have_no_length_cap(spark):
+    e = spark.createDataFrame([(f"u:{k:03d}", f"u:{k + 1:03d}") for k in range(60)], "s string, o string")
+    assert K.acyclic_closure(e).count() == 60 * 61 // 2
+    with pytest.raises(Exception, match="RECURSION"):
+        K.acyclic_closure(e, max_depth=20).collect()
+    with pytest.raises(ValueError, match="no fixpoint"):
+        K.closure(e.limit(4), max_steps=1)
+
+
+def test_anchor(spark):
+    from quadlake.operators import context as C
+
+    classes = spark.createDataFrame([("u:a", ["x"], False), ("u:b", ["x"], True), ("u:c", ["y"], False)], "uri string, labels array<string>, deprecated boolean")
+    assert C.anchor(classes, "x", "u:a").count() == 1
+    for label, expected in (("y", "u:a"), ("z", "u:a")):
+        with pytest.raises(Exception, match="anchor"):
+            C.anchor(classes, label, expected).collect()

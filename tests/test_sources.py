@@ -48,6 +48,33 @@ def test_nquads_round_trip(spark, tmp_path, quads):
         readers.nquads(spark, str(tmp_path / "bad")).collect()
 
 
+def test_nquads_escapes_and_blank_nodes(spark):
+    lines = [r'_:b0 <u:p> "caf\u00e9 \\u00e9 \U0001F600 \"q\" \t\b" .', r"<u:a\u0062> <u:p> _:b0 _:g .", '<u:s><u:p>"x"@en<u:g>. # note', '<u:s> <u:p> "" .', "# only a note", " "]
+    q = readers.parse_nquads(spark.createDataFrame([(x,) for x in lines], "value string"))
+    got = {(r["g"], r["s"], r["o"], r["o_kind"], r["o_lang"]) for r in q.collect()}
+    assert got == {(None, "_:b0", 'café \\u00e9 😀 "q" \t\b', "literal", None), ("_:g", "u:ab", "_:b0", "bnode", None), ("u:g", "u:s", "x", "literal", "en"), (None, "u:s", "", "literal", None)}
+    back = readers.parse_nquads(q.select(sinks.line().alias("value")))
+    assert Q.difference(q.select(*Q.QUAD), back.select(*Q.QUAD)).isEmpty()
+    for bad in ('<u:s> <u:p> "a"b" .', '<u:s> <u:p> "a\\" .', '<u:s> <u:p> "a .', "<u:s> <u:p> <u:o> <u:g>", '"x" <u:p> <u:o> .'):
+        with pytest.raises(Exception, match="not a statement"):
+            readers.parse_nquads(spark.createDataFrame([(bad,)], "value string")).collect()
+
+
+def test_policy_and_inventory(spark, tmp_path):
+    text = "project:\n  scope: one # a note\npolicy:\n  downloads: false\n"
+    assert readers.policy(text, {"project.scope": "one", "policy.downloads": "false"})["project.scope"] == "one"
+    with pytest.raises(ValueError, match="downloads"):
+        readers.policy(text, {"policy.downloads": "true"})
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src/a.txt").write_text("x")
+    assert tuple(readers.inventory(spark, str(tmp_path), {"src": ("1.2", "header")}).select("source", "version", "version_basis", "bytes").first()) == ("src", "1.2", "header", 1)
+
+
+def test_equal_blank_nodes_stay_apart():
+    twice = turtle.skolemise(turtle.parse("@prefix u: <urn:> . u:a u:p [ u:q 1 ], [ u:q 1 ] ."), "u:n/")
+    assert len(twice) == 4 and twice == turtle.skolemise(turtle.parse("@prefix u: <urn:> . u:a u:p [ u:q 1 ] , [ u:q 1 ] . "), "u:n/")
+
+
 def q_schema():
     return "g string, s string, p string, o string, o_kind string, o_dt string, o_lang string"
 
