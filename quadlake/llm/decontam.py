@@ -6,14 +6,17 @@ after a number is a unit; a capitalised word that begins neither a sentence nor
 shorter than that have one window of their own length. Each window is looked up literally (its words in lower case with ss for ß, so case and what
 precedes a word don't matter) and as a template, unless it has under LEAST tokens or under half of them literal. A document holds an item
 if at least ENOUGH of the item's windows are found, or half of them where it has fewer than twice as many; of all its windows or of those
-with a template. A template window counts only in alignments where at most BAD of the item's slot values map to more than one value; a literal
+with a template. A template window counts only in alignments where each of the item's slot values maps to one value; a literal
 window counts always.
 
-Scale: every document's windows are tested in its row against a constant bitmap of the benchmark's windows, sized by their
-number (MAX_WINDOWS at most; beyond that the test is left out), so only hits leave the scan, and the join is a plain shuffled one.
+Scale: every document's windows are tested in its row against a constant bitmap of the benchmark's windows, of 64 bits a window and at most 1 <<
+MOST_BITS in all, so only hits leave the scan; a larger benchmark only lets more of the others pass, which the join drops. Equal texts are
+looked into once. The join by window hash deals windows that over 1/HOT of all hits have over salts.
 
 Defined results: null and empty texts have no windows; items under LEAST tokens are found literally only; a repeated item is found under each
-id; repeated rows of a doc_id count together; rows with a null doc_id or item_id are left out of leaks() and kept by drop(). Values are compared in lower case.
+id; what a text holds is found by its text, so null and repeated doc_ids are found and dropped by the text of their row; equal rows are found
+once by leaks() and kept or dropped together; items with a null item_id are left out. Values are compared in lower case. Other columns, whatever
+their names, are ignored by leaks() and kept by drop().
 """
 
 from __future__ import annotations
@@ -23,9 +26,9 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Work, let, words
+from .common import HOT, Work, let, spread, words
 
-WIDTH, LEAST, ENOUGH, BAD, MAX_WINDOWS = 8, 5, 6, 0.25, 500_000
+WIDTH, LEAST, ENOUGH, MOST_BITS = 8, 5, 6, 24
 PUNCTUATION = ".,;:!?()[]{}\"'`´…*#$%&|<>«»“”„‘’¿¡=+-–—/\\_~^@€£"
 LINE = "\x02"  # before the first word of a line
 NUMBER, NAME, UNIT = "\x01n", "\x01p", "\x01u"
@@ -111,40 +114,63 @@ def items(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     return out.dropDuplicates(["item_id", "item_pos", "h"]), sorted({*small, WIDTH})
 
 
-def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each window of a document that is one of an item."""
-    windows, widths = items(benchmark)
-    hashes = [h for (h,) in windows.select("h").distinct().limit(MAX_WINDOWS + 1).collect()]
-    seen = None
-    if len(hashes) <= MAX_WINDOWS:
-        bits = max(16, (64 * max(1, len(hashes))).bit_length())
-        table = [0] * (1 << (bits - 6))
-        for h in hashes:
-            k = h & ((1 << bits) - 1)
-            table[k >> 6] |= 1 << (k & 63)
-        map_ = F.from_json(F.lit(json.dumps([x - (1 << 64) if x >> 63 else x for x in table])), "array<bigint>")
-        seen = lambda h: F.getbit(F.get(map_, F.shiftright(h.bitwiseAND((1 << bits) - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
-    found = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(_hits(F.col("text"), widths, seen)).alias("x")).select("doc_id", "x.h", "x.pos", "x.slots")  # literal and template windows never share a hash
-    return found.join(windows, "h")
+def _bitmap(windows: DataFrame):
+    """A test that holds for every window of the benchmark, and for few others."""
+    n = windows.agg(F.approx_count_distinct("h")).first()[0]
+    bits = min(MOST_BITS, max(16, (64 * n).bit_length()))
+    low, table = F.col("h").bitwiseAND((1 << bits) - 1), [0] * (1 << (bits - 6))
+    set_ = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(63).cast("int"))
+    for k, x in windows.groupBy(F.shiftright(low, 6).alias("k")).agg(F.bit_or(set_)).collect():  # a row for each word of the bitmap at most
+        table[k] = x
+    map_ = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+    return lambda h: F.getbit(F.get(map_, F.shiftright(h.bitwiseAND((1 << bits) - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, windows found and had, slots, changed and inconsistent slots, of each item that a document holds."""
-    hits = Work(docs.sparkSession, "decontam").put(matches(docs, benchmark))  # few rows, read twice; the scan is made once
-    found = hits.withColumn("shift", F.col("pos") - F.col("item_pos"))
-    slot = found.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s")).filter("s.i IS NOT NULL")
-    values = slot.groupBy("doc_id", "item_id", "shift", "s.i").agg(F.min("s.d").alias("a"), F.max("s.d").alias("b"))
-    fit = values.groupBy("doc_id", "item_id", "shift").agg(F.count("*").alias("n_slots"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("bad"), F.sum(((F.col("a") == F.col("b")) & (F.col("a") != F.col("i"))).cast("long")).alias("changed"))
-    aligned = found.join(fit, ["doc_id", "item_id", "shift"], "left").filter(F.col("literal") | F.coalesce(F.col("bad") <= F.col("n_slots") * BAD, F.lit(True)))
-    held = aligned.groupBy("doc_id", "item_id").agg(
+def _found(docs: DataFrame, benchmark: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
+    """What the bitmap lets pass: doc_id, text_id, h, pos and slots; and the benchmark's windows."""
+    windows, widths = items(benchmark)
+    windows = work.put(windows)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.explode(_hits(F.col("text"), widths, _bitmap(windows))).alias("x"))
+    return work.put(found.select("doc_id", "text_id", "x.h", "x.pos", "x.slots")), windows  # literal and template windows never share a hash
+
+
+def matches(found: DataFrame, windows: DataFrame, work: Work) -> DataFrame:
+    """A row for each window of a text that is one of an item."""
+    each = work.put(found.select("text_id", "h", "pos", "slots").dropDuplicates(["text_id", "h", "pos"]).join(windows.select("h").distinct(), "h", "left_semi"))
+    total = each.count()
+    often = work.put(each.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") * HOT > total).select("h", F.least("n", F.ceil(F.col("n") * HOT / F.lit(max(total, 1)))).cast("int").alias("salts")))  # under HOT rows
+    salted = each.join(F.broadcast(often), "h", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("text_id", "pos"), F.col("salts")), F.lit(0)).cast("int")).drop("salts")
+    dealt = windows.join(F.broadcast(often), "h", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts") - 1, F.lit(0))))).drop("salts")
+    return salted.join(dealt, ["h", "salt"]).drop("salt")
+
+
+def _held(docs: DataFrame, benchmark: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
+    """Each item that a text holds, by text_id; and what _found() gives."""
+    candidates, windows = _found(docs, benchmark, work)
+    found = work.put(matches(candidates, windows, work).withColumn("shift", F.col("pos") - F.col("item_pos")))
+    slot = found.select("text_id", "item_id", "shift", F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s")).filter("s.i IS NOT NULL")
+    values = slot.groupBy("text_id", "item_id", "shift", "s.i").agg(F.min("s.d").alias("a"), F.max("s.d").alias("b"))
+    fit = values.groupBy("text_id", "item_id", "shift").agg(F.count("*").alias("n_slots"), F.sum((F.col("a") != F.col("b")).cast("long")).alias("bad"), F.sum(((F.col("a") == F.col("b")) & (F.col("a") != F.col("i"))).cast("long")).alias("changed"))
+    aligned = found.join(fit, ["text_id", "item_id", "shift"], "left").filter(F.col("literal") | (F.coalesce("bad", F.lit(0)) == 0))
+    held = aligned.groupBy("text_id", "item_id").agg(
         F.size(F.collect_set("item_pos")).alias("n_windows"), F.size(F.collect_set(F.when(F.col("own"), F.col("item_pos")))).alias("n_own"), F.coalesce(F.max("n_slots"), F.lit(0)).alias("n_slots"), F.coalesce(F.max("changed"), F.lit(0)).alias("n_changed"), F.coalesce(F.max("bad"), F.lit(0)).alias("n_inconsistent"),
     )
-    sizes = items(benchmark)[0].filter("literal").groupBy("item_id").agg(F.count("*").alias("item_windows"), F.sum(F.col("own").cast("long")).alias("item_own"))
+    sizes = windows.filter("literal").groupBy("item_id").agg(F.count("*").alias("item_windows"), F.sum(F.col("own").cast("long")).alias("item_own"))
     enough = lambda n, of: (F.col(of) > 0) & (F.col(n) >= F.least(F.lit(ENOUGH), F.ceil(F.col(of) / 2)))
-    return held.join(sizes, "item_id").filter(enough("n_windows", "item_windows") | enough("n_own", "item_own")).select("doc_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed", "n_inconsistent")
+    held = held.join(sizes, "item_id").filter(enough("n_windows", "item_windows") | enough("n_own", "item_own"))
+    return work.put(held.select("text_id", "item_id", "n_windows", "item_windows", "n_slots", "n_changed", "n_inconsistent")), candidates
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, windows found and had, slots, changed and inconsistent slots, of each item that a document holds."""
+    work = Work(docs.sparkSession, "decontam")
+    held, found = _held(docs, benchmark, work)
+    owners = work.put(found.select("doc_id", "text_id").distinct())
+    n = owners.groupBy("text_id").agg(F.count("*").alias("_n"))
+    return spread(owners, work.put(held.join(n, "text_id")), ["text_id"], owners.count()).drop("text_id")
 
 
 def drop(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no item, all columns kept."""
-    bad = leaks(docs, benchmark).select(F.col("doc_id").alias("_leak_id")).distinct()
-    return docs.join(bad, docs["doc_id"] == bad["_leak_id"], "left_anti")
+    held, _ = _held(docs, benchmark, Work(docs.sparkSession, "decontam"))
+    return docs.join(held.select(F.col("text_id").alias("_leak")).distinct(), F.xxhash64(docs["text"]) == F.col("_leak"), "left_anti")

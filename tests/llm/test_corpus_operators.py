@@ -255,12 +255,63 @@ def test_decontamination_in_other_case_and_context(spark, docs):
     assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(texts), bench).collect()} >= {(0, 0), (1, 0), (2, 1), (3, 1), (5, 2)}
 
 
-def test_decontamination_without_the_bitmap(spark, docs, monkeypatch):
+def test_decontamination_with_a_full_bitmap_and_hot_windows(spark, docs, monkeypatch):
     item = prose(40)
-    texts, bench = [f"{prose(30)} {item} {prose(9)}", prose(80)], benchmark(spark, item)
-    a = decontam.leaks(docs(texts), bench).collect()
-    monkeypatch.setattr(decontam, "MAX_WINDOWS", 3)
-    assert a == decontam.leaks(docs(texts), bench).collect() and [r["doc_id"] for r in a] == [0]
+    texts, bench = [f"{prose(30)} {item} {prose(9)}"] * 9 + [prose(80)], benchmark(spark, item, *(prose(30) for _ in range(40)))
+    a = sorted(map(tuple, decontam.leaks(docs(texts), bench).collect()))
+    monkeypatch.setattr(decontam, "MOST_BITS", 6)  # every bit is set: all windows pass to the join
+    monkeypatch.setattr(decontam, "HOT", 10**9)
+    assert a == sorted(map(tuple, decontam.leaks(docs(texts), bench).collect())) and [r[0] for r in a] == [*range(9)]
+
+
+def test_decontamination_without_ids(spark, docs):
+    item = prose(40)
+    texts = [f"{prose(30)} {item}", prose(50), f"{item} {prose(9)}", prose(60), f"{prose(30)} {item}"]
+    frame, bench = docs(texts, ids=[None, None, 4, 4, 6]), benchmark(spark, item)
+    kept = decontam.drop(frame, bench)
+    assert kept.columns == frame.columns and {(r["doc_id"], r["text"]) for r in kept.collect()} == {(None, texts[1]), (4, texts[3])}
+    assert sorted((r["doc_id"] or -1) for r in decontam.leaks(frame, bench).collect()) == [-1, 4, 6]
+
+
+def template_truth(text, item):
+    """Whether an item of plain sentences is found, token by token: numbers are slots, all else is literal."""
+    low = lambda t: [w.strip(".,?").lower() for w in t.split()]
+    canon = lambda ws: ["#" if w[:1].isdigit() else w for w in ws]
+    d, i, literal, own, templates = low(text), low(item), set(), set(), defaultdict(list)
+    for p in range(len(i) - 7):
+        good = 2 * sum(w != "#" for w in canon(i[p : p + 8])) >= 8
+        if good:
+            own.add(p)
+        for q in range(len(d) - 7):
+            if d[q : q + 8] == i[p : p + 8]:
+                literal.add(p)
+            if good and canon(d[q : q + 8]) == canon(i[p : p + 8]):
+                templates[q - p].append((p, q))
+    for pairs in templates.values():
+        to = defaultdict(set)
+        for p, q in pairs:
+            for a, b, c in zip(i[p : p + 8], d[q : q + 8], canon(i[p : p + 8]), strict=True):
+                if c == "#":
+                    to[a].add(b)
+        if all(len(x) == 1 for x in to.values()):
+            literal |= {p for p, _ in pairs}
+    n, have, mine = max(0, len(i) - 7), len(literal), len(literal & own)
+    return have >= min(6, -(-n // 2)) or bool(own) and mine >= min(6, -(-len(own) // 2))
+
+
+def test_decontamination_against_brute_force(spark, docs):
+    rng, items, texts = random.Random(21), [], []
+    word = lambda: rng.choice(WORDS) if rng.random() < 0.8 else str(rng.randint(2, 9))
+    for _ in range(12):
+        items.append(" ".join(word() for _ in range(rng.randint(8, 30))))
+    for _ in range(60):
+        w = rng.choice(items).split()
+        a = rng.randrange(len(w))
+        part = [str(rng.randint(2, 9)) if x.isdigit() and rng.random() < 0.3 else x for x in w[a : a + rng.randint(6, 30)]]
+        texts.append(f"{prose(8, rng)} {' '.join(part)} {prose(8, rng)}")
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.leaks(docs(texts), benchmark(spark, *items)).collect()}
+    want = {(k, j) for k, t in enumerate(texts) for j, x in enumerate(items) if template_truth(t, x)}
+    assert got == want and 10 < len({k for k, _ in want}) < 60
 
 
 def near_truth(texts, k=3, percent=85):
