@@ -217,6 +217,37 @@ def test_sharding_balance_of_even_texts(docs):
     assert len(sizes) == 16 and max(sizes) <= 1.03 * min(sizes)
 
 
+def test_groups_of_equal_texts_share_a_shard_if_they_fit_one(docs):
+    sizes = {0: 900, 1: 400, 2: 60, 3: 30}  # copies; the first outweighs a shard, the others fit in one
+    copies = [prose(60) for _ in sizes]
+    texts = [copies[k] for k, n in sizes.items() for _ in range(n)] + [prose(60) for _ in range(4500)] + [""] * 2000
+    rows = sharding.shard(docs(texts, ids=[None if k % 50 == 0 else k for k in range(len(texts))])).collect()
+    total, where = Counter(), defaultdict(set)
+    for r in rows:
+        total[r["shard"]] += r["size"]
+        where[r["text_crc32"]].add(r["shard"])
+    assert len(rows) == len(texts) and max(total.values()) <= 1.15 * min(total.values())  # rows of the dealt group fall by hash
+    assert [len(where[zlib.crc32(c.encode())]) for c in copies[1:]] == [1, 1, 1] and len(where[zlib.crc32(copies[0].encode())]) > 1
+    assert all(len(x) == 1 for c, x in where.items() if c != zlib.crc32(copies[0].encode()))
+
+
+def test_shards_are_the_boxes_of_their_tree(spark):
+    rng = random.Random(3)
+    rows = [(k, rng.randint(1, 40), rng.randrange(1 << 40), rng.randrange(1 << 38), rng.randrange(1 << 40)) for k in range(900)]
+    at = spark.createDataFrame(rows, "digest long, w long, d_size long, d_lang long, d_source long")
+    splits = sharding.tree(at)
+    nodes = {1: rows}
+    for level in splits:  # each split, on sorted points
+        for n, (dim, cut) in level.items():
+            k = 2 + sharding.DIMS.index(dim)
+            own, half = sorted(nodes[n], key=lambda r: r[k]), sum(r[1] for r in nodes[n]) / 2
+            nodes[2 * n], nodes[2 * n + 1] = [r for r in own if r[k] < cut], [r for r in own if r[k] >= cut]
+            at_best = min(abs(sum(r[1] for r in own[:j]) - half) for j in range(len(own) + 1))
+            assert abs(sum(r[1] for r in nodes[2 * n]) - half) <= at_best + 40
+    got = {r["digest"]: r["node"] for r in at.select("digest", sharding._node(splits).alias("node")).collect()}
+    assert all(got[r[0]] == n for n in range(16, 32) for r in nodes[n])
+
+
 def benchmark(spark, *texts):
     return spark.createDataFrame([*enumerate(texts), (99, None), (98, ""), (None, "x " * 20)], "item_id long, text string")
 
