@@ -35,7 +35,7 @@ NAME = re.compile(r"[a-zA-Z][^\s/>\x00]*")
 ATTRIBUTE = re.compile(r"""\s*+/*+\s*+([^\s/>=][^\s/>=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>"']*+)))?""")
 UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)|opacity\s*:\s*0(?:\.0+)?\s*(?:;|$|!)|font-size\s*:\s*0(?:px|em|pt)?\s*(?:;|$|!))", re.I)
 SPACES = re.compile(r"[ \t\n\r\f]+")
-MAX_DEPTH = 2000
+MAX_DEPTH, MAX_SPAN, MAX_PAD = 2000, 1000, 200
 
 
 class Node:
@@ -297,7 +297,7 @@ def _table(table: Node, done: dict[int, str]) -> list[str]:
                 if x.tag in ("td", "th"):
                     if not hidden(x):
                         span = x.attributes.get("colspan", "1")
-                        cells += [" ".join(done[id(x)].split()), *[""] * (min(int(span), 100) - 1 if re.fullmatch("[0-9]{1,4}", span) else 0)]
+                        cells += [" ".join(done[id(x)].split()), *[""] * (max(1, min(int(span), MAX_SPAN)) - 1 if re.fullmatch("[0-9]{1,9}", span) else 0)]
                 else:
                     holder = Node("#root")
                     holder.children = [x]
@@ -316,7 +316,7 @@ def _table(table: Node, done: dict[int, str]) -> list[str]:
         if isinstance(row, list):
             widths += [0] * (len(row) - len(widths))
             for k, cell in enumerate(row):
-                widths[k] = max(widths[k], min(len(cell), 200))
+                widths[k] = max(widths[k], min(len(cell), MAX_PAD))
     out = [row if isinstance(row, str) else " | ".join(cell.ljust(widths[k]) for k, cell in enumerate(row)).rstrip() for row in rows]
     return [x for x in out if x.strip(" |")]
 

@@ -1,16 +1,18 @@
 """Best-fit packing by exact-complement hashing.
 
 Documents become token ids, with id 0 after each; only those over SIZE ids are cut. A plan is made from the counts of
-lengths alone, SIZE numbers whatever the corpus: going down the lengths, each piece's gap is looked up in the direct-address tables
-of single, pair and triple sums of what is still there, and the combination is taken as often as its counts allow, so the
-sequence is exactly full. What no combination completes goes best-fit: each remaining piece into the sequence with the smallest gap
+lengths alone, SIZE numbers whatever the corpus. The sums of one, two and three lengths are indexed: a table by sum holds the pairs of
+lengths with that sum, and one the largest parts of triples with it, whose rest is a pair of the first table; entries whose counts run
+out are taken off. Going down the lengths, each piece's gap is looked up there, and the combination is taken as often as its counts
+allow, so the sequence is exactly full. What no combination completes goes best-fit: each remaining piece into the sequence with the smallest gap
 that holds it. Each step uses up a length or a kind of sequence, so the plan has some thousands of rows at most.
 
 Pieces are then dealt to the plan's places by their rank among those of their length. The rank is counted in two steps, within
 (length, salt) and over the salts' counts, so a length that a third of all pieces have is no single task's.
 
 Defined results: null text counts as empty and gives one piece with id 0 alone; repeated rows are packed each; a null doc_id is kept;
-no documents give no rows; ties are broken by doc_id and piece, so a run's result doesn't depend on the tasks' order.
+no documents give no rows; ties are broken by doc_id and piece, so a run's result doesn't depend on the tasks' order; other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
@@ -30,50 +32,61 @@ SIZE, VOCABULARY, SALT_ROWS = 2048, "word_bpe_49k.json", 20_000
 
 
 class Sums:
-    """Which lengths, pair sums and triple sums are there, over counts that shrink. Bit n of `there` is set while length n has pieces left."""
+    """The sums of one, two and three lengths, indexed by sum over counts that only shrink. held: pieces that are spoken for."""
 
     def __init__(self, counts: list[int]):
-        self.counts, self.there, self.mirrored = counts, 0, 0
-        for n, c in enumerate(counts):
-            if c:
-                self.there |= 1 << n
-                self.mirrored |= 1 << (SIZE - n)
+        self.counts = counts
+        there = np.flatnonzero(np.array(counts[:SIZE]))
+        a, b = np.meshgrid(there, there, indexing="ij")
+        fits = (a >= b) & (a + b <= SIZE)
+        a, total = a[fits], (a + b)[fits]
+        order = np.lexsort((a, total))  # by sum, the most even pair first: it spares the short pieces
+        self.larger, ends = a[order], np.searchsorted(total[order], np.arange(SIZE + 2))
+        self.first, self.end = ends[:-1].tolist(), ends[1:].tolist()  # the pairs of each sum that may still be there
+        self.there, self.triples = there, {}
 
     def take(self, n: int, times: int) -> None:
         self.counts[n] -= times
-        if not self.counts[n]:
-            self.there &= ~(1 << n)
-            self.mirrored &= ~(1 << (SIZE - n))
 
-    def pair(self, total: int, below: int = SIZE) -> tuple[int, int] | None:
-        """Two lengths, the larger first and at most below, with this sum; as even as can be, to spare the short pieces."""
-        if total < 2:
+    def enough(self, *parts: int) -> bool:
+        return all(self.counts[n] >= parts.count(n) for n in parts)
+
+    def pair(self, total: int, held: tuple[int, ...] = (), most: int = SIZE) -> tuple[int, int] | None:
+        """Two lengths, the larger first and at most most, with this sum."""
+        if not 2 <= total <= SIZE:
             return None
-        fits = self.there & (self.mirrored >> (SIZE - total)) & ((2 << min(total - 1, below)) - 1)  # bit a: a and total - a are there
-        fits >>= (half := (total + 1) // 2)
-        while fits:
-            a = half + (fits & -fits).bit_length() - 1
-            if 2 * a != total or self.counts[a] > 1:
+        for k in range(self.first[total], self.end[total]):
+            a = int(self.larger[k])
+            if a > most:
+                return None
+            if self.enough(a, total - a, *held):
                 return a, total - a
-            fits &= fits - 1
+            if k == self.first[total] and not self.enough(a, total - a):
+                self.first[total] += 1
+        return None
+
+    def triple(self, total: int, held: tuple[int, ...] = ()) -> tuple[int, int, int] | None:
+        """Three lengths, the largest first, with this sum."""
+        if total not in self.triples:
+            low, high = np.searchsorted(self.there, ((total + 2) // 3, total - 1))
+            self.triples[total] = [int(a) for a in self.there[low:high] if self.first[total - a] < self.end[total - a]]
+        gone = 0
+        for k, a in enumerate(parts := self.triples[total]):
+            if (two := self.pair(total - a, (a, *held), a)) and self.counts[a]:
+                del parts[:gone]
+                return a, *two
+            if k == gone and not (self.counts[a] and self.pair(total - a, (a,), a)):
+                gone += 1
+        del parts[:gone]
         return None
 
-    def complement(self, gap: int) -> tuple[int, ...] | None:
+    def complement(self, gap: int, held: tuple[int, ...] = ()) -> tuple[int, ...] | None:
         """One, two or three lengths that fill the gap."""
-        if gap < 1:
+        if not 1 <= gap < SIZE:
             return None
-        if self.there >> gap & 1:
+        if self.counts[gap] and self.enough(gap, *held):
             return (gap,)
-        if two := self.pair(gap):
-            return two
-        rest = self.there & ((1 << gap) - 1)
-        rest >>= (low := (gap + 2) // 3)
-        while rest:
-            a = low + (rest & -rest).bit_length() - 1
-            if two := self.pair(gap - a, a):
-                return a, *two
-            rest &= rest - 1
-        return None
+        return self.pair(gap, held) or self.triple(gap, held)
 
 
 def plan(counts: list[int]) -> list[tuple[tuple[int, ...], int]]:
@@ -84,11 +97,7 @@ def plan(counts: list[int]) -> list[tuple[tuple[int, ...], int]]:
     sums = Sums(counts)
     for n in range(SIZE - 1, 0, -1):
         while counts[n]:
-            sums.take(n, 1)
-            found = sums.complement(SIZE - n)
-            sums.counts[n] += 1
-            sums.there |= 1 << n
-            sums.mirrored |= 1 << (SIZE - n)
+            found = sums.complement(SIZE - n, (n,))
             if not found:
                 break
             kind = (n, *found)
