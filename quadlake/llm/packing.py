@@ -32,52 +32,61 @@ SIZE, VOCABULARY, SALT_ROWS = 2048, "word_bpe_49k.json", 20_000
 
 
 class Sums:
-    """The sums of one, two and three lengths, indexed by sum over counts that only shrink. held: pieces that are spoken for."""
+    """The sums of one, two and three lengths, indexed by sum over counts that only shrink. Entries are kept as bits: bit a of pairs[s] stands
+    for the pair (a, s - a) with a the larger, bit a of triples[s] for a with a pair of pairs[s - a] whose parts are at most a. Pairs go when a
+    count runs out, triples when they're looked up and their pair is gone. held: pieces that are spoken for."""
 
     def __init__(self, counts: list[int]):
-        self.counts = counts
-        there = np.flatnonzero(np.array(counts[:SIZE]))
-        a, b = np.meshgrid(there, there, indexing="ij")
-        fits = (a >= b) & (a + b <= SIZE)
-        a, total = a[fits], (a + b)[fits]
-        order = np.lexsort((a, total))  # by sum, the most even pair first: it spares the short pieces
-        self.larger, ends = a[order], np.searchsorted(total[order], np.arange(SIZE + 2))
-        self.first, self.end = ends[:-1].tolist(), ends[1:].tolist()  # the pairs of each sum that may still be there
-        self.there, self.triples = there, {}
+        self.counts, self.there, self.triples = counts, 0, {}
+        mirrored = 0
+        for n, c in enumerate(counts[: SIZE + 1]):
+            if c:
+                self.there |= 1 << n
+                mirrored |= 1 << (SIZE - n)
+        self.pairs = [0, 0]
+        for total in range(2, SIZE + 1):
+            half = (total + 1) // 2
+            both = (self.there & (mirrored >> (SIZE - total)) & ((1 << total) - 1)) >> half << half
+            self.pairs.append(both & ~(1 << half) if total == 2 * half and counts[half] < 2 else both)
 
     def take(self, n: int, times: int) -> None:
         self.counts[n] -= times
+        if self.counts[n] < 2 and 2 * n <= SIZE:
+            self.pairs[2 * n] &= ~(1 << n)
+        if not self.counts[n]:
+            self.there &= ~(1 << n)
+            for m in range(1, SIZE - n + 1):
+                self.pairs[n + m] &= ~(1 << max(n, m))
 
     def enough(self, *parts: int) -> bool:
         return all(self.counts[n] >= parts.count(n) for n in parts)
 
     def pair(self, total: int, held: tuple[int, ...] = (), most: int = SIZE) -> tuple[int, int] | None:
-        """Two lengths, the larger first and at most most, with this sum."""
-        if not 2 <= total <= SIZE:
-            return None
-        for k in range(self.first[total], self.end[total]):
-            a = int(self.larger[k])
-            if a > most:
-                return None
+        """Two lengths, the larger first and at most most, with this sum; the most even ones, to spare the short pieces."""
+        left = self.pairs[total] & ((2 << most) - 1) if 2 <= total <= SIZE else 0
+        while left:
+            a = (left & -left).bit_length() - 1
             if self.enough(a, total - a, *held):
                 return a, total - a
-            if k == self.first[total] and not self.enough(a, total - a):
-                self.first[total] += 1
+            left &= left - 1
         return None
 
     def triple(self, total: int, held: tuple[int, ...] = ()) -> tuple[int, int, int] | None:
         """Three lengths, the largest first, with this sum."""
         if total not in self.triples:
-            low, high = np.searchsorted(self.there, ((total + 2) // 3, total - 1))
-            self.triples[total] = [int(a) for a in self.there[low:high] if self.first[total - a] < self.end[total - a]]
-        gone = 0
-        for k, a in enumerate(parts := self.triples[total]):
-            if (two := self.pair(total - a, (a, *held), a)) and self.counts[a]:
-                del parts[:gone]
+            low, own = (total + 2) // 3, 0
+            for a in range(low, total - 1):
+                if self.there >> a & 1 and self.pairs[total - a] & ((2 << a) - 1):
+                    own |= 1 << a
+            self.triples[total] = own
+        left = self.triples[total]
+        while left:
+            a = (left & -left).bit_length() - 1
+            if not self.there >> a & 1 or not self.pairs[total - a] & ((2 << a) - 1):
+                self.triples[total] &= ~(1 << a)
+            elif two := self.pair(total - a, (a, *held), a):
                 return a, *two
-            if k == gone and not (self.counts[a] and self.pair(total - a, (a,), a)):
-                gone += 1
-        del parts[:gone]
+            left &= left - 1
         return None
 
     def complement(self, gap: int, held: tuple[int, ...] = ()) -> tuple[int, ...] | None:
