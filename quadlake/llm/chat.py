@@ -9,9 +9,10 @@ Scale: a conversation is cut into segments of SEGMENT turns, and a task gets one
 than one, each segment first gives its max-plus matrix (best score from each entering to each leaving state), these are
 combined in order, and the segments are then decoded between their entering and leaving states: the same path as one long Viterbi.
 
-Defined results: null text is an empty line and is rendered as empty; turns are ordered by turn (null last), then role and text, and equal
-rows keep a place each; null conv_id is one conversation of its own; ties go to the role that sorts first; without labels the roles
-alternate from user by the prior counts.
+Defined results: null text is an empty line and is rendered as empty; turns are ordered by turn (null last), then text, and rows of one turn with
+one text keep a place each and get one role, that of the first (within a segment); null conv_id is one conversation of its own; ties go to
+the role that sorts first; without labels the roles alternate from user by the prior counts; other columns, whatever their names, are
+ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import ready
 
 ROLES = ("assistant", "system", "user")
-SEGMENT, TRAIN_TURNS, SMOOTH, UNKNOWN = 256, 20_000, 0.5, -1
+SEGMENT, TRAIN_TURNS, SMOOTH, MARKER, UNKNOWN = 256, 20_000, 0.5, 100, -1
 STATES = [(r, begins) for r in range(3) for begins in (True, False)]
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 # Speaker markers by role.
@@ -35,13 +36,13 @@ MARKERS = {
     "system": "system instructions instruction context sys",
     "user": "user human question prompt customer q client person",
 }
-MARKER = re.compile(r"[ \t]*(?:#{1,6}[ \t]*|\*\*|\[|<\|?|>[ \t]?)?(" + "|".join(sorted(set(" ".join(MARKERS.values()).split()), key=lambda w: (-len(w), w))) + r")(?:\*\*)?[ \t]*(?:\*\*:|:\*\*|:|\]:?|\|?>:?)[ \t]*", re.I)
+MARKERS_AT = re.compile(r"[ \t]*(?:#{1,6}[ \t]*|\*\*|\[|<\|?|>[ \t]?)?(" + "|".join(sorted(set(" ".join(MARKERS.values()).split()), key=lambda w: (-len(w), w))) + r")(?:\*\*)?[ \t]*(?:\*\*:|:\*\*|:|\]:?|\|?>:?)[ \t]*", re.I)
 SIZES = (4, 8, 3, 12, 9, 2, 3)  # values of each feature
 
 
 def marker(line: str) -> tuple[int, int]:
     """1 + the role that a line's marker names, and where the text after it begins; 0, 0 without one."""
-    m = MARKER.match(line)
+    m = MARKERS_AT.match(line)
     if not m:
         return 0, 0
     return next(1 + k for k, r in enumerate(ROLES) if m[1].lower() in MARKERS[r].split()), m.end()
@@ -78,7 +79,7 @@ def untrained() -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
         start[s] += begins * (1.0 if ROLES[r] != "assistant" else 0.1)
         for t, (q, again) in enumerate(STATES):
             step[s, t] += 1.0 if (r == q and not again) else 0.5 if again and r != q and ROLES[q] != "system" else 0.0
-        emit[0][s] = [1e-3, *(0.97 if begins and q == r else 0.01 for q in range(3))]  # fixed: a marker nearly always tells the truth, and begins a turn
+        emit[0][s] = [1e-3, *(MARKER * (0.97 if begins and q == r else 0.01) for q in range(3))]  # as MARKER lines: a marker mostly tells the truth, and begins a turn; data may say otherwise
     return start, step, emit
 
 
@@ -103,13 +104,13 @@ def fit(conversations: DataFrame) -> Hmm:
                 for k, x in enumerate(turn_lines(text)):
                     s = 2 * r + (k > 0)
                     for f, v in enumerate(x[:-1]):
-                        if f and v >= 0:
+                        if v >= 0:
                             totals[f, s, v] = totals.get((f, s, v), 0) + 1
                     key = (100, s, 0) if not k and before is None else (101, before if not k else 2 * r + (k > 1), s)
                     totals[key] = totals.get(key, 0) + 1
         yield pa.RecordBatch.from_arrays([pa.array([k[j] for k in totals], pa.int32()) for j in range(3)] + [pa.array(list(totals.values()), pa.int64())], names=["f", "s", "v", "n"])
 
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "text", "role")
     rows = able.withColumn("last", F.lag("role").over(order)).select("role", "last", "text").mapInArrow(count, "f int, s int, v int, n long").groupBy("f", "s", "v").agg(F.sum("n").alias("n")).collect()
     start, step, emit = untrained()
     for f, s, v, n in rows:
@@ -122,7 +123,7 @@ def fit(conversations: DataFrame) -> Hmm:
         else:
             emit[f][s, v] += n
     log = lambda a: np.log(a / a.sum(axis=-1, keepdims=True))
-    return Hmm(log(start), log(step), [np.log(emit[0]), *(log(e) for e in emit[1:])])
+    return Hmm(log(start), log(step), [log(e) for e in emit])
 
 
 def viterbi(scores: np.ndarray, start: np.ndarray, step: np.ndarray, enter: int | None = None, leave: int | None = None) -> list[int]:
@@ -167,7 +168,7 @@ def roles(conversations: DataFrame, model: Hmm | None = None) -> DataFrame:
     """Of each row: conv_id, turn, its position (from 0) in its conversation, the given and the recovered role, and the rendered turn."""
     ready(conversations.sparkSession)
     model = model or fit(conversations)
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
+    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "text", "role")
     rows = conversations.selectExpr("CAST(conv_id AS long) AS conv_id", "CAST(turn AS long) AS turn", "role", "text").withColumn("position", F.row_number().over(order).cast("long") - 1)
     rows = rows.withColumn("seg", F.expr(f"position DIV {SEGMENT}"))
     long = rows.groupBy("conv_id").agg(F.count("*").alias("n")).filter(F.col("n") > SEGMENT)
@@ -187,6 +188,10 @@ def roles(conversations: DataFrame, model: Hmm | None = None) -> DataFrame:
         path = viterbi(model.scores([x for t in lines for x in t]), model.start, model.step, group.column("enter")[0].as_py(), group.column("leave")[0].as_py())
         first = np.cumsum([0, *map(len, lines)])[:-1]
         found = [ROLES[STATES[path[k]][0]] for k in first]
+        turns = group.column("turn").to_pylist()
+        for k in range(1, len(found)):  # rows that only their label tells apart
+            if (turns[k], texts[k]) == (turns[k - 1], texts[k - 1]):
+                found[k] = found[k - 1]
         clean = [(t or "")[marker((t or "").split("\n")[0])[1] :] for t in texts]
         return pa.table({"conv_id": group.column("conv_id"), "turn": group.column("turn"), "position": group.column("position"), "role": group.column("role"), "role_pred": pa.array(found, pa.string()), "rendered": pa.array([render(r, t) for r, t in zip(found, clean, strict=True)], pa.string())})
 

@@ -8,7 +8,10 @@ own, with a blank line around paragraphs and headings; list items get "- " or nu
 line, with cells padded to the width of their column.
 
 Defined results: null gives null; empty gives an empty string; text without tags is kept; unknown tags are inline; comments,
-doctypes and processing instructions are dropped; an unclosed script, style or comment runs to the end. Work is linear in the page.
+doctypes and processing instructions are dropped; an unclosed script, style or comment runs to the end. Work is linear in the page. All visible text is emitted; only layout has bounds:
+elements deeper than MAX_DEPTH have their text at that depth, a colspan counts MAX_SPAN columns at most (as the HTML standard has it),
+and columns are padded to MAX_PAD characters at most. Rows are independent: repeated rows and null ids are kept; other columns, whatever
+their names, are ignored; no pages give no rows.
 """
 
 from __future__ import annotations

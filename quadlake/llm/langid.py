@@ -8,6 +8,8 @@ gathered log-probabilities are summed by document.
 
 Defined results: null text, or text without a letter: `und`, score 0; ties go to the language that sorts first; without any
 training row all are `und`; a null doc_id is never held out nor learned from. The score is the posterior of the prediction, tempered by length.
+Rows are independent: repeated rows and null ids are kept (a null id is never held out, nor learnt from). Other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations

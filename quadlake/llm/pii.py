@@ -8,7 +8,8 @@ redactions; among overlapping ones the most probable stays, and none may overlap
 EXAMPLES synthetic lines with a fixed seed, so it's the same in every run.
 
 Every pattern is linear in the text: runs are bounded or possessive, and e-mail addresses are found from their @.
-Null texts count as empty: no spans. Rows are independent (repeated rows and null ids too); offsets are code points.
+Null texts count as empty: no spans. Rows are independent (repeated rows and null ids too); offsets are code points. Other columns, whatever
+their names, are ignored by spans() and kept by scrub().
 """
 
 from __future__ import annotations
@@ -147,7 +148,7 @@ def features(text: str, span: Span) -> list[float]:
     kind, start, end = span
     s, left, right = text[start:end], text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
     digits = "".join(c for c in s if "0" <= c <= "9")
-    before, n = [w.lower() for w in WORD.findall(left)], max(len(s), 1)
+    before, n = [x for w in WORD.findall(left.lower()) for x in (*re.split("[_-]", w), w)], max(len(s), 1)
     near = set(POSITIVE[kind].split())
     runs = max((len(m[0]) for m in re.finditer(r"(.)\1*", digits)), default=0)
     counts = np.array([s.count(c) for c in set(s)], dtype=float) / n
@@ -229,7 +230,8 @@ def model() -> tuple[Boosted, tuple[float, float], dict[str, float]]:
         order = np.argsort(-p[of], kind="stable")
         exact = np.cumsum(y[part == 0][of][order]) / (np.arange(of.sum()) + 1)
         fine = np.flatnonzero(exact >= PRECISION)
-        thresholds[k] = max(0.5, float(p[of][order][fine[-1]])) if len(fine) else 1.1
+        ranked = np.append(p[of][order], 0.0)  # the threshold lies halfway to the first candidate that would break the precision
+        thresholds[k] = max(0.5, float(ranked[fine[-1] : fine[-1] + 2].mean())) if len(fine) else 1.1
     return trees, scale, thresholds
 
 

@@ -1,6 +1,7 @@
 """Operators that judge one text at a time: quality rules, personal data, language, HTML, chat."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -226,3 +227,55 @@ def test_chat_transcripts(spark):
     model = chat.fit(conversations(spark))
     assert chat.parse("User: what is it?\nAssistant: It is this.\nAnd more.\n### Human: ok?\nAI: yes", model) == [("user", "what is it?"), ("assistant", "It is this.\nAnd more."), ("user", "ok?"), ("assistant", "yes")]
     assert chat.parse(None, model) == [] and chat.parse("  ", model) == []
+
+
+def test_viterbi_against_all_paths():
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n = int(rng.integers(1, 6))
+        scores, start, step = rng.normal(size=(n, 6)), rng.normal(size=6), rng.normal(size=(6, 6))
+        enter, leave = (int(x) if x < 6 else None for x in rng.integers(0, 8, 2))
+
+        def total(path, scores=scores, start=start, step=step, enter=enter):
+            first = start[path[0]] if enter is None else step[enter, path[0]]
+            return first + sum(scores[k, s] for k, s in enumerate(path)) + sum(step[a, b] for a, b in zip(path, path[1:]))
+
+        best = max((p for p in itertools.product(range(6), repeat=n) if leave is None or p[-1] == leave), key=total)
+        assert total(chat.viterbi(scores, start, step, enter, leave)) == pytest.approx(total(best))
+
+
+def test_roles_do_not_see_labels(spark):
+    rows = [(1, 0, "user", "hello there"), (1, 1, "assistant", "a"), (1, 1, "user", "a"), (1, 2, "user", None), (None, 0, None, "x\n" * 9000)]
+    frame = lambda swap: spark.createDataFrame([(c, t, {"user": "assistant", "assistant": "user"}.get(r, r) if swap else r, x, "k", 3) for c, t, r, x in rows], "conv_id long, turn long, role string, text string, seg string, position int")
+    model = chat.fit(conversations(spark))
+    a, b = ([(r["conv_id"], r["position"], r["role_pred"]) for r in chat.roles(frame(s), model).collect()] for s in (False, True))
+    assert sorted(a, key=str) == sorted(b, key=str) and len(a) == len(rows)
+
+
+def test_markers_are_learnt(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"{'Bot' if t % 2 == 0 else 'Client'}: words {c} {t}") for c in range(400) for t in range(4)]  # here a marker names the other
+    model = chat.fit(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert [r for r, _ in chat.parse("Bot: how are you\nClient: fine\nBot: good", model)] == ["user", "assistant", "user"]
+
+
+def test_transcripts_are_parsed_back(spark):
+    model, right, n = chat.fit(conversations(spark)), 0, 0
+    rng = random.Random(11)
+    for _ in range(30):
+        turns = [(["user", "assistant"][t % 2], f"{prose('en', rng.randint(3, 12), rng)}{'?' if t % 2 == 0 else ''}") for t in range(6)]
+        name = rng.choice([("Human: ", "AI: "), ("### User\n".strip() + ": ", "### Assistant: "), ("[Q] ", "[A] ")])
+        got = chat.parse("\n".join(name[r == "assistant"] + x for r, x in turns), model)
+        right, n = right + sum(a == b for a, b in zip(got, turns)), n + len(turns)
+    assert right >= 0.95 * n
+
+
+def test_pii_finds_keys_after_joined_words():
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    assert any(k == "secret" for k, _, _ in pii.find([f"some words aws_secret_access_key = {key} and more"], pii.model())[0][1])
+
+
+def test_text_queries_with_clashing_columns_and_null_ids(spark, docs, edges):
+    frame = docs([*edges, "plain words here", "plain words here"], ids=[None] * len(edges) + [4, 4]).withColumn("spans", F.lit(1)).withColumn("lang_pred", F.lit(2)).withColumn("held_out", F.lit("x"))
+    assert pii.spans(frame).count() == langid.identify(frame).count() == frame.count() == len(edges) + 2
+    pages = spark.createDataFrame([(1, "u", "<p>" + "word " * 50_000, 3, "z")] * 2, "page_id long, url string, html string, text long, n string")
+    assert [len(r["text"]) > 200_000 for r in html.texts(pages).collect()] == [True, True] and html.texts(pages.limit(0)).count() == 0
