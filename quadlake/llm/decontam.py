@@ -9,8 +9,8 @@ if at least ENOUGH of the item's windows are found, or half of them where it has
 with a template. A template window counts only in alignments where each of the item's slot values maps to one value; a literal
 window counts always.
 
-Scale: every document's windows are tested in its row against a constant bitmap of the benchmark's windows, of 64 bits a window and at most 1 <<
-MOST_BITS in all, so only hits leave the scan; a larger benchmark only lets more of the others pass, which the join drops. Equal texts are
+Scale: every document's windows are tested in its row against a constant Bloom filter of the benchmark's windows, of 64 bits a window and at most 1 <<
+MOST_BITS in all, so nearly only hits leave the scan; a larger benchmark only lets more of the others pass, which the join drops. Equal texts are
 looked into once. The join by window hash deals windows that over 1/HOT of all hits have over salts.
 
 Defined results: null and empty texts have no windows; items under LEAST tokens are found literally only; a repeated item is found under each
@@ -115,15 +115,22 @@ def items(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
 
 
 def _bitmap(windows: DataFrame):
-    """A test that holds for every window of the benchmark, and for few others."""
+    """A test that holds for every window of the benchmark, and for few others: a Bloom filter with two bits of each hash."""
     n = windows.agg(F.approx_count_distinct("h")).first()[0]
     bits = min(MOST_BITS, max(16, (64 * n).bit_length()))
-    low, table = F.col("h").bitwiseAND((1 << bits) - 1), [0] * (1 << (bits - 6))
-    set_ = F.call_function("shiftleft", F.lit(1).cast("long"), low.bitwiseAND(63).cast("int"))
-    for k, x in windows.groupBy(F.shiftright(low, 6).alias("k")).agg(F.bit_or(set_)).collect():  # a row for each word of the bitmap at most
+    places = lambda h: [x.bitwiseAND((1 << bits) - 1) for x in (h, F.shiftright(h, 32))]
+    table, at = [0] * (1 << (bits - 6)), F.explode(F.array(*places(F.col("h")))).alias("at")
+    set_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
+    for k, x in windows.select(at).groupBy(F.shiftright("at", 6).alias("k")).agg(F.bit_or(set_)).collect():  # a row for each word of the bitmap at most
         table[k] = x
     map_ = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
-    return lambda h: F.getbit(F.get(map_, F.shiftright(h.bitwiseAND((1 << bits) - 1), 6).cast("int")), h.bitwiseAND(63).cast("int")) == 1
+    holds = lambda x: F.getbit(F.get(map_, F.shiftright(x, 6).cast("int")), x.bitwiseAND(63).cast("int")) == 1
+
+    def seen(h: Column) -> Column:
+        one, two = places(h)
+        return F.when(holds(one), holds(two)).otherwise(False)
+
+    return seen
 
 
 def _found(docs: DataFrame, benchmark: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
