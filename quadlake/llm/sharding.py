@@ -20,6 +20,8 @@ whatever their names, are ignored.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -164,7 +166,8 @@ def shard(docs: DataFrame) -> DataFrame:
     at = work.put(points(rows))
     big = at.filter((F.col("w") * BIG > total) & (F.col("n") > 1))
     shards, room = place_big([(r["w"], r["digest"]) for r in big.select("w", "digest").collect()], total)
-    table = spark.createDataFrame(sorted(shards.items()), "digest long, shards array<int>")
+    rows_of = json.dumps([{"digest": k, "shards": v} for k, v in sorted(shards.items())])  # under BIG rows
+    table = spark.range(1).select(F.explode(F.from_json(F.lit(rows_of), "array<struct<digest:bigint,shards:array<int>>>")).alias("x")).select("x.*")
     small = at.join(F.broadcast(table), "digest", "left_anti")
     placed = small.select("digest", F.array((_node(tree(small, room)) - SHARDS).cast("int")).alias("shards"), F.col("n").alias("_n"))
     placed = work.put(placed.unionByName(big.join(F.broadcast(table), "digest").select("digest", "shards", F.col("n").alias("_n"))))
