@@ -81,7 +81,9 @@ def _hits(text: Column, widths: list[int], seen) -> Column:
             def found(wh: Column) -> Column:
                 at = F.transform(wh, lambda h, i: F.struct(h.alias("h"), i.alias("pos")))
                 slots = lambda y: F.array().cast("array<string>") if literal and seen else _values(x.low, x.tokens, y.pos, width)
-                return F.transform(F.filter(at, lambda y: seen(y.h)) if seen else at, lambda y: F.struct(y.h.alias("h"), y.pos.alias("pos"), slots(y).alias("slots"), F.lit(literal).alias("literal")))
+                whole = F.transform(F.filter(at, lambda y: seen(y.h)) if seen else at, lambda y: F.struct(y.h.alias("h"), y.pos.alias("pos"), slots(y).alias("slots"), F.lit(literal).alias("literal")))
+                none = F.array().cast("array<struct<h:bigint,pos:int,slots:array<string>,literal:boolean>>")
+                return F.when(F.exists(wh, seen), whole).otherwise(none) if seen else whole  # most texts have no hit and need no more than their hashes
 
             return let(_windows(hashes, width, literal), found)
 
