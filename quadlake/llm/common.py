@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_dir
+
 #: The white space that parts words: space and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]+"
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
@@ -27,17 +28,6 @@ def ready(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir). Only where it is unset, as in tests, a local one."""
-    if where := spark.conf.get("spark.checkpoint.dir", None):
-        return where
-    set_before = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if set_before.isDefined():
-        return set_before.get()
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quadlake-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
 class Work:
     """Tables written to the shared folder, to cut lineage where a result is read more than once; they outlive executors."""
 
