@@ -10,8 +10,8 @@ with a template. A template window counts only in alignments where each of the i
 window counts always.
 
 Scale: every document's windows are tested in its row against a constant Bloom filter of the benchmark's windows, of 64 bits a window and at most 1 <<
-MOST_BITS in all, so nearly only hits leave the scan; a larger benchmark only lets more of the others pass, which the join drops. Equal texts are
-looked into once. The join by window hash deals windows that over 1/HOT of all hits have over salts.
+MOST_BITS in all, so nearly only hits leave the scan; a larger benchmark only lets more of the others pass, which the join drops. A window's
+hash is folded from those of 1, 2 and 4 tokens. Equal texts are looked into once. The join by window hash deals windows that over 1/HOT of all hits have over salts.
 
 Defined results: null and empty texts have no windows; items under LEAST tokens are found literally only; a repeated item is found under each
 id; what a text holds is found by its text, so null and repeated doc_ids are found and dropped by the text of their row; equal rows are found
@@ -31,7 +31,7 @@ from .common import HOT, Work, let, spread, words
 WIDTH, LEAST, ENOUGH, MOST_BITS = 8, 5, 6, 24
 PUNCTUATION = ".,;:!?()[]{}\"'`´…*#$%&|<>«»“”„‘’¿¡=+-–—/\\_~^@€£"
 LINE = "\x02"  # before the first word of a line
-NUMBER, NAME, UNIT = "\x01n", "\x01p", "\x01u"
+NUMBER, NAME, UNIT = (k << 40 for k in (1, 2, 3))  # slots among the tokens' hashes, as 64-bit numbers
 # Units.
 UNITS = "kg g mg lb lbs oz t km m cm mm mi mile miles ft feet inch inches yd l ml cl gal s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years percent dollar dollars euro euros cent cents pound pounds usd eur c f k w kw v a hz khz mhz ghz kb mb gb tb mph kmh kph".split()
 
@@ -42,11 +42,12 @@ def _digit(code: Column) -> Column:
 
 def _raw(text: Column) -> Column:
     """The words of a text, with LINE before those that begin a line."""
+    text = F.replace(F.replace(F.coalesce(text, F.lit("")), F.lit("ß"), F.lit("ss")), F.lit("ẞ"), F.lit("SS"))
     return words(F.regexp_replace(F.btrim(text, F.lit(" \t\n\x0b\f\r")), "[\\n\\r][\\x20\\x09-\\x0D]*+", f" {LINE}"))
 
 
-def _tokens(raw: Column, bare: Column) -> Column:
-    """The template tokens of the words, one for each."""
+def _tokens(raw: Column, bare: Column, low: Column, hashes: Column) -> Column:
+    """The template tokens of the words, one for each: a slot's number, or the hash of the literal word."""
 
     def canon(bare: Column, i: Column) -> Column:
         before, code = F.get(raw, i - 1), F.ascii(bare)
@@ -54,18 +55,27 @@ def _tokens(raw: Column, bare: Column) -> Column:
         inside = before.isNotNull() & ~F.substring(before, -1, 1).isin(".", "!", "?", ":") & ~F.get(raw, i).startswith(LINE)
         return (
             F.when(_digit(code), NUMBER)
-            .when(_digit(F.ascii(F.ltrim(before, F.lit(LINE)))) & F.lower(bare).isin(*UNITS), UNIT)
+            .when(F.get(low, i).isin(*UNITS) & _digit(F.ascii(F.ltrim(before, F.lit(LINE)))), UNIT)
             .when(capital & inside & (bare != F.upper(bare)), NAME)
-            .otherwise(F.lower(bare))
+            .otherwise(F.get(hashes, i))
         )
 
     return F.transform(bare, canon)
 
 
-def _windows(hashes: Column, width: int, literal: bool) -> Column:
-    """The hash of each window of width tokens; those of literal windows are apart."""
-    n = F.size(hashes)
-    return F.when(n >= width, F.transform(F.sequence(F.lit(0), F.greatest(n - width, F.lit(0))), lambda i: F.xxhash64(F.lit(-width if literal else width), *[F.get(hashes, i + k) for k in range(width)]))).otherwise(F.array().cast("array<bigint>"))
+def _pairs(a: Column, b: Column, by: int, *seed: Column) -> Column:
+    """Hashes of each element of a with the one by places further in b, for all of b's."""
+    n = F.greatest(F.size(b) - by, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, by + 1, n), lambda x, y: F.xxhash64(*seed, x, y))
+
+
+def _windows(powers: dict[int, Column], width: int, literal: bool) -> Column:
+    """The hash of each window of width tokens, from those of 1, 2 and 4; those of template windows are apart."""
+    parts = [k for k in (4, 2, 1) if width & k] if width < WIDTH else [WIDTH // 2, WIDTH // 2]
+    out, by = powers[parts[0]], parts[0]
+    for i, k in enumerate(parts[1:], 2):
+        out, by = _pairs(out, powers[k], by, *([F.lit(1)] if i == len(parts) and not literal else [])), by + k
+    return out
 
 
 def _values(low: Column, tokens: Column, at: Column, width: int) -> Column:
@@ -77,7 +87,7 @@ def _hits(text: Column, widths: list[int], seen) -> Column:
     """Structs of (h, pos, slots, literal) of the windows for which seen(hash) holds. Slots of literal windows are given only without seen."""
 
     def of(x: Column) -> Column:
-        def pick(hashes: Column, width: int, literal: bool) -> Column:
+        def pick(powers: dict[int, Column], width: int, literal: bool) -> Column:
             def found(wh: Column) -> Column:
                 at = F.transform(wh, lambda h, i: F.struct(h.alias("h"), i.alias("pos")))
                 slots = lambda y: F.array().cast("array<string>") if literal and seen else _values(x.low, x.tokens, y.pos, width)
@@ -85,16 +95,21 @@ def _hits(text: Column, widths: list[int], seen) -> Column:
                 none = F.array().cast("array<struct<h:bigint,pos:int,slots:array<string>,literal:boolean>>")
                 return F.when(F.exists(wh, seen), whole).otherwise(none) if seen else whole  # most texts have no hit and need no more than their hashes
 
-            return let(_windows(hashes, width, literal), found)
+            return let(_windows(powers, width, literal), found)
+
+        def each(one: Column, literal: bool) -> Column:
+            def of_four(two: Column, four: Column) -> Column:
+                return F.flatten(F.array(*[pick({1: one, 2: two, 4: four}, w, literal) for w in widths if literal or w >= LEAST]))
+
+            return let(_pairs(one, one, 1), lambda two: let(_pairs(two, two, 2), lambda four: of_four(two, four)))
 
-        def each(tokens: Column, literal: bool) -> Column:
-            return let(F.transform(tokens, lambda t: F.xxhash64(t)), lambda hashes: F.flatten(F.array(*[pick(hashes, w, literal) for w in widths if literal or w >= LEAST])))
+        return F.concat(each(x.hashes, True), each(x.tokens, False)) if max(widths) >= LEAST else each(x.hashes, True)
 
-        return F.concat(each(x.low, True), each(x.tokens, False)) if max(widths) >= LEAST else each(x.low, True)
+    def with_tokens(raw: Column, bare: Column, low: Column) -> Column:
+        return let(F.transform(low, lambda t: F.xxhash64(t)), lambda h: let(F.struct(low.alias("low"), h.alias("hashes"), _tokens(raw, bare, low, h).alias("tokens")), of))
 
     def split(raw: Column) -> Column:
-        bare = F.transform(raw, lambda w: F.btrim(w, F.lit(PUNCTUATION + LINE)))
-        return let(bare, lambda b: let(F.struct(F.transform(b, lambda w: F.replace(F.lower(w), F.lit("ß"), F.lit("ss"))).alias("low"), _tokens(raw, b).alias("tokens")), of))
+        return let(F.transform(raw, lambda w: F.btrim(w, F.lit(PUNCTUATION + LINE))), lambda bare: let(F.transform(bare, lambda w: F.lower(w)), lambda low: with_tokens(raw, bare, low)))
 
     return let(_raw(text), split)
 
@@ -120,17 +135,19 @@ def _bitmap(windows: DataFrame):
     """A test that holds for every window of the benchmark, and for few others: a Bloom filter with two bits of each hash."""
     n = windows.agg(F.approx_count_distinct("h")).first()[0]
     bits = min(MOST_BITS, max(16, (64 * n).bit_length()))
-    places = lambda h: [x.bitwiseAND((1 << bits) - 1) for x in (h, F.shiftright(h, 32))]
-    table, at = [0] * (1 << (bits - 6)), F.explode(F.array(*places(F.col("h")))).alias("at")
-    set_ = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("at").bitwiseAND(63).cast("int"))
-    for k, x in windows.select(at).groupBy(F.shiftright("at", 6).alias("k")).agg(F.bit_or(set_)).collect():  # a row for each word of the bitmap at most
+    last = (1 << (bits - 6)) - 1
+    word = lambda h, by: F.shiftright(h, by).bitwiseAND(last).cast("int")
+    places = lambda h: [(word(h, 6), h.bitwiseAND(63).cast("int")), (word(h, 32), F.shiftright(h, 26).bitwiseAND(63).cast("int"))]
+    table = [0] * (last + 1)
+    each = windows.select(F.explode(F.array(*[F.struct(k.alias("k"), bit.alias("bit")) for k, bit in places(F.col("h"))])).alias("x"))
+    for k, x in each.groupBy("x.k").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.bit")))).collect():  # a row for each word of the bitmap at most
         table[k] = x
     map_ = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
-    holds = lambda x: F.getbit(F.get(map_, F.shiftright(x, 6).cast("int")), x.bitwiseAND(63).cast("int")) == 1
+    holds = lambda k, bit: F.getbit(F.get(map_, k), bit) == 1
 
     def seen(h: Column) -> Column:
         one, two = places(h)
-        return F.when(holds(one), holds(two)).otherwise(False)
+        return F.when(holds(*one), holds(*two)).otherwise(False)
 
     return seen
 
