@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import tokenizers
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quadlake.llm import common, decontam, neardup, packing, sharding, substring, tokens
@@ -494,3 +495,22 @@ def test_pipeline(spark, tmp_path):
     assert "[EMAIL]" in texts_left[32] and texts_left[5] == good[5]
     assert {r["doc_id"] for r in d.collect()} == ids[3]
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == d.count()
+
+
+def test_decontamination_windows_of_every_width(spark):
+    rows = [(k, [f"w{i % 5}" for i in range(k)]) for k in range(14)]
+    hashes = F.transform("w", lambda t: F.xxhash64(t))
+
+    def windows(width, literal):
+        return common.let(hashes, lambda one: common.let(decontam._pairs(one, one, 1), lambda two: common.let(decontam._pairs(two, two, 2), lambda four: decontam._windows({1: one, 2: two, 4: four}, width, literal))))
+
+    frame = spark.createDataFrame(rows, "k int, w array<string>")
+    seen = {}
+    for width in range(1, decontam.WIDTH + 1):
+        for literal in [True, False] if width >= decontam.LEAST else [True]:
+            for k, found in frame.select("k", windows(width, literal)).collect():
+                own = [tuple(f"w{j % 5}" for j in range(i, i + width)) for i in range(k - width + 1)]
+                assert len(found) == len(own)
+                for h, w in zip(found, own, strict=True):
+                    assert seen.setdefault(h, (w, literal)) == (w, literal)
+    assert len(seen) == len(set(seen.values())) == 5 * (decontam.WIDTH + decontam.WIDTH - decontam.LEAST + 1)
