@@ -3,8 +3,8 @@ the slots' values must map consistently, so re-parameterised questions are found
 
 A token is a white-space word without punctuation at its ends, in lower case. One that begins with a digit is a number; a known unit
 after a number is a unit; a capitalised word that begins neither a sentence nor a line is a name. Windows of WIDTH tokens are hashed; items
-shorter than that have one window of their own length. Each window is looked up literally (its words in lower case with ss for ß, so case and what
-precedes a word don't matter) and as a template, unless it has under LEAST tokens or under half of them literal. A document holds an item
+shorter than that have one window of their own length. Each window is looked up literally (its words in lower case, so case and what
+precedes a word don't matter) and as a template, both with ss for ß, unless it has under LEAST tokens or under half of them literal. A document holds an item
 if at least ENOUGH of the item's windows are found, or half of them where it has fewer than twice as many; of all its windows or of those
 with a template. A template window counts only in alignments where each of the item's slot values maps to one value; a literal
 window counts always.
