@@ -34,9 +34,9 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, key: str | None =
 
 def acyclic_closure(edges: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """(s, o, depth) by a recursive CTE: for shallow graphs known to have no cycle; all path lengths are kept, then the least taken. A path of
-    over max_depth edges is an error when the rows are read, as on a cycle."""
+    over max_depth edges is an error when the rows are read, as on a cycle. LIMIT ALL lifts spark.sql.cteRecursionRowLimit, a million rows else."""
     edges.select("s", "o").distinct().createOrReplaceTempView("_closure_edges")
-    return edges.sparkSession.sql(f"WITH RECURSIVE r(s, o, depth) MAX RECURSION LEVEL {int(max_depth)} AS (SELECT s, o, 1 FROM _closure_edges UNION ALL SELECT r.s, e.o, r.depth + 1 FROM r JOIN _closure_edges e ON r.o = e.s) SELECT s, o, min(depth) AS depth FROM r GROUP BY s, o")
+    return edges.sparkSession.sql(f"WITH RECURSIVE r(s, o, depth) MAX RECURSION LEVEL {int(max_depth)} AS (SELECT s, o, 1 FROM _closure_edges UNION ALL SELECT r.s, e.o, r.depth + 1 FROM r JOIN _closure_edges e ON r.o = e.s) SELECT s, o, min(depth) AS depth FROM (SELECT * FROM r LIMIT ALL) GROUP BY s, o")
 
 
 def undeclared(classes: DataFrame) -> DataFrame:

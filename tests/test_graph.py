@@ -167,3 +167,13 @@ def test_anchor(spark):
     for label, expected in (("y", "u:a"), ("z", "u:a")):
         with pytest.raises(Exception, match="anchor"):
             C.anchor(classes, label, expected).collect()
+
+
+def test_recursive_closure_has_no_row_limit(spark):
+    e = spark.createDataFrame([(f"u:{k:03d}", f"u:{k + 1:03d}") for k in range(30)], "s string, o string")
+    before = spark.conf.get(limit := "spark.sql.cteRecursionRowLimit")
+    spark.conf.set(limit, "100")
+    try:
+        assert K.acyclic_closure(e).count() == 30 * 31 // 2
+    finally:
+        spark.conf.set(limit, before)
