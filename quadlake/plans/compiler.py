@@ -6,8 +6,10 @@ GRAPH sees the default graph, which is empty. Constants become filters on the ra
 scan. Patterns of a group are ordered: connected ones first, most constants first. A filter ?v = constant || ?v = ?w
 becomes a join by equality, not a nested loop. Sides that share only variables that may be unbound are split into bound and unbound rows,
 so what can be joined by equality is; unbound rows, which fit any row, are alone joined with all. MINUS takes away only what shares a
-bound variable. EXISTS whose inner expressions name outer variables starts each of its groups from the distinct outer bindings, under a
-key by which the outer rows are then chosen.
+bound variable. EXISTS whose inner expressions name outer variables starts from the distinct outer bindings, under a key by which the
+outer rows are then chosen. If it holds patterns and filters only, its patterns are parted where they share outer variables only: a part is
+joined by equality, and a comparison with it is decided by the least and greatest of its values, so rows aren't paired. Otherwise each of its
+groups starts from the outer bindings.
 """
 
 from __future__ import annotations
@@ -62,6 +64,11 @@ def number_literal(c: Column) -> Column:
     return F.when(whole & (F.abs(c) < 1e15), as_literal(c.cast("long"), XSD + "integer")).otherwise(as_literal(c, XSD + "decimal"))
 
 
+def comparable(t: Column) -> Column:
+    """A value that's equal where terms are equal by =: numbers by value, others as they are."""
+    return F.when(t.isNotNull(), F.struct(number(t).isNull().alias("other"), F.coalesce(number(t), F.lit(0.0)).alias("number"), F.when(number(t).isNull(), t).otherwise("").alias("term")))
+
+
 class Compiler:
     def __init__(self, quads: DataFrame):
         self.quads, self.spark, self.n = quads, quads.sparkSession, 0
@@ -145,17 +152,25 @@ class Compiler:
         if graph is None:  # the default graph is empty
             names = {t.name for x in patterns for t in x if isinstance(t, Var)}
             return Rel(self.spark.createDataFrame([], ", ".join(f"`{v}` string" for v in sorted(names)) or "_one int"), names, set())
-        left, out = list(patterns), None
-        names = lambda x: {t.name for t in x if isinstance(t, Var)}
-        weight = lambda x: sum(isinstance(t, Const) * w for t, w in zip(x, (4, 1, 3), strict=True))
-        while left:
-            linked = [x for x in left if out and names(x) & out.all] or left
-            best = max(linked, key=lambda x: (weight(x), -left.index(x)))
-            left.remove(best)
-            rel = self.pattern(*best, graph)
+        out = None
+        for rel in self.parts([(x, graph) for x in patterns], set()):
             out = rel if out is None else self.join(out, rel)
         return out
 
+    def parts(self, patterns: list, outer: set[str]) -> list[Rel]:
+        """The solutions of patterns (pattern, graph), apart for those that share no variables but the outer ones."""
+        left, out = list(patterns), []
+        weight = lambda x: sum(isinstance(t, Const) * w for t, w in zip(x[0], (4, 1, 3), strict=True))
+        while left:
+            rel = None
+            while linked := [x for x in left if rel is None or _variables(x) & (rel.all - outer)]:
+                best = max(linked, key=lambda x: (weight(x), -left.index(x)))
+                left.remove(best)
+                one = self.pattern(*best[0], best[1])
+                rel = one if rel is None else self.join(rel, one)
+            out.append(rel)
+        return out
+
     # --- joins
 
     def unit(self) -> Rel:
@@ -251,8 +266,11 @@ class Compiler:
                 continue
             base = out or self.unit()
             if isinstance(x, Bgp):
-                rel = self.bgp(x.patterns, graph)
-                out = rel if out is None else joined(out, rel)
+                rels = [self.bgp(x.patterns, graph)] if graph is None else self.parts([(y, graph) for y in x.patterns], set())
+                while rels:
+                    rel = next((r for r in rels if out and r.all & out.all), rels[0])
+                    rels = [r for r in rels if r is not rel]
+                    out = rel if out is None else joined(out, rel)
             elif x.op == "optional":
                 inner = x.args[0].args[0]
                 conds = [y.args[0] for y in inner if isinstance(y, Node) and y.op == "filter"] if x.args[0].op == "group" else []
@@ -292,17 +310,86 @@ class Compiler:
                 return self.join(rel, self.unseeded(e.args[0], graph), how)
             names, key = sorted(_names(e.args[0]) & rel.all), f"{KEY}{len(self.seeds)}"
             keyed = rel.df.withColumn(key, F.to_json(F.struct(*[F.col(v) for v in names])))
-            self.seeds.append(Rel(keyed.select(key, *names).distinct(), (rel.sure & set(names)) | {key}, rel.maybe & set(names)))
-            try:
-                found = self.eval(e.args[0], graph)
-            finally:
-                self.seeds.pop()
+            seed = Rel(keyed.select(key, *names).distinct(), (rel.sure & set(names)) | {key}, rel.maybe & set(names))
+            found = self.supported(seed, e.args[0], graph)
+            if found is None:
+                self.seeds.append(seed)
+                try:
+                    found = self.eval(e.args[0], graph)
+                finally:
+                    self.seeds.pop()
             out = self.joined(Rel(keyed, rel.sure | {key}, rel.maybe), Rel(found.df.select(key).distinct(), {key}, set()), how, None)
             return Rel(out.df.drop(key), rel.sure, rel.maybe)
         if isinstance(e, Node) and e.op == "&&":
             return self.filter(self.filter(rel, e.args[0], graph), e.args[1], graph)
         return Rel(rel.df.filter(F.coalesce(self.truth(e, rel), F.lit(False))), rel.sure, rel.maybe)
 
+    def supported(self, seed: Rel, x, graph) -> Rel | None:
+        """The outer bindings for which a conjunction of patterns and conditions has a solution; None if x is something else."""
+        outer = {v for v in seed.all if not v.startswith(KEY)}
+        flat = _conjunction(x, graph, outer)
+        if flat is None or any(g is None for _, g in flat[0]) or seed.maybe & set().union(*(_variables(y) for y in flat[0])):
+            return None
+        parts, conds = self.parts(flat[0], outer), flat[1]
+        for k, rel in enumerate(parts):
+            for e in conds:
+                if _names(e) and _names(e) <= rel.all:
+                    parts[k] = rel = self.filter(rel, e, graph)
+        conds = [e for e in conds if not _names(e) or not any(_names(e) <= rel.all for rel in parts)]
+        while True:
+            for e in [e for e in conds if _names(e) <= seed.all]:
+                seed = self.filter(seed, e, graph)
+            conds = [e for e in conds if not _names(e) <= seed.all]
+            if not parts:
+                return seed
+            own = [(rel, [e for e in conds if _names(e) & (rel.all - seed.all)]) for rel in parts]
+            if ready := [(rel, mine) for rel, mine in own if all(_names(e) <= rel.all | seed.all for e in mine)]:
+                rel, mine = ready[0]
+                seed = self.having(seed, rel, mine)
+                conds = [e for e in conds if all(e is not y for y in mine)]
+            else:  # a condition ties parts: one becomes outer for the others
+                rel = next((r for r in parts if r.all & seed.all), parts[0])
+                seed = self.join(seed, rel)
+            parts = [r for r in parts if r is not rel]
+
+    def having(self, a: Rel, b: Rel, conds: list) -> Rel:
+        """The rows of a for which one of b agrees in the shared variables and meets conds, which name variables of both. Equalities are keys. A
+        single comparison beside them is decided by the least and greatest of b's values for each key; more are tried pair by pair."""
+        if not conds:
+            return self.join(a, b, "semi")
+        shared, equal, others = sorted(a.all & b.all), [], []
+        for e in conds:
+            sides = _sides(e, a.all, b.all)
+            (equal if sides and sides[0] == "=" else others).append((e, sides))
+        left = a.df.withColumns({f"_a{k}": comparable(self.term(s[1], a)) for k, (_, s) in enumerate(equal)})
+        right = b.df.withColumns({f"_b{k}": comparable(self.term(s[2], b)) for k, (_, s) in enumerate(equal)})
+        keys = [F.col(v).alias(f"_r_{v}") for v in shared] + [F.col(f"_b{k}") for k in range(len(equal))]
+        on = F.lit(True)
+        for v in shared:
+            on = on & (F.col(v) == F.col(f"_r_{v}"))
+        for k in range(len(equal)):
+            on = on & (F.col(f"_a{k}") == F.col(f"_b{k}"))
+        if not others:
+            right = right.select(*keys).distinct()
+        elif len(others) == 1 and others[0][1]:
+            op, mine, its = others[0][1]
+            x, y = self.term(its, b), self.term(mine, a)
+            plain = lambda t: F.when(number(t).isNull() & t.startswith('"'), lexical(t))
+            if op == "!=":
+                right = right.groupBy(*keys).agg(F.min(comparable(x)).alias("_least"), F.max(comparable(x)).alias("_most"))
+                met = (F.col("_least") != comparable(y)) | (F.col("_most") != comparable(y))
+            else:
+                best, of = {"<": (F.max, lambda p, q: p < q), "<=": (F.max, lambda p, q: p <= q), ">": (F.min, lambda p, q: p > q), ">=": (F.min, lambda p, q: p >= q)}[op]
+                right = right.groupBy(*keys).agg(best(number(x)).alias("_number"), best(plain(x)).alias("_text"))
+                met = F.coalesce(of(number(y), F.col("_number")), F.lit(False)) | F.coalesce(of(plain(y), F.col("_text")), F.lit(False))
+            on = on & F.coalesce(met, F.lit(False))
+        else:
+            both = Rel(left, a.sure | b.sure, a.maybe | b.maybe)
+            right = right.select(*keys, *sorted(b.all - a.all))
+            for e, _ in others:
+                on = on & F.coalesce(self.truth(e, both), F.lit(False))
+        return Rel(left.join(right, on, "left_semi").select(*a.df.columns), a.sure, a.maybe)
+
     def unseeded(self, x, graph) -> Rel:
         self.seeds.append(None)
         try:
@@ -529,6 +616,49 @@ def _names(x) -> set[str]:
     return set().union(*map(_names, x)) if isinstance(x, (list, tuple)) else set()
 
 
+def _variables(x: tuple) -> set[str]:
+    """Variables of a pattern with its graph."""
+    return {t.name for t in (*x[0], x[1]) if isinstance(t, Var)}
+
+
+def _conjunction(x, graph, outer: set[str]) -> tuple[list, list] | None:
+    """Patterns with their graphs, and conditions, of a group that has nothing else, nor in groups within; each condition must name outer
+    variables and those of its own group only, as it sees no others."""
+    if isinstance(x, Bgp):
+        return [(p, graph) for p in x.patterns], []
+    if isinstance(x, Node) and x.op == "graph":
+        return _conjunction(x.args[1], x.args[0], outer)
+    if not (isinstance(x, Node) and x.op == "group"):
+        return None
+    patterns, conds, own = [], [], []
+    for y in x.args[0]:
+        if isinstance(y, Node) and y.op == "filter":
+            work = [y.args[0]]
+            while work:
+                e = work.pop()
+                if isinstance(e, Node) and e.op == "&&":
+                    work += reversed(e.args)
+                else:
+                    own.append(e)
+        elif (inner := _conjunction(y, graph, outer)) is None:
+            return None
+        else:
+            patterns, conds = patterns + inner[0], conds + inner[1]
+    seen = outer.union(*map(_variables, patterns))
+    return None if any(_nested(e) or not _names(e) <= seen for e in own) else (patterns, conds + own)
+
+
+def _sides(e, a: set[str], b: set[str]) -> tuple | None:
+    """For a comparison of an expression of a's variables with one of b's: the operator, a's side and b's side, in this order."""
+    if not (isinstance(e, Node) and e.op in ("=", "!=", "<", ">", "<=", ">=")):
+        return None
+    x, y = e.args
+    if _names(x) <= a and _names(y) <= b:
+        return e.op, x, y
+    turned = {"<": ">", ">": "<", "<=": ">=", ">=": "<="}
+    return (turned.get(e.op, e.op), y, x) if _names(y) <= a and _names(x) <= b else None
+
+
 def _correlated(x) -> set[str]:
     """Variables that expressions of a group, or of one within, name and that its own patterns don't bind."""
     if isinstance(x, (list, tuple)):

@@ -91,3 +91,32 @@ def test_stream_lift(spark, q, tmp_path):
     for _ in range(2):  # a second run finds nothing new
         incremental.lift_stream(stream, lambda b: b.filter("p = 'u:p'"), str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 3
+
+
+BODIES = [
+    ("GRAPH :g { ?z :l ?m FILTER(?m = ?l && ?z != ?x) }", "="), ("GRAPH :g { ?z :l ?m FILTER(?m = ?l && ?z != ?x) } GRAPH :h { ?x :q ?k FILTER(?k > 1) }", "="),
+    ("GRAPH :g { ?z :l ?m } FILTER(?m < ?l)", None), ("GRAPH :g { ?z :l ?m } FILTER(?l <= ?m && ?z = ?y)", "="), ("GRAPH :h { ?z :q ?m } FILTER(?m > ?l)", None), ("GRAPH :h { ?z :q ?m } FILTER(?l >= ?m)", None), ("GRAPH :h { ?z :q ?m } FILTER(?l != ?m)", None),
+    ("GRAPH :h { ?z :q ?m } FILTER(?l != ?m && ?z != ?x && ?z = ?y)", "="), ("GRAPH :g { ?z :l ?m } FILTER(CONTAINS(STR(?z), STR(?l)) || ?m = ?l)", None), ("GRAPH ?h { ?x :q ?m } GRAPH ?h { ?z :q ?n } FILTER(?n > ?m && ?l != \"x\")", "="), ("GRAPH :g { ?x :p ?y . ?z :l ?m } GRAPH :h { :n0 :q ?k } FILTER(?k + ?m = ?l)", None),
+    ("{ GRAPH :g { ?z :l ?m } FILTER(?n = ?l) } GRAPH :h { ?z :q ?n }", None), ("{ GRAPH :g { ?z :l ?m } FILTER(?m = ?l) } UNION { GRAPH :h { ?x :q ?m . ?z :q ?n FILTER(?n = ?l) } }", None),
+]
+
+
+@pytest.mark.parametrize(("body", "keys"), BODIES)
+def test_correlated_exists_pairs_no_rows(spark, monkeypatch, body, keys):
+    import random
+
+    from quadlake.plans import compiler
+
+    draw, xsd = random.Random(5), "http://www.w3.org/2001/XMLSchema#"
+    value = lambda: draw.choice([("1", "integer"), ("1.0", "decimal"), ("2", "integer"), ("2", "string"), ("10", "integer"), ("x", "string"), ("y", "string"), ("", "string"), ("-0.0", "double"), ("0", "integer"), ("NaN", "double")])
+    rows = [(f"u:{g}", f"u:n{k}", f"u:{p}", v, "literal", xsd + t, None) for k in range(9) for g, p in (("g", "l"), ("h", "q")) for v, t in {value() for _ in range(draw.randrange(3))}]
+    rows += [("u:g", f"u:n{k}", "u:p", f"u:n{draw.randrange(9)}", "iri", None, None) for k in range(9)]
+    quads = spark.createDataFrame(rows, "g string, s string, p string, o string, o_kind string, o_dt string, o_lang string").cache()
+    texts = [P + f"SELECT ?x ?y ?l {{ GRAPH :g {{ ?x :p ?y ; :l ?l }} FILTER {how} {{ {body} }} }}" for how in ("EXISTS", "NOT EXISTS")]
+    got = [query(quads, t, terms=True) for t in texts]
+    if keys:
+        plan = got[0]._jdf.queryExecution().optimizedPlan().toString()
+        assert all("=" in x for x in plan.splitlines() if "Join " in x)
+    monkeypatch.setattr(compiler.Compiler, "supported", lambda *_: None)
+    want = [sorted(tuple(r) for r in query(quads, t, terms=True).collect()) for t in texts]
+    assert [sorted(tuple(r) for r in df.collect()) for df in got] == want and sum(map(len, want)) == query(quads, P + "SELECT ?x ?l { GRAPH :g { ?x :p ?y ; :l ?l } }").count()
