@@ -94,7 +94,7 @@ def test_stream_lift(spark, q, tmp_path):
 
 
 BODIES = [
-    ("GRAPH :g { ?z :l ?m FILTER(?m = ?l && ?z != ?x) }", "="), ("GRAPH :g { ?z :l ?m FILTER(?m = ?l && ?z != ?x) } GRAPH :h { ?x :q ?k FILTER(?k > 1) }", "="),
+    ("GRAPH :g { ?z :l ?m FILTER(?m = ?l && ?z != ?x) }", "="), ("GRAPH :g { ?z :l ?m FILTER(?m = ?l && ?z != ?x) } GRAPH :h { ?x :q ?k FILTER(?k > 1) }", "="), ("GRAPH :g { ?z :p ?w . ?z :l ?m . ?x :l ?k FILTER(?w = ?y && STR(?m) < STR(?k)) }", "="),
     ("GRAPH :g { ?z :l ?m } FILTER(?m < ?l)", None), ("GRAPH :g { ?z :l ?m } FILTER(?l <= ?m && ?z = ?y)", "="), ("GRAPH :h { ?z :q ?m } FILTER(?m > ?l)", None), ("GRAPH :h { ?z :q ?m } FILTER(?l >= ?m)", None), ("GRAPH :h { ?z :q ?m } FILTER(?l != ?m)", None),
     ("GRAPH :h { ?z :q ?m } FILTER(?l != ?m && ?z != ?x && ?z = ?y)", "="), ("GRAPH :g { ?z :l ?m } FILTER(CONTAINS(STR(?z), STR(?l)) || ?m = ?l)", None), ("GRAPH ?h { ?x :q ?m } GRAPH ?h { ?z :q ?n } FILTER(?n > ?m && ?l != \"x\")", "="), ("GRAPH :g { ?x :p ?y . ?z :l ?m } GRAPH :h { :n0 :q ?k } FILTER(?k + ?m = ?l)", None),
     ("{ GRAPH :g { ?z :l ?m } FILTER(?n = ?l) } GRAPH :h { ?z :q ?n }", None), ("{ GRAPH :g { ?z :l ?m } FILTER(?m = ?l) } UNION { GRAPH :h { ?x :q ?m . ?z :q ?n FILTER(?n = ?l) } }", None),
