@@ -1,18 +1,18 @@
 """Quality rules: a trusted-target against raw-corpus log-likelihood ratio over hashed n-grams, beside base rules. DataFrame functions only.
 
 Model: word unigrams and bigrams go to BUCKETS hash buckets. Two multinomials are counted, one over the distinct texts of all documents
-and one over a trusted target (the distinct texts labelled good and not toxic; at most TARGET_DOCS documents, those with the smallest hash
-of doc_id). Smoothing mixes both with PRIOR times the target's size of raw probability: a bucket's ratio is log((p_target / p_raw + PRIOR) / (1 +
+and one over a trusted target (all distinct texts labelled good and not toxic). Smoothing mixes both with PRIOR times the target's size of raw probability: a bucket's ratio is log((p_target / p_raw + PRIOR) / (1 +
 PRIOR)), whatever the corpus' size. A document's score is the mean of its n-grams' ratios. It's kept if no base rule fails and the score
 reaches the floor of its language.
 
 Floors come from the target's own scores, each computed with the text's own n-grams taken out of the target (as for a text that isn't in
 it): the median less SPREADS times its distance from the 5th percentile, by language for those with LEAST_OWN texts or more, over all of them
-for the rest. Copies of a text change neither the counts nor the floors.
+for the rest. All scores count, to DIGITS decimals, so a histogram of bounded size holds them. Copies of a text change neither the counts nor the floors.
 
-Scale: texts are shuffled once, by digest and after equal ones of a partition became one, to count each distinct text once. The counts are
-aggregated before their shuffle and have BUCKETS rows at most; they and the floors are all that reaches the driver, and come
-back as a constant array (of DIGITS decimals, as plans carry it) and constants. The target's ids are TARGET_DOCS at most, and so may be broadcast. Judging is one scan without a shuffle.
+Scale: texts are shuffled by digest, after equal ones of a partition became one, to count each distinct text once, and once more to find
+the target's; which digests those are is found by ids and digests alone. The counts are aggregated before their shuffle and have BUCKETS rows
+at most; they and the floors are all that reaches the driver, and come back as constant arrays (ratios of DIGITS decimals, as plans carry
+them) and constants. Target scores and judging are a scan without a shuffle.
 
 Defined results: null and empty texts have no words, fail the base rules and score null; without a target or raw counts every
 ratio is 0 and only base rules decide; a target of one text has no score of its own and so no floor; repeated rows are judged each; null
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import Work, let, words
 
-BUCKETS, TARGET_DOCS, PRIOR, SPREADS, LEAST_OWN, DIGITS = 1 << 16, 20_000, 0.1, 4, 50, 6
+BUCKETS, PRIOR, SPREADS, LEAST_OWN, DIGITS = 1 << 16, 0.1, 4, 50, 6
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = "[#*$%&|<>]"
 RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
@@ -49,9 +49,8 @@ def _hashes(text: Column) -> Column:
 
 
 def trusted(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id of the trusted target: at most TARGET_DOCS ids."""
-    good = labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TARGET_DOCS)
+    """doc_id of the trusted target."""
+    return labels.filter("quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL").select("doc_id").distinct()
 
 
 @dataclass
@@ -89,16 +88,31 @@ def _list(counts: DataFrame) -> list[int]:
     return out
 
 
-def _floors(target: DataFrame, own: DataFrame, raw: DataFrame, total: int, n_raw: int) -> tuple[dict[str, float], float | None]:
-    """Floors from the target's scores without their own n-grams; target: digest, lang, text. At most TARGET_DOCS texts."""
-    grams = target.select("digest", "lang", let(_hashes(F.col("text")), _ngrams).alias("g")).select("digest", "lang", F.size("g").alias("n"), F.explode("g").alias("b")).groupBy("digest", "lang", "n", "b").agg(F.count("*").alias("k"))
-    left = F.lit(total) - F.col("n")
-    table = own.withColumnRenamed("n", "t").join(raw.select("b", (F.col("n") / F.lit(float(n_raw))).alias("share")), "b")  # BUCKETS rows at most
-    others = (F.col("t") - F.col("k")) / F.col("share") / left
-    scores = grams.filter(left > 0).join(F.broadcast(table), "b").groupBy("digest", "lang").agg((F.sum(F.col("k") * F.log((others + PRIOR) / (1 + PRIOR))) / F.first("n")).alias("score"))
-    at = F.percentile("score", F.array(F.lit(0.05), F.lit(0.5)))
-    found = scores.groupBy("lang").agg(at.alias("q"), F.count("*").alias("n")).filter(F.col("n") >= LEAST_OWN).select("lang", "q").unionByName(scores.agg(at.alias("q")).select(F.lit(None).cast("string").alias("lang"), "q")).collect()
-    floors = {lang: q[1] - SPREADS * (q[1] - q[0]) - 1e-9 for lang, q in found if q}
+def _alone(text: Column, own: list[int], raw: list[int]) -> Column:
+    """The score of a target's text without its own n-grams; null if the target has no others."""
+    total, n_raw, owns, raws = sum(own), sum(raw), _constant(own, "array<bigint>"), _constant(raw, "array<bigint>")
+
+    def score(grams: Column) -> Column:
+        left = F.lit(total) - F.size(grams)
+
+        def add(a: Column) -> Column:  # the sum with the last run of equal buckets
+            others = (F.get(owns, a.b) - a.k) / (F.get(raws, a.b) / F.lit(float(n_raw))) / left
+            return F.when(a.k > 0, a.s + a.k * F.log((others + PRIOR) / (1 + PRIOR))).otherwise(a.s)
+
+        state = lambda b, k, s: F.struct(b.alias("b"), k.alias("k"), s.alias("s"))
+        run = lambda a, b: F.when(a.b == b, state(b, a.k + 1, a.s)).otherwise(state(b, F.lit(1), add(a)))
+        return F.when(left > 0, F.aggregate(F.sort_array(grams), state(F.lit(0), F.lit(0), F.lit(0.0)), run, add) / F.size(grams))
+
+    return let(let(_hashes(text), _ngrams), score)
+
+
+def _floors(target: DataFrame, own: list[int], raw: list[int], work: Work) -> tuple[dict[str, float], float | None]:
+    """Floors from the target's scores without their own n-grams; target: digest, lang, text."""
+    scores = target.select("lang", F.round(_alone(F.col("text"), own, raw), DIGITS).alias("score"))
+    scores = work.put(scores.groupBy("lang", "score").agg(F.count("*").alias("n"))).filter("score IS NOT NULL")  # before, it would score twice
+    at = F.percentile("score", F.array(F.lit(0.05), F.lit(0.5)), F.col("n"))
+    found = scores.groupBy("lang").agg(at.alias("q"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST_OWN).select("lang", "q").unionByName(scores.agg(at.alias("q")).select(F.lit(None).cast("string").alias("lang"), "q")).collect()
+    floors = {lang: q[1] - SPREADS * (q[1] - q[0]) - SPREADS * 10**-DIGITS for lang, q in found if q}
     return {k: v for k, v in floors.items() if k is not None}, floors.get(None)
 
 
@@ -106,17 +120,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """The model, counted over all documents' distinct texts."""
     work = Work(docs.sparkSession, "quality")
     texts = docs.select("doc_id", _lang(docs).alias("lang"), "text").filter("text <> ''").withColumn("digest", F.xxhash64("text"))
-    picked = texts.join(F.broadcast(trusted(docs, labels)), "doc_id", "left_semi")
-    target = work.put(picked.groupBy("digest").agg(F.min("lang").alias("lang"), F.min("text").alias("text")))
-    raws = work.put(_counts(texts.groupBy("digest").agg(F.first("text").alias("text")).select("text")))
-    owns = work.put(_counts(target))
-    raw, own = _list(raws), _list(owns)
+    picked = texts.select("doc_id", "lang", "digest").join(trusted(docs, labels), "doc_id", "left_semi").groupBy("digest").agg(F.min("lang").alias("lang"))
+    each = texts.groupBy("digest").agg(F.first("text").alias("text"))
+    target = work.put(each.join(picked, "digest"))
+    raw, own = _list(work.put(_counts(each.select("text")))), _list(work.put(_counts(target)))
     n_raw, n_own = sum(raw), sum(own)
     if not n_own:
         return Model([0.0] * BUCKETS, {}, None)
     share = [max(r, 1) / n_raw for r in raw]
     ratios = [round(math.log((t / n_own / s + PRIOR) / (1 + PRIOR)), DIGITS) if r else 0.0 for r, t, s in zip(raw, own, share, strict=True)]
-    return Model(ratios, *_floors(target, owns, raws, n_own, n_raw))
+    return Model(ratios, *_floors(target, own, raw, work))
 
 
 def _repeated(hashes: Column) -> Column:

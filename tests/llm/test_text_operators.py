@@ -89,6 +89,11 @@ def test_quality_floor_is_by_language(spark, docs):
     assert bare.count() == len(texts)
 
 
+def test_quality_target_is_every_trusted_document(spark):
+    labels = spark.range(25_000).selectExpr("id AS doc_id", "1 AS quality", "CAST(id % 25 = 0 AS int) AS toxic")
+    assert quality.trusted(None, labels).count() == 24_000
+
+
 BASE = {
     "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"), "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
