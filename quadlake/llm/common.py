@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from pathlib import Path
 
@@ -73,3 +74,25 @@ def words(text: Column) -> Column:
 def let(value: Column, use) -> Column:
     """use(value), with the value computed once for each row."""
     return F.transform(F.array(value), use)[0]
+
+
+def bitmap(hashes: DataFrame, each: int, most: int):
+    """A test that holds for every hash h of a table, and for few others: a Bloom filter with two bits of each hash, of at least so many bits for
+    each and 1 << most (at most 24) in all."""
+    n = hashes.agg(F.approx_count_distinct("h")).first()[0]
+    bits = min(most, max(16, (each * n).bit_length()))
+    last = (1 << (bits - 6)) - 1
+    word = lambda h, by: F.shiftright(h, by).bitwiseAND(last).cast("int")
+    places = lambda h: [(word(h, 6), h.bitwiseAND(63).cast("int")), (word(h, 32), F.shiftright(h, 26).bitwiseAND(63).cast("int"))]
+    table = [0] * (last + 1)
+    rows = hashes.select(F.explode(F.array(*[F.struct(k.alias("k"), bit.alias("bit")) for k, bit in places(F.col("h"))])).alias("x"))
+    for k, x in rows.groupBy("x.k").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.bit")))).collect():  # a row for each word of the bitmap at most
+        table[k] = x
+    map_ = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
+    holds = lambda k, bit: F.getbit(F.get(map_, k), bit) == 1
+
+    def seen(h: Column) -> Column:
+        one, two = places(h)
+        return F.when(holds(*one), holds(*two)).otherwise(False)
+
+    return seen

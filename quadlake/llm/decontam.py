@@ -21,12 +21,10 @@ their names, are ignored by leaks() and kept by drop().
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, Work, let, spread, words
+from .common import HOT, Work, bitmap, let, spread, words
 
 WIDTH, LEAST, ENOUGH, MOST_BITS = 8, 5, 6, 24
 PUNCTUATION = ".,;:!?()[]{}\"'`´…*#$%&|<>«»“”„‘’¿¡=+-–—/\\_~^@€£"
@@ -131,32 +129,11 @@ def items(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
     return out.dropDuplicates(["item_id", "item_pos", "h"]), sorted({*small, WIDTH})
 
 
-def _bitmap(windows: DataFrame):
-    """A test that holds for every window of the benchmark, and for few others: a Bloom filter with two bits of each hash."""
-    n = windows.agg(F.approx_count_distinct("h")).first()[0]
-    bits = min(MOST_BITS, max(16, (64 * n).bit_length()))
-    last = (1 << (bits - 6)) - 1
-    word = lambda h, by: F.shiftright(h, by).bitwiseAND(last).cast("int")
-    places = lambda h: [(word(h, 6), h.bitwiseAND(63).cast("int")), (word(h, 32), F.shiftright(h, 26).bitwiseAND(63).cast("int"))]
-    table = [0] * (last + 1)
-    each = windows.select(F.explode(F.array(*[F.struct(k.alias("k"), bit.alias("bit")) for k, bit in places(F.col("h"))])).alias("x"))
-    for k, x in each.groupBy("x.k").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.bit")))).collect():  # a row for each word of the bitmap at most
-        table[k] = x
-    map_ = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
-    holds = lambda k, bit: F.getbit(F.get(map_, k), bit) == 1
-
-    def seen(h: Column) -> Column:
-        one, two = places(h)
-        return F.when(holds(*one), holds(*two)).otherwise(False)
-
-    return seen
-
-
 def _found(docs: DataFrame, benchmark: DataFrame, work: Work) -> tuple[DataFrame, DataFrame]:
     """What the bitmap lets pass: doc_id, text_id, h, pos and slots; and the benchmark's windows."""
     windows, widths = items(benchmark)
     windows = work.put(windows)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.explode(_hits(F.col("text"), widths, _bitmap(windows))).alias("x"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.explode(_hits(F.col("text"), widths, bitmap(windows, 64, MOST_BITS))).alias("x"))
     return work.put(found.select("doc_id", "text_id", "x.h", "x.pos", "x.slots")), windows  # literal and template windows never share a hash
 
 

@@ -18,7 +18,8 @@ average: twice 85 % over the threshold, so a pair at the threshold goes on in 1.
 (a large group of very similar texts), those pairs are taken instead, which misses nothing. Nodes that LEVELS levels can't split are compared
 in pairs of blocks too, so none is dropped. Each list's alike classes are confirmed in a task, and the confirmed links are joined
 again. Links, labels and sets stay distributed; lineage is cut by tables in the shared folder. Rows are joined with their class, large first
-nodes with their centre, and a component's hub with its links by spread(), so no task gets all rows of a key that many have.
+nodes with their centre, and a component's hub with its links by spread(), so no task gets all rows of a key that many have. Texts are
+shuffled for the classes to confirm and the few others that a Bloom filter of them (16 bits each, 1 << MOST_BITS in all at most) lets pass.
 CLUSTER_WORK, CLUSTER_SHINGLES, LIMIT and LEVELS only choose the way; all ways confirm on full sets.
 
 Defined results: null, empty and white-space-only texts have no shingles and are linked with nothing (component: themselves); a null
@@ -36,10 +37,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HOT, Work, ready, spread
+from .common import HOT, Work, bitmap, let, ready, spread
 
 SHINGLE, PERCENT = 3, 85
-COORDINATES, BRANCHES, TREES, DEEP_TREES, LIMIT, LEVELS, CLUSTER_WORK, CLUSTER_SHINGLES = 64, 2, 4, 8, 300, 12, 4_000_000_000, 4_000_000
+COORDINATES, BRANCHES, TREES, DEEP_TREES, LIMIT, LEVELS, CLUSTER_WORK, CLUSTER_SHINGLES, MOST_BITS = 64, 2, 4, 8, 300, 12, 4_000_000_000, 4_000_000, 23
 U = np.uint64
 
 
@@ -351,6 +352,13 @@ def _confirm(rows: DataFrame, key: str, k: int, percent: int) -> DataFrame:
     return rows.select(key, "cid", "text").groupBy(key).applyInArrow(of, "u long, v long").distinct()
 
 
+def _likely(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """doc_id, text_id and text of all rows that near (doc_id, text_id) names, and of few others: the rest leaves before the shuffle."""
+    id_ = F.xxhash64("doc_id", "text_id")
+    seen = bitmap(near.select(id_.alias("h")), 16, MOST_BITS)
+    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "xxhash64(text) AS text_id", "text").filter(let(id_, seen))
+
+
 def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """doc_id, text_id, n_shingles, component_id and kept of every document."""
     ready(docs.sparkSession)
@@ -370,7 +378,7 @@ def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:
     load = near.groupBy("root").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
     load = work.put(load.select("root", "c", ((F.col("c") * F.col("s") > CLUSTER_WORK) | (F.col("s") > CLUSTER_SHINGLES)).alias("large"), F.col("c").alias("_n")))
     near = work.put(spread(work.put(near), load, ["root"], n))
-    found = docs.selectExpr("CAST(doc_id AS long) AS doc_id", "xxhash64(text) AS text_id", "text").join(near, ["doc_id", "text_id"]).select("root", "c", "large", "cid", "text")
+    found = _likely(docs, near).join(near, ["doc_id", "text_id"]).select("root", "c", "large", "cid", "text")
     texts = work.put(found.dropDuplicates(["cid"]))
     links = _confirm(texts.filter("NOT large"), "root", k, percent)
     huge = texts.filter("large")

@@ -514,3 +514,11 @@ def test_decontamination_windows_of_every_width(spark):
                 for h, w in zip(found, own, strict=True):
                     assert seen.setdefault(h, (w, literal)) == (w, literal)
     assert len(seen) == len(set(seen.values())) == 5 * (decontam.WIDTH + decontam.WIDTH - decontam.LEAST + 1)
+
+
+def test_neardup_shuffles_texts_of_candidates_only(docs):
+    rows = docs([f"text {k}" for k in range(5000)], ids=[k % 4000 for k in range(5000)])
+    near = rows.filter("doc_id % 50 = 0").selectExpr("doc_id", "xxhash64(text) AS text_id")
+    got = neardup._likely(rows, near).select("doc_id", "text_id").collect()
+    assert {tuple(r) for r in near.collect()} <= {tuple(r) for r in got} and len(got) < 200
+    assert neardup._likely(rows, near.limit(0)).count() == 0
