@@ -37,11 +37,19 @@ SYMBOLS = "[#*$%&|<>]"
 RULES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
 
 
+def _with_later(hashes: Column, by: int) -> Column:
+    """A hash of each element with the one that stands so many places later, for those that have one."""
+    some = lambda from_: F.slice(hashes, from_, F.greatest(F.size(hashes) - by, F.lit(0)))
+    return F.zip_with(some(1), some(1 + by), lambda a, b: F.xxhash64(a, b))
+
+
+def _bucket(hash_: Column) -> Column:
+    return hash_.bitwiseAND(BUCKETS - 1).cast("int")
+
+
 def _ngrams(hashes: Column) -> Column:
     """Buckets of the unigrams and bigrams, from the word hashes."""
-    one = F.transform(hashes, lambda h: h.bitwiseAND(BUCKETS - 1).cast("int"))
-    two = F.zip_with(hashes, F.slice(hashes, 2, F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b).bitwiseAND(BUCKETS - 1).cast("int")))
-    return F.concat(one, F.filter(two, lambda b: b.isNotNull()))
+    return F.transform(F.concat(hashes, _with_later(hashes, 1)), _bucket)
 
 
 def _hashes(text: Column) -> Column:
@@ -78,7 +86,8 @@ def _lang(docs: DataFrame) -> Column:
 
 def _counts(texts: DataFrame) -> DataFrame:
     """b and n of each bucket that has n-grams."""
-    return texts.select(F.explode(let(_hashes(F.col("text")), _ngrams)).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
+    grams = texts.select(_hashes(F.col("text")).alias("h")).select("h", _with_later(F.col("h"), 1).alias("p")).select(F.explode(F.concat("h", "p")).alias("x"))
+    return grams.select(_bucket(F.col("x")).alias("b")).groupBy("b").agg(F.count("*").alias("n"))
 
 
 def _list(counts: DataFrame) -> list[int]:
@@ -88,27 +97,24 @@ def _list(counts: DataFrame) -> list[int]:
     return out
 
 
-def _alone(text: Column, own: list[int], raw: list[int]) -> Column:
-    """The score of a target's text without its own n-grams; null if the target has no others."""
-    total, n_raw, owns, raws = sum(own), sum(raw), _constant(own, "array<bigint>"), _constant(raw, "array<bigint>")
+def _alone(texts: DataFrame, own: list[int], raw: list[int]) -> DataFrame:
+    """lang, and the score of a target's text without its own n-grams; null if the target has no others."""
+    total, n_raw, owns, raws = sum(own), sum(raw), _constant(own, "array<double>"), _constant(raw, "array<double>")
+    grams = texts.select("lang", _hashes(F.col("text")).alias("h")).select("lang", _ngrams(F.col("h")).alias("b"))
+    grams = grams.select("lang", F.sort_array("b").alias("b"), F.size("b").alias("n"), (F.lit(n_raw / (1 + PRIOR)) / F.nullif(F.lit(total) - F.size("b"), F.lit(0))).alias("f"))
+    b = lambda i: F.get("b", i)
+    state = lambda at, s: F.struct(at.alias("at"), s.alias("s"))
 
-    def score(grams: Column) -> Column:
-        left = F.lit(total) - F.size(grams)
+    def add(a: Column, i: Column) -> Column:  # at the last of a run of equal buckets, which began at a.at
+        k = i + 1 - a.at
+        return F.when(b(i).eqNullSafe(b(i + 1)), a).otherwise(state(i + 1, a.s + k * F.log((F.get(owns, b(i)) - k) * F.col("f") / F.get(raws, b(i)) + PRIOR / (1 + PRIOR))))
 
-        def add(a: Column) -> Column:  # the sum with the last run of equal buckets
-            others = (F.get(owns, a.b) - a.k) / (F.get(raws, a.b) / F.lit(float(n_raw))) / left
-            return F.when(a.k > 0, a.s + a.k * F.log((others + PRIOR) / (1 + PRIOR))).otherwise(a.s)
-
-        state = lambda b, k, s: F.struct(b.alias("b"), k.alias("k"), s.alias("s"))
-        run = lambda a, b: F.when(a.b == b, state(b, a.k + 1, a.s)).otherwise(state(b, F.lit(1), add(a)))
-        return F.when(left > 0, F.aggregate(F.sort_array(grams), state(F.lit(0), F.lit(0), F.lit(0.0)), run, add) / F.size(grams))
-
-    return let(let(_hashes(text), _ngrams), score)
+    return grams.select("lang", F.when(F.col("f").isNotNull() & (F.col("n") > 0), F.aggregate(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), state(F.lit(0), F.lit(0.0)), add, lambda a: a.s) / F.col("n")).alias("score"))
 
 
 def _floors(target: DataFrame, own: list[int], raw: list[int], work: Work) -> tuple[dict[str, float], float | None]:
     """Floors from the target's scores without their own n-grams; target: digest, lang, text."""
-    scores = target.select("lang", F.round(_alone(F.col("text"), own, raw), DIGITS).alias("score"))
+    scores = _alone(target, own, raw).select("lang", F.round("score", DIGITS).alias("score"))
     scores = work.put(scores.groupBy("lang", "score").agg(F.count("*").alias("n"))).filter("score IS NOT NULL")  # before, it would score twice
     at = F.percentile("score", F.array(F.lit(0.05), F.lit(0.5)), F.col("n"))
     found = scores.groupBy("lang").agg(at.alias("q"), F.sum("n").alias("n")).filter(F.col("n") >= LEAST_OWN).select("lang", "q").unionByName(scores.agg(at.alias("q")).select(F.lit(None).cast("string").alias("lang"), "q")).collect()
@@ -132,10 +138,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(ratios, *_floors(target, own, raw, work))
 
 
-def _repeated(hashes: Column) -> Column:
-    """Words in windows of five words that are found twice or more. The windows are sorted only if some are equal."""
-    n = F.size(hashes)
-    windows = F.when(n >= WINDOW, F.transform(F.sequence(F.lit(0), F.greatest(n - WINDOW, F.lit(0))), lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+def _covered(windows: Column) -> Column:
+    """Words in windows of WINDOW words whose hash another window has. Sorted first as numbers of half a hash and the start; only windows whose
+    neighbour there has the same half, which are few, are sorted by their whole hashes."""
+    near = lambda s, x, j: F.coalesce(F.shiftright(F.get(s, j).bitwiseXOR(x), 32) == 0, F.lit(False))
+    alike = lambda s: F.transform(F.filter(s, lambda x, i: near(s, x, i - 1) | near(s, x, i + 1)), lambda x: x.bitwiseAND((1 << 32) - 1).cast("int"))
 
     def covered(at: Column) -> Column:  # the sorted starts of repeated windows
         return F.aggregate(at, F.struct(F.lit(0).alias("n"), F.lit(-WINDOW).alias("p")), lambda a, p: F.struct((a.n + F.least(F.lit(WINDOW), p - a.p)).alias("n"), p.alias("p")), lambda a: a.n)
@@ -144,29 +151,32 @@ def _repeated(hashes: Column) -> Column:
         same = lambda x, j: F.coalesce(F.get(pairs, j).h == x.h, F.lit(False))
         return F.sort_array(F.transform(F.filter(pairs, lambda x, i: same(x, i - 1) | same(x, i + 1)), lambda x: x.p))
 
-    def some(w: Column) -> Column:
-        pairs = F.sort_array(F.transform(w, lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
-        return F.when(F.size(F.array_distinct(w)) == F.size(w), 0).otherwise(let(let(pairs, starts), covered))
+    halves = F.sort_array(F.zip_with(windows, F.sequence(F.lit(0).cast("long"), F.size(windows).cast("long") - 1), lambda h, i: h.bitwiseAND(-1 << 32).bitwiseOR(i)))
+    at = F.sort_array(F.transform(let(halves, alike), lambda i: F.struct(F.get(windows, i).alias("h"), i.alias("p"))))
+    return let(let(at, starts), covered)
 
-    return let(windows, some)
+
+def _repeated(pairs: Column) -> Column:
+    """Words in windows of WINDOW (five) words that are found twice or more, from the hashes of neighbouring words. A window found twice holds two
+    runs of four words found twice; only where there may be such, windows are hashed and compared."""
+    return let(_with_later(pairs, 2), lambda fours: F.when(F.size(F.array_distinct(fours)) + 1 >= F.size(fours), 0).otherwise(let(_with_later(fours, 1), _covered)))
 
 
 def rules(text: Column, lang: Column, model: Model) -> Column:
     """A struct of RULES, kept and the score."""
     text, ratios = F.coalesce(text, F.lit("")), _constant(model.ratios, "array<double>")
 
-    def score(hashes: Column) -> Column:
-        grams = _ngrams(hashes)
-        return F.when(F.size(hashes) > 0, F.aggregate(grams, F.lit(0.0), lambda a, b: a + F.get(ratios, b)) / F.greatest(2 * F.size(hashes) - 1, F.lit(1)))
+    def score(hashes: Column, pairs: Column) -> Column:
+        return F.when(F.size(hashes) > 0, F.aggregate(F.concat(hashes, pairs), F.lit(0.0), lambda a, h: a + F.get(ratios, h.bitwiseAND(BUCKETS - 1))) / F.greatest(2 * F.size(hashes) - 1, F.lit(1)))
 
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     sizes = let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
 
     def of_words(w: Column) -> Column:
-        return let(
-            F.struct(F.transform(w, lambda x: F.xxhash64(x)).alias("h"), F.char_length(F.array_join(w, "")).alias("c")),
-            lambda x: F.struct(F.size(x.h).cast("long").alias("n_words"), x.c.cast("long").alias("word_chars"), F.coalesce(_repeated(x.h), F.lit(0)).cast("long").alias("n_repeat_words"), score(x.h).alias("score")),
-        )
+        return let(let(F.struct(F.transform(w, lambda x: F.xxhash64(x)).alias("h"), F.char_length(F.array_join(w, "")).alias("c")), lambda x: F.struct(x.h.alias("h"), x.c.alias("c"), _with_later(x.h, 1).alias("p"))), of_hashes)
+
+    def of_hashes(x: Column) -> Column:
+        return F.struct(F.size(x.h).cast("long").alias("n_words"), x.c.cast("long").alias("word_chars"), _repeated(x.p).cast("long").alias("n_repeat_words"), score(x.h, x.p).alias("score"))
 
     def finish(x: Column) -> Column:
         failed = (x.n_words < MIN_WORDS) | (100 * x.n_repeat_words > REPEAT_PERCENT * x.n_words)
