@@ -13,7 +13,7 @@ from ..session import shared_dir
 
 #: The white space that parts words: space and U+0009 to U+000D.
 SPACE = "[\\x20\\x09-\\x0D]+"
-BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
+BATCH_ROWS, BATCH_BYTES, HEAP_SHARE = 1000, 16 << 20, 0.6
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,8 +46,15 @@ class Work:
             conf.set(clean, before) if before is not None else conf.unset(clean)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.work_path = path
+        self.tidy()
         return out
 
+    def tidy(self, share: float = HEAP_SHARE) -> None:
+        """Collects the driver's garbage, of plans that are done, if its heap has grown over this share of its limit: else it grows to the limit."""
+        heap = self.spark.sparkContext._jvm.java.lang.Runtime.getRuntime()
+        if heap.totalMemory() > share * heap.maxMemory():
+            self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, df: DataFrame) -> None:
         """Frees a table that nothing reads any more."""
         path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.work_path)
@@ -77,8 +84,8 @@ def let(value: Column, use) -> Column:
 
 
 def bitmap(hashes: DataFrame, each: int, most: int):
-    """A test that holds for every hash h of a table, and for few others: a Bloom filter with two bits of each hash, of at least so many bits for
-    each and 1 << most (at most 24) in all."""
+    """use -> use(seen), where seen(hash) holds for every hash h of a table, and for few others: a Bloom filter with two bits of each hash, of at
+    least so many bits for each and 1 << most (at most 24) in all. However often use tests hashes, the plan holds the filter once."""
     n = hashes.agg(F.approx_count_distinct("h")).first()[0]
     bits = min(most, max(16, (each * n).bit_length()))
     last = (1 << (bits - 6)) - 1
@@ -89,10 +96,14 @@ def bitmap(hashes: DataFrame, each: int, most: int):
     for k, x in rows.groupBy("x.k").agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("x.bit")))).collect():  # a row for each word of the bitmap at most
         table[k] = x
     map_ = F.from_json(F.lit(json.dumps(table)), "array<bigint>")
-    holds = lambda k, bit: F.getbit(F.get(map_, k), bit) == 1
 
-    def seen(h: Column) -> Column:
-        one, two = places(h)
-        return F.when(holds(*one), holds(*two)).otherwise(False)
+    def of(map_: Column):
+        holds = lambda k, bit: F.getbit(F.get(map_, k), bit) == 1
+
+        def seen(h: Column) -> Column:
+            one, two = places(h)
+            return F.when(holds(*one), holds(*two)).otherwise(False)
+
+        return seen
 
-    return seen
+    return lambda use: let(map_, lambda m: use(of(m)))

@@ -133,7 +133,8 @@ def _found(docs: DataFrame, benchmark: DataFrame, work: Work) -> tuple[DataFrame
     """What the bitmap lets pass: doc_id, text_id, h, pos and slots; and the benchmark's windows."""
     windows, widths = items(benchmark)
     windows = work.put(windows)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.explode(_hits(F.col("text"), widths, bitmap(windows, 64, MOST_BITS))).alias("x"))
+    hits = bitmap(windows, 64, MOST_BITS)(lambda seen: _hits(F.col("text"), widths, seen))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_id"), F.explode(hits).alias("x"))
     return work.put(found.select("doc_id", "text_id", "x.h", "x.pos", "x.slots")), windows  # literal and template windows never share a hash
 
 

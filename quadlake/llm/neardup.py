@@ -355,8 +355,8 @@ def _confirm(rows: DataFrame, key: str, k: int, percent: int) -> DataFrame:
 def _likely(docs: DataFrame, near: DataFrame) -> DataFrame:
     """doc_id, text_id and text of all rows that near (doc_id, text_id) names, and of few others: the rest leaves before the shuffle."""
     id_ = F.xxhash64("doc_id", "text_id")
-    seen = bitmap(near.select(id_.alias("h")), 16, MOST_BITS)
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "xxhash64(text) AS text_id", "text").filter(let(id_, seen))
+    likely = bitmap(near.select(id_.alias("h")), 16, MOST_BITS)(lambda seen: let(id_, seen))
+    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "xxhash64(text) AS text_id", "text").filter(likely)
 
 
 def _labelled(docs: DataFrame, k: int, percent: int) -> DataFrame:

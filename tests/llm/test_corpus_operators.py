@@ -318,6 +318,25 @@ def test_decontamination_with_a_full_bitmap_and_hot_windows(spark, docs, monkeyp
     assert a == sorted(map(tuple, decontam.leaks(docs(texts), bench).collect())) and [r[0] for r in a] == [*range(9)]
 
 
+def test_a_plan_holds_a_bloom_filter_once(spark, docs):
+    rows = docs([prose(9) for _ in range(40)])
+    near = rows.limit(9).select("doc_id", F.xxhash64("text").alias("text_id"))
+    plan = neardup._likely(rows, near)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("(?:-?[0-9]+,){200,}", plan)) == 1
+
+
+def test_the_drivers_garbage_is_collected_where_its_heap_has_grown(spark, monkeypatch):
+    beans, asked = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans(), []
+    work, old = common.Work(spark, "tidy"), next(b for b in beans if "Young" not in b.getName())
+    before = old.getCollectionCount()
+    work.tidy(share=1.0)
+    assert old.getCollectionCount() == before
+    work.tidy(share=0.0)
+    assert old.getCollectionCount() == before + 1
+    monkeypatch.setattr(common.Work, "tidy", lambda self: asked.append(1))
+    assert work.put(spark.range(3)).count() == 3 and asked == [1]
+
+
 def test_decontamination_without_ids(spark, docs):
     item = prose(40)
     texts = [f"{prose(30)} {item}", prose(50), f"{item} {prose(9)}", prose(60), f"{prose(30)} {item}"]
