@@ -319,7 +319,8 @@ def test_decontamination_with_a_full_bitmap_and_hot_windows(spark, docs, monkeyp
 
 
 def test_a_plan_holds_a_bloom_filter_once(spark, docs):
-    rows = docs([prose(9) for _ in range(40)])
+    rng = random.Random(5)
+    rows = docs([prose(9, rng) for _ in range(40)])
     near = rows.limit(9).select("doc_id", F.xxhash64("text").alias("text_id"))
     plan = neardup._likely(rows, near)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall("(?:-?[0-9]+,){200,}", plan)) == 1
